@@ -1,0 +1,67 @@
+"""List, skip what is stored, read the rest, route, extract, store."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..operators.extract import extract, extract_nested, stored_rows, to_items
+from ..operators.items import ItemsTable, skip_existing
+from ..operators.routing import route_fetch
+from ..sources.files import balance_by_size, discover_files, read_listed
+from ..sources.union import union_sources
+from .registry import Registry
+
+
+def fetch(listed: DataFrame, registry: Registry) -> DataFrame:
+    """Reads each listed row with the fetcher it is routed to."""
+    routed = route_fetch(listed, registry.fetchers)
+    parts = [
+        (f.read or _default_read)(routed.filter(F.col("fetcher") == f.name))
+        for f in registry.fetchers
+        if f.read is not None or f.name == "file"
+    ]
+    unread = routed.filter(F.col("fetcher").isNull()).withColumn("error", F.col("message"))
+    for p in parts:
+        unread = unread.unionByName(p, allowMissingColumns=True)
+    return unread
+
+
+def _default_read(listed: DataFrame) -> DataFrame:
+    if "path" not in listed.columns:
+        listed = listed.withColumn("path", F.col("source_url"))
+    return read_listed(listed)
+
+
+def extract_rows(fetched: DataFrame, registry: Registry, max_depth: int = 3) -> DataFrame:
+    rows = fetched.drop("route_status", "message", "fetcher")
+    if any(e.members is not None for e in registry.extractors):
+        return extract_nested(rows, registry.extractors, max_depth)
+    return extract(rows, registry.extractors)
+
+
+def index_listing(listed: DataFrame, items: ItemsTable, batch_id: int, registry: Registry | None = None):
+    """One batch. Running it again with the same number replaces what it stored."""
+    registry = registry or Registry()
+    # What an earlier try of this batch stored does not count as stored.
+    fresh = skip_existing(listed, items.read(without_batch=batch_id))
+    if "file_size" in fresh.columns:
+        fresh = balance_by_size(fresh)
+    extracted = extract_rows(fetch(fresh, registry), registry)
+    rows = to_items(stored_rows(extracted).withColumn("insert_seq", F.lit(batch_id)))
+    items.append(rows, batch_id)
+    for write in registry.stores.values():
+        # From what was just written: the files are not read a second time.
+        write(items.batch(batch_id), batch_id)
+
+
+def index_folder(spark: SparkSession, root: str, items: ItemsTable, batch_id: int, extensions=None, registry=None):
+    index_listing(discover_files(spark, root, extensions), items, batch_id, registry)
+
+
+def index_sources(spark: SparkSession, items: ItemsTable, batch_id: int, registry: Registry):
+    """All registered sources in one batch; URLs listed twice are read once."""
+    listed = union_sources(spark, registry.sources).filter("error is null").drop("error")
+    rest = [c for c in listed.columns if c != "source_url"]
+    once = listed.groupBy("source_url").agg(F.min(F.struct(*rest)).alias("__r"))
+    index_listing(once.select("source_url", "__r.*"), items, batch_id, registry)
+
