@@ -10,10 +10,9 @@ WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-# The same set as the inside of a regex character class.
-_WS = r"\t-\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-# A single blank already is what a run collapses to, so it is not matched.
-_WS_RUN = rf"[{_WS}]{{2,}}|[{_WS}&&[^ ]]"
+# A run of the same characters. Java's Unicode \s lacks four control characters; naming
+# the whole set one by one would be several times slower.
+_WS_RUN = r"(?U)[\s\x1c-\x1f]+"
 
 # What counts as markup. `u` makes `i` cover non-ASCII case pairs too.
 _SCRIPT = r"(?isu)<script[^>]*>.*?</script>"
@@ -52,31 +51,43 @@ def html_text(html: Column) -> Column:
     return F.trim(collapse_whitespace(c))
 
 
+def page_title(html: Column) -> Column:
+    """Body of the first title element; '' if it is empty or there is none."""
+    return collapse_whitespace(strip(F.regexp_extract(html, _TITLE, 1)))
+
+
 def html_title(html: Column) -> Column:
     """Body of the first title element, null if there is none."""
-    body = collapse_whitespace(strip(F.regexp_extract(html, _TITLE, 1)))
-    # regexp_extract gives '' both for "no match" and for an empty title.
-    return F.when(body != "", body).when(F.regexp_like(html, F.lit(_TITLE)), body)
+    found = F.regexp_extract(html, _TITLE, 0)
+    return F.when(found != "", page_title(found))
 
 
-def text_title(text: Column) -> Column:
-    """First line of the stripped text, shortened, with a fallback."""
-    # Only the left end has to be stripped before the first line is cut out.
-    line = strip(F.substring_index(F.ltrim(text, F.lit(WHITESPACE)), "\n", 1))
-    short = F.concat(F.substring(line, 1, TITLE_CHARS), F.lit("..."))
+def first_line(text: Column) -> Column:
+    """First line of the stripped text, itself stripped."""
+    # Only the left end has to be stripped before the line is cut out.
+    return strip(F.substring_index(F.ltrim(text, F.lit(WHITESPACE)), "\n", 1))
+
+
+def shorten(line: Column) -> Column:
+    """The line as a title: cut when long, a fallback when empty."""
+    cut = F.concat(F.substring(line, 1, TITLE_CHARS), F.lit("..."))
     return (
-        F.when(F.length(line) > TITLE_CHARS, short)
+        F.when(F.length(line) > TITLE_CHARS, cut)
         .when(line != "", line)
         .otherwise(F.lit(NO_TEXT_TITLE))
     )
 
 
-def resolve_text_title(title: Column, text: Column) -> Column:
-    return F.coalesce(non_empty(title), text_title(text))
+def text_title(text: Column) -> Column:
+    return shorten(first_line(text))
+
+
+def finish_text_title(given: Column, line: Column) -> Column:
+    return F.coalesce(non_empty(given), shorten(line))
 
 
-def resolve_html_title(title: Column, html: Column) -> Column:
-    return F.coalesce(non_empty(html_title(html)), non_empty(title), F.lit(NO_HTML_TITLE))
+def finish_html_title(given: Column, found: Column) -> Column:
+    return F.coalesce(non_empty(found), non_empty(given), F.lit(NO_HTML_TITLE))
 
 
 def is_binary(content: Column) -> Column:

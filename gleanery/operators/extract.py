@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import identity, metadata, paths, text as tx
 from ..sources.files import UNDECODABLE
-from .routing import EXTRACTORS, route_extract
+from .routing import EXTRACTORS, choose_extractor, pipeline_mime, route_extract
 
 TOO_DEEP = "nested deeper than the depth limit"
 
@@ -33,29 +33,40 @@ def extract(df: DataFrame, extractors=EXTRACTORS) -> DataFrame:
         "__text", content_as_text(F.col("content_text"), F.col("content_binary"))
     )
     src, chosen = F.col("__text"), F.col("extractor")
-    out_text, out_title = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for e in reversed([e for e in extractors if e.text is not None]):
-        title = e.title(F.col("title"), src) if e.title else F.col("title")
-        out_text = F.when(chosen == e.name, e.text(src)).otherwise(out_text)
-        out_title = F.when(chosen == e.name, title).otherwise(out_title)
     ok = chosen.isNotNull() & src.isNotNull()
     failure = (
         F.when(chosen.isNull(), F.col("message")).when(src.isNull(), F.lit(UNDECODABLE))
     )
     if "error" in df.columns:
         failure = F.coalesce(F.col("error"), failure)
-    return df.withColumns(
+    df = df.withColumns(
         {
             "source_url": paths.default_source_url(F.col("source_url")),
-            "title": out_title,
-            "content_text": out_text,
+            "content_text": _by_extractor(extractors, "text", lambda fn: fn(src)),
+            "__found": _by_extractor(extractors, "find_title", lambda fn: fn(src)),
             "error": failure,
             "mime_type": F.when(ok, F.lit("text/plain")).otherwise(F.col("mime_type")),
             "processing_state": F.when(ok, F.lit("extracted")).otherwise(
                 F.col("processing_state")
             ),
         }
-    ).drop("__text", "content_binary")
+    )
+    title = _by_extractor(
+        extractors, "title", lambda fn: fn(F.col("title"), F.col("__found")), F.col("title")
+    )
+    return df.withColumn("title", title).drop("__text", "__found", "content_binary")
+
+
+def _by_extractor(extractors, part: str, call, otherwise: Column | None = None) -> Column:
+    """CASE over the chosen extractor; only the chosen one's expression is evaluated."""
+    case = F
+    for e in extractors:
+        fn = getattr(e, part)
+        if fn is not None:
+            case = case.when(F.col("extractor") == e.name, call(fn))
+    if case is F:
+        return F.lit(None).cast("string") if otherwise is None else otherwise
+    return case if otherwise is None else case.otherwise(otherwise)
 
 
 def to_items(df: DataFrame) -> DataFrame:
@@ -77,50 +88,62 @@ def stored_rows(extracted: DataFrame) -> DataFrame:
     return extracted.filter((F.col("route_status") == "success") & F.col("error").isNull())
 
 
-def extract_nested(df: DataFrame, extractors, max_depth: int = 3, checkpoint: bool = False):
+def extract_nested(df: DataFrame, extractors, max_depth: int = 3) -> DataFrame:
     """Containers opened level by level; every member is routed like any other row.
 
-    A member's URL is parent/name and it inherits the parent's other metadata. The
-    levels are narrow plans over the same scan, so by default nothing is shuffled or
-    written; `checkpoint=True` saves each level where opening a container is costly.
-    Containers below `max_depth` come out as error rows.
+    A member's URL is parent/name and it inherits the parent's other metadata. A level is
+    one generator that replaces a container by its members and hands all else on, so all
+    levels together are one pass over the input, without a shuffle. Containers that are
+    still closed after `max_depth` levels come out as error rows.
     """
     containers = [e for e in extractors if e.members is not None]
-    names = [e.name for e in containers]
-    level = metadata.with_defaults(with_content_columns(df)).withColumns(
+    rows = metadata.with_defaults(with_content_columns(df)).withColumns(
         {
             "depth": F.lit(0),
             "root_url": F.col("source_url"),
             "parent_url": F.lit(None).cast("string"),
+            "open": F.lit(True),
         }
     )
-    found = None
-    for depth in range(max_depth + 1):
-        routed = route_extract(level, extractors)
-        is_container = F.coalesce(F.col("extractor").isin(*names), F.lit(False))
-        plain = extract(routed.filter(~is_container).drop("extractor", "route_status", "message"), extractors)
-        found = plain if found is None else found.unionByName(plain)
-        inside = routed.filter(is_container)
-        if depth == max_depth:
-            stuck = inside.withColumn("error", F.lit(TOO_DEEP)).drop("content_binary")
-            return found.unionByName(stuck)
-        text = content_as_text(F.col("content_text"), F.col("content_binary"))
-        members = None
-        for e in containers:
-            here = e.members(text)
-            members = F.when(F.col("extractor") == e.name, here) if members is None else members.when(
-                F.col("extractor") == e.name, here
-            )
-        opened = inside.withColumn("__m", F.explode(members))
-        level = opened.withColumns(
-            {
-                "parent_url": F.col("source_url"),
-                "source_url": F.concat_ws("/", "source_url", "__m.name"),
-                "mime_type": F.col("__m.mime_type"),
-                "content_text": F.col("__m.content_text"),
-                "content_binary": F.lit(None).cast("binary"),
-                "depth": F.lit(depth + 1),
-            }
-        ).drop("__m", "extractor", "route_status", "message")
-        if checkpoint:
-            level = level.checkpoint()
+    for _ in range(max_depth):
+        rows = _open_containers(rows, extractors, containers)
+    closed = F.coalesce(_container(rows, extractors, containers), F.lit(False))
+    if "error" not in rows.columns:
+        rows = rows.withColumn("error", F.lit(None).cast("string"))
+    rows = rows.withColumn("error", F.coalesce("error", F.when(closed, F.lit(TOO_DEEP))))
+    return extract(rows.drop("open"), extractors)
+
+
+def _container(rows: DataFrame, extractors, containers) -> Column:
+    url = paths.default_source_url(F.col("source_url"))
+    chosen = choose_extractor(url, pipeline_mime(F.col("mime_type")), extractors)
+    return F.col("open") & chosen.isin(*[e.name for e in containers])
+
+
+_LEVEL = ("source_url", "parent_url", "mime_type", "content_text", "content_binary", "depth")
+
+
+def _open_containers(rows: DataFrame, extractors, containers) -> DataFrame:
+    url = paths.default_source_url(F.col("source_url"))
+    chosen = choose_extractor(url, pipeline_mime(F.col("mime_type")), extractors)
+    rows = rows.withColumn("__chosen", F.when(F.col("open"), chosen))
+    text = content_as_text(F.col("content_text"), F.col("content_binary"))
+
+    def member(m: Column) -> Column:
+        return F.struct(
+            F.concat_ws("/", F.col("source_url"), m["name"]).alias("source_url"),
+            F.col("source_url").alias("parent_url"),
+            m["mime_type"].alias("mime_type"),
+            m["content_text"].alias("content_text"),
+            F.lit(None).cast("binary").alias("content_binary"),
+            (F.col("depth") + 1).alias("depth"),
+            F.lit(True).alias("open"),
+        )
+
+    level = F
+    for e in containers:
+        level = level.when(F.col("__chosen") == e.name, F.transform(e.members(text), member))
+    same = F.array(F.struct(*[F.col(c) for c in _LEVEL], F.lit(False).alias("open")))
+    level = level.otherwise(same) if level is not F else same
+    rest = [c for c in rows.columns if c not in (*_LEVEL, "open", "__chosen")]
+    return rows.select(*rest, F.explode(level).alias("__m")).select(*rest, "__m.*")

@@ -23,9 +23,10 @@ def heavy_keys(df: DataFrame, on: list[str]) -> DataFrame:
 
 
 def _mark(df: DataFrame, heavy: DataFrame, on: list[str]) -> DataFrame:
-    keys = heavy.select(*[F.col(k).alias(f"__{k}") for k in on], F.lit(True).alias(_HEAVY))
-    same = reduce(lambda a, b: a & b, [df[k].eqNullSafe(keys[f"__{k}"]) for k in on])
-    return df.join(F.broadcast(keys), same, "left").drop(*[f"__{k}" for k in on])
+    names = {k: f"__heavy_{k}" for k in on}
+    keys = heavy.select(*[F.col(k).alias(names[k]) for k in on], F.lit(True).alias(_HEAVY))
+    same = reduce(lambda a, b: a & b, [df[k].eqNullSafe(keys[names[k]]) for k in on])
+    return df.join(F.broadcast(keys), same, "left").drop(*names.values())
 
 
 def join_unique(

@@ -39,19 +39,22 @@ def _last(kind: str) -> Column:
 
 
 def _fold(entries: DataFrame, key: str, lists_concatenate: bool) -> DataFrame:
-    """Per (key, path): the last layer of each kind, the last scalar, and the cut from above."""
-    own = entries.select(key, "path", "layer", "kind", "value_json")
+    """Per (key, path): the last layer of each kind, the last scalar, and `wiped_at`, the
+    last layer that put a plain value where this path has a parent."""
+    kind = F.col("kind")
     if not lists_concatenate:
-        own = own.withColumn("kind", F.when(F.col("kind") == LIST, SCALAR).otherwise(F.col("kind")))
-    inside = own.select(
-        key,
-        F.explode(proper_prefixes(F.col("path"))).alias("path"),
-        "layer",
-        F.lit(_INSIDE).alias("kind"),
-        F.lit(None).cast("string").alias("value_json"),
+        kind = F.when(kind == LIST, SCALAR).otherwise(kind)
+    # A leaf says something about its own path, and that all paths above it are objects.
+    own = F.struct("path", kind.alias("kind"), "value_json")
+    above = F.transform(
+        proper_prefixes(F.col("path")),
+        lambda p: F.struct(
+            p.alias("path"), F.lit(_INSIDE).alias("kind"), F.lit(None).cast("string").alias("value_json")
+        ),
     )
+    said = entries.select(key, "layer", F.explode(F.concat(F.array(own), above)).alias("__e"))
     at_path = (
-        own.unionByName(inside)
+        said.select(key, "layer", "__e.*")
         .groupBy(key, "path")
         .agg(
             _last(SCALAR).alias("scalar_at"),
@@ -66,11 +69,14 @@ def _fold(entries: DataFrame, key: str, lists_concatenate: bool) -> DataFrame:
                 "object_at": F.greatest("empty_at", "inside_at"),
             }
         )
+        # Used several times below; one row per path, so small next to the entries.
+        .checkpoint()
     )
-    # A value where other layers have an object wipes everything that was below it.
     wiped = at_path.filter("value_at is not null and inside_at is not null").select(
         key, F.col("path").alias("above"), F.col("value_at").alias("wiped_at")
     )
+    if wiped.isEmpty():
+        return at_path.withColumn("wiped_at", F.lit(None).cast(at_path.schema["scalar_at"].dataType))
     below = at_path.select(
         key, "path", F.explode(proper_prefixes(F.col("path"))).alias("above")
     ).filter(F.size("above") > 0)
@@ -79,7 +85,7 @@ def _fold(entries: DataFrame, key: str, lists_concatenate: bool) -> DataFrame:
         .groupBy(key, "path")
         .agg(F.max("wiped_at").alias("wiped_at"))
     )
-    return at_path.join(from_above, [key, "path"], "left")
+    return at_path.join(from_above, [key, "path"], "left").checkpoint()
 
 
 def _after(layer: str, *others: str) -> Column:
@@ -88,43 +94,34 @@ def _after(layer: str, *others: str) -> Column:
     return F.col(layer).isNotNull() & (last.isNull() | (F.col(layer) > last))
 
 
-def _rows(df: DataFrame, key: str, kind: str, layer: str, value: Column) -> DataFrame:
-    return df.select(
-        key,
-        "path",
-        F.lit(kind).alias("kind"),
-        F.col(layer).alias("layer"),
-        F.lit(None).cast("int").alias("idx"),
-        value.alias("value_json"),
-    )
-
-
 def layered_merge(entries: DataFrame, key: str, lists_concatenate: bool = True) -> DataFrame:
     """(key, layer, path, kind, value_json) -> (key, path, kind, layer, idx, value_json)."""
     folded = _fold(entries, key, lists_concatenate)
-    scalars = _rows(
-        folded.filter(_after("scalar_at", "list_at", "object_at", "wiped_at")),
-        key, SCALAR, "scalar_at", F.col("scalar"),
+    scalar = _after("scalar_at", "list_at", "object_at", "wiped_at")
+    empty = _after("empty_at", "value_at", "wiped_at") & ~F.coalesce(
+        _after("inside_at", "value_at", "wiped_at"), F.lit(False)
     )
-    empties = _rows(
-        folded.filter(
-            _after("empty_at", "value_at", "wiped_at") & ~_after("inside_at", "value_at", "wiped_at")
-        ),
-        key, EMPTY, "empty_at", F.lit("{}"),
+    values = folded.filter(scalar | empty).select(
+        key,
+        "path",
+        F.when(scalar, SCALAR).otherwise(EMPTY).alias("kind"),
+        F.when(scalar, F.col("scalar_at")).otherwise(F.col("empty_at")).alias("layer"),
+        F.lit(None).cast("int").alias("idx"),
+        F.when(scalar, F.col("scalar")).otherwise("{}").alias("value_json"),
     )
-    result = scalars.unionByName(empties)
     if not lists_concatenate:
-        return result
+        return values
+    lists = entries.filter(F.col("kind") == LIST).select(key, "path", "layer", "value_json")
     cuts = (
         folded.filter("list_at is not null")
         .withColumn("cut", F.greatest("scalar_at", "object_at", "wiped_at"))
         .filter("cut is not null")
         .select(key, "path", "cut")
     )
-    lists = entries.filter(F.col("kind") == LIST).select(key, "path", "layer", "value_json")
-    lists = join_unique(lists, cuts, [key, "path"], "left", "layer").filter(
-        "cut is null or layer > cut"
-    )
+    if not cuts.isEmpty():
+        lists = join_unique(lists, cuts, [key, "path"], "left", "layer").filter(
+            "cut is null or layer > cut"
+        )
     elements = lists.select(
         key, "path", "layer", F.posexplode_outer(list_elements(F.col("value_json"))).alias("idx", "e")
     ).select(
@@ -133,9 +130,9 @@ def layered_merge(entries: DataFrame, key: str, lists_concatenate: bool = True)
         F.when(F.col("idx").isNull(), EMPTY_LIST).otherwise(LIST).alias("kind"),
         "layer",
         "idx",
-        F.when(F.col("idx").isNotNull(), F.col("e")).alias("value_json"),
+        F.col("e").alias("value_json"),
     )
-    return result.unionByName(elements)
+    return values.unionByName(elements)
 
 
 def metadata_merge(patches: DataFrame, seq: str = "seq") -> DataFrame:

@@ -33,7 +33,10 @@ class Fetcher:
 
 @dataclass(frozen=True)
 class Extractor:
-    """`can` tells from URL and MIME type; `text` and `title` map (content, given title).
+    """`can` tells from URL and MIME type, `text` maps content to the extracted text.
+
+    A title is made in two steps so that searching the content happens once: `find_title`
+    looks it up in the content, `title` settles on (given title, found title).
 
     `members`, if set, makes it a container: it maps content to an array of
     struct<name, mime_type, content_text>, each of which is routed again.
@@ -43,6 +46,7 @@ class Extractor:
     can: Callable[[Column, Column], Column]
     preferred: tuple[str, ...] = ()
     text: Callable[[Column], Column] | None = None
+    find_title: Callable[[Column], Column] | None = None
     title: Callable[[Column, Column], Column] | None = None
     members: Callable[[Column], Column] | None = None
 
@@ -75,10 +79,10 @@ def can_extract_html(url: Column, mime: Column) -> Column:
 FILE_FETCHER = Fetcher("file", can_fetch_file)
 HTTP_FETCHER = Fetcher("http", can_fetch_http)
 TEXT_EXTRACTOR = Extractor(
-    "text", can_extract_text, TEXT_PREFERRED, lambda c: c, tx.resolve_text_title
+    "text", can_extract_text, TEXT_PREFERRED, lambda c: c, tx.first_line, tx.finish_text_title
 )
 HTML_EXTRACTOR = Extractor(
-    "html", can_extract_html, HTML_MIME_TYPES, tx.html_text, tx.resolve_html_title
+    "html", can_extract_html, HTML_MIME_TYPES, tx.html_text, tx.page_title, tx.finish_html_title
 )
 # The order is the priority.
 FETCHERS = (FILE_FETCHER, HTTP_FETCHER)
@@ -108,30 +112,52 @@ def choose_extractor(url: Column, mime: Column, extractors=EXTRACTORS) -> Column
     )
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that later filters refer to but do not copy.
+
+    Catalyst pushes a filter below a projection by substituting the expression, which
+    for a long CASE means evaluating it several times. It does not do so for a generator.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def route_fetch(df: DataFrame, fetchers=FETCHERS) -> DataFrame:
     url = F.col("source_url")
-    fetcher = first_of([(f.can(url), f.name) for f in fetchers])
-    return df.withColumn("fetcher", fetcher).withColumns(
+    found = F.col("fetcher").isNotNull()
+    return _once(df, "fetcher", first_of([(f.can(url), f.name) for f in fetchers])).withColumns(
         {
-            "route_status": F.when(F.col("fetcher").isNotNull(), SUCCESS).otherwise(ERROR),
-            "message": F.when(
-                F.col("fetcher").isNotNull(), F.concat(F.lit("Fetched content from "), url)
-            ).otherwise(F.concat(F.lit("No fetcher found for URL: "), url)),
+            "route_status": F.when(found, SUCCESS).otherwise(ERROR),
+            "message": F.concat(
+                F.when(found, F.lit("Fetched content from ")).otherwise(
+                    F.lit("No fetcher found for URL: ")
+                ),
+                url,
+            ),
         }
     )
 
 
 def route_extract(df: DataFrame, extractors=EXTRACTORS) -> DataFrame:
-    url = paths.default_source_url(F.col("source_url"))
-    mime = pipeline_mime(F.col("mime_type"))
-    return df.withColumn("extractor", choose_extractor(url, mime, extractors)).withColumns(
+    df = df.withColumns(
         {
-            "route_status": F.when(F.col("extractor").isNotNull(), SUCCESS).otherwise(ERROR),
-            "message": F.when(
-                F.col("extractor").isNotNull(), F.lit("Content extraction completed")
-            ).otherwise(F.concat(F.lit("No extractor found for content type: "), mime)),
+            "__url": paths.default_source_url(F.col("source_url")),
+            "__mime": pipeline_mime(F.col("mime_type")),
         }
     )
+    found = F.col("extractor").isNotNull()
+    chosen = choose_extractor(F.col("__url"), F.col("__mime"), extractors)
+    return (
+        _once(df, "extractor", chosen)
+        .withColumns(
+            {
+                "route_status": F.when(found, SUCCESS).otherwise(ERROR),
+                "message": F.when(found, F.lit("Content extraction completed")).otherwise(
+                    F.concat(F.lit("No extractor found for content type: "), F.col("__mime"))
+                ),
+            }
+        )
+        .drop("__url", "__mime")
+    )
 
 
 def extractor_rank(df: DataFrame, keep: list[str], extractors=EXTRACTORS) -> DataFrame:

@@ -219,13 +219,14 @@ def resolve_title(spark, sf):
     """Texts with every third title given, and pages."""
     docs = v.table(spark, sf, "documents").select(
         F.concat(F.lit("doc/"), "doc_id").alias("id"),
-        tx.resolve_text_title(
-            F.when(F.col("doc_id") % 3 == 0, F.col("source")).otherwise(""), F.col("text")
+        tx.finish_text_title(
+            F.when(F.col("doc_id") % 3 == 0, F.col("source")).otherwise(""),
+            tx.first_line(F.col("text")),
         ).alias("title"),
     )
     pages = v.table(spark, sf, "pages").select(
         F.concat(F.lit("page/"), "page_id").alias("id"),
-        tx.resolve_html_title(F.col("url"), F.col("html")).alias("title"),
+        tx.finish_html_title(F.col("url"), tx.page_title(F.col("html"))).alias("title"),
     )
     return docs.unionByName(pages)
 
@@ -321,8 +322,12 @@ def cache_id_encode(spark, sf):
 @query
 def cache_id_decode(spark, sf):
     """Every fifth id has a part missing and decodes to nothing."""
-    cut = F.when(F.pmod(F.crc32("unique_id"), F.lit(5)) == 0, F.substring_index("cache_id", "|", 3))
-    ids = _cache(spark, sf).select("unique_id", F.coalesce(cut, "cache_id").alias("cache_id"))
+    content = v.cache_content(spark, sf).drop("content_text")
+    whole = identity.cache_id_encode(
+        F.col("partition_key"), F.col("file_extension"), F.col("unique_id"), F.lit(False)
+    )
+    cut = F.when(F.col("doc_id") % 5 == 0, F.substring_index(whole, "|", 3))
+    ids = content.select(F.coalesce(cut, whole).alias("cache_id"))
     parts = identity.cache_id_decode(F.col("cache_id"))
     return ids.select(
         F.col("cache_id"),
@@ -948,8 +953,8 @@ def latest_stream(spark, sf):
 def register_extractor(spark, sf):
     """An extractor for JSON-typed rows; everything else goes the built-in way."""
     registry = Registry().register_extractor(
-        "upper", lambda u, m: m == "application/json", ("application/json",),
-        fn=F.upper, title=lambda title, content: F.substring(content, 1, 20),
+        "json", lambda u, m: m == "application/json", ("application/json",),
+        fn=lambda content: F.concat(F.lit("json: "), content), find_title=lambda content: F.substring(content, 1, 20),
     )
     return extract(v.docs_with_type(spark, sf), registry.extractors).select(
         "source_url", "title", "content_text", "extractor", "error"

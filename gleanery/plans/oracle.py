@@ -173,6 +173,9 @@ ORACLE = {
       CASE WHEN json_type(r->'$.doc') = 'OBJECT' THEN (r->'$.doc')::VARCHAR ELSE '{{}}' END AS not_an_object,
       coalesce((r->'$.missing')::VARCHAR, '{{}}') AS missing FROM config""",
     "cache_id_encode": f"WITH {_DOCS} SELECT unique_id, cache_id FROM docs",
+    "cache_id_decode": f"""WITH {_DOCS} SELECT CASE WHEN doc_id % 5 = 0 THEN source||'|.txt|'||unique_id ELSE cache_id END AS cache_id,
+      CASE WHEN doc_id % 5 <> 0 THEN source END AS partition_key, CASE WHEN doc_id % 5 <> 0 THEN '.txt' END AS file_extension,
+      CASE WHEN doc_id % 5 <> 0 THEN false END AS is_binary FROM docs""",
     "cache_path_decode": f"""WITH {_DOCS}, f AS (SELECT doc_id, source||'/'||CASE doc_id % 4 WHEN 3 THEN 'not-a-valid-uuid.txt'
         WHEN 1 THEN unique_id||'.bin.jpg' WHEN 2 THEN unique_id ELSE unique_id||'.tar.gz' END AS file_path FROM docs),
       m AS (SELECT *, '^([^/]+)/([0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}})(\\.bin)?(\\..*)?$' AS p FROM f),
@@ -301,10 +304,10 @@ ORACLE = {
     "keys_removed": f"WITH {_SNAPS} SELECT partition_key, key FROM o EXCEPT SELECT partition_key, key FROM n",
     "extract_nested": f"""WITH {_DOCS},
       lines AS (SELECT source_url AS root_url, source_url||'/line'||(i - 1) AS parent_url, l[i] AS line, source FROM (
-        SELECT source_url, source, list_filter(string_split(text, chr(10)), p -> trim(p) <> '') AS l,
+        SELECT source_url, source, list_filter(string_split(text, chr(10)), lambda p: trim(p) <> '') AS l,
           unnest(range(1, len(l) + 1)) AS i FROM docs)),
       parts AS (SELECT root_url, parent_url, parent_url||'/sentence'||(i - 1) AS source_url, s[i] AS t, source FROM (
-        SELECT root_url, parent_url, source, list_filter(string_split(line, '. '), p -> trim(p) <> '') AS s,
+        SELECT root_url, parent_url, source, list_filter(string_split(line, '. '), lambda p: trim(p) <> '') AS s,
           unnest(range(1, len(s) + 1)) AS i FROM lines))
       SELECT source_url, parent_url, root_url, 2::INTEGER AS depth, {_text_title('t')} AS title, t AS content_text,
         source AS author, 'text' AS extractor FROM parts""",
@@ -321,11 +324,11 @@ ORACLE = {
     "dedup_stream": "SELECT DISTINCT 'conv://'||conv_id AS source_url FROM conversations",
     "state_stream": f"WITH {_STATE} SELECT partition_key, key, value_json, version FROM latest",
     "latest_stream": f"WITH {_STATE} SELECT partition_key, key, value_json, version FROM latest",
-    "register_extractor": f"""WITH {_DOCS}, x AS (SELECT *, CASE WHEN mime_type = 'application/json' THEN 'upper'
+    "register_extractor": f"""WITH {_DOCS}, x AS (SELECT *, CASE WHEN mime_type = 'application/json' THEN 'json'
         ELSE {_EXTRACTOR} END AS extractor FROM docs)
-      SELECT source_url, CASE extractor WHEN 'text' THEN {_text_title('text')} WHEN 'upper' THEN substr(text, 1, 20)
+      SELECT source_url, CASE extractor WHEN 'text' THEN {_text_title('text')} WHEN 'json' THEN substr(text, 1, 20)
           WHEN 'html' THEN coalesce(nullif({_html_title('text')}, ''), 'Untitled HTML Document') END AS title,
-        CASE extractor WHEN 'text' THEN text WHEN 'html' THEN {_html_text('text')} WHEN 'upper' THEN upper(text) END
+        CASE extractor WHEN 'text' THEN text WHEN 'html' THEN {_html_text('text')} WHEN 'json' THEN 'json: '||text END
           AS content_text, extractor,
         CASE WHEN extractor IS NULL THEN 'No extractor found for content type: '||mime_type END AS error FROM x""",
     "register_fetcher": f"{_PAGES_STORED}, 'text/plain' AS mime_type FROM pages",

@@ -42,13 +42,15 @@ def extract_rows(fetched: DataFrame, registry: Registry, max_depth: int = 3) ->
 def index_listing(listed: DataFrame, items: ItemsTable, batch_id: int, registry: Registry | None = None):
     """One batch. Running it again with the same number replaces what it stored."""
     registry = registry or Registry()
-    # What an earlier try of this batch stored does not count as stored.
-    fresh = skip_existing(listed, items.read(without_batch=batch_id))
-    if "file_size" in fresh.columns:
-        fresh = balance_by_size(fresh)
-    extracted = extract_rows(fetch(fresh, registry), registry)
-    rows = to_items(stored_rows(extracted).withColumn("insert_seq", F.lit(batch_id)))
-    items.append(rows, batch_id)
+    # What an earlier try of this batch stored does not count as stored. The listing is
+    # used twice (sizes, then reading), and holds no content.
+    fresh = skip_existing(listed, items.read(without_batch=batch_id)).persist()
+    try:
+        to_read = balance_by_size(fresh) if "file_size" in fresh.columns else fresh
+        extracted = extract_rows(fetch(to_read, registry), registry)
+        items.append(to_items(stored_rows(extracted).withColumn("insert_seq", F.lit(batch_id))), batch_id)
+    finally:
+        fresh.unpersist()
     for write in registry.stores.values():
         # From what was just written: the files are not read a second time.
         write(items.batch(batch_id), batch_id)

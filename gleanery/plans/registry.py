@@ -7,8 +7,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions import text as tx
 from ..operators.routing import EXTRACTORS, FETCHERS, Extractor, Fetcher
 
 
@@ -19,11 +20,16 @@ class Registry:
         self.sources: dict[str, Callable[[SparkSession], DataFrame]] = {}
         self.stores: dict[str, Callable[[DataFrame, int], None]] = {}
 
-    def register_extractor(self, name, predicate, preferred=(), fn=None, title=None, members=None):
+    def register_extractor(self, name, predicate, preferred=(), fn=None, find_title=None, title=None, members=None):
         """`predicate(url, mime)` and `fn(content)` are Column functions; a pandas_udf fits too.
-        `members(content)` makes it a container."""
+        `find_title(content)` looks a title up, `title(given, found)` settles on one: the
+        given one first if left out. `members(content)` makes it a container."""
+        if find_title is not None and title is None:
+            title = lambda given, found: F.coalesce(tx.non_empty(given), found)
         self._fresh(name, [e.name for e in self.extractors])
-        self.extractors.append(Extractor(name, predicate, tuple(preferred), fn, title, members))
+        self.extractors.append(
+            Extractor(name, predicate, tuple(preferred), fn, find_title, title, members)
+        )
         return self
 
     def register_fetcher(self, name, predicate, reader):

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import paths, text as tx
 from ..schemas import FILES
@@ -99,10 +99,19 @@ def read_files(spark: SparkSession, root: str, extensions=None) -> DataFrame:
     return decode(rows)
 
 
-def balance_by_size(files: DataFrame, target_bytes: int = 128 << 20) -> DataFrame:
-    """Files spread so that a task reads about `target_bytes`, by hash of the path."""
+MAX_TASKS = 50_000
+
+
+def balance_by_size(files: DataFrame, target_bytes: int = 256 << 20) -> DataFrame:
+    """Files spread by hash of the path so that a task reads about `target_bytes`.
+
+    Never fewer tasks than a shuffle has; never more than a scheduler copes with. A
+    larger share is no harm: bytes pass through a task in chunks.
+    """
+    least = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = files.agg(F.sum("file_size")).first()[0] or 0
-    return files.repartition(max(1, -(-total // target_bytes)), F.xxhash64("path"))
+    tasks = min(max(least, -(-total // target_bytes)), MAX_TASKS)
+    return files.repartition(tasks, F.xxhash64("path"))
 
 
 def open_filesystem(path: str):
@@ -121,7 +130,7 @@ def open_filesystem(path: str):
 def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Appends content and read_error, handing rows on before they grow too large."""
     for batch in batches:
-        contents, errors, start, held = [], [], 0, 0
+        contents, errors, start, held, fs = [], [], 0, 0, None
         for i, path in enumerate(batch.column("path").to_pylist()):
             data, error = None, None
             try:
@@ -152,5 +161,5 @@ def read_listed(files: DataFrame) -> DataFrame:
     A file source cannot take its paths from a table; this way the bytes of files that
     an earlier join dropped are never read.
     """
-    schema = files.schema.add("content", "binary").add("read_error", "string")
+    schema = T.StructType(list(files.schema.fields)).add("content", "binary").add("read_error", "string")
     return decode(files.mapInArrow(_read_batches, schema))

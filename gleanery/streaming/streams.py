@@ -19,6 +19,8 @@ from ..functions import paths
 from ..sources.files import glob_for, listing
 from ..sources.tables import append_batch
 
+_LOOKUP_BY_JOB_ABOVE = "spark.sql.sources.parallelPartitionDiscovery.threshold"
+
 
 def discover_stream(
     spark: SparkSession, root: str, extensions=None, max_files_per_batch: int | None = None
@@ -51,7 +53,17 @@ def run(
         writer = writer.queryName(name)
     if available_now:
         writer = writer.trigger(availableNow=True)
-    return writer.start()
+    # The source looks the new files of a batch up again, by a job. In a single JVM that
+    # job only costs: let the driver do it. The query copies the setting when it starts.
+    spark = stream.sparkSession
+    if not spark.sparkContext.master.startswith("local"):
+        return writer.start()
+    before = spark.conf.get(_LOOKUP_BY_JOB_ABOVE)
+    spark.conf.set(_LOOKUP_BY_JOB_ABOVE, 1 << 30)
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(_LOOKUP_BY_JOB_ABOVE, before)
 
 
 def append_stream(stream: DataFrame, root: str, checkpoint: str, **kw) -> StreamingQuery:
