@@ -17,11 +17,15 @@ from ..schemas import FILES
 
 
 @dataclass
-class Folder(InputPartition):
-    path: str
+class Folders(InputPartition):
+    paths: tuple[str, ...]
     deep: bool
 
 
+# Folders that are listed apart are dealt out to at most this many tasks.
+MAX_TASKS = 4096
+
+
 class FileListSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -51,10 +55,11 @@ class FileListReader(DataSourceReader):
                     inner += [e.path for e in entries if e.is_dir(follow_symlinks=False)]
             shallow += frontier
             frontier = inner
-        return [Folder(p, False) for p in shallow] + [Folder(p, True) for p in frontier]
+        return _deal(shallow, False) + _deal(frontier, True)
 
     def read(self, partition):
-        pending = [partition.path]
+        # Without any partition Spark still asks once.
+        pending = list(partition.paths) if partition else []
         while pending:
             with os.scandir(pending.pop()) as entries:
                 for e in entries:
@@ -67,5 +72,10 @@ class FileListReader(DataSourceReader):
                         yield (e.path, "file://" + e.path, st.st_size, when, "filelist")
 
 
+def _deal(folders: list[str], deep: bool) -> list[Folders]:
+    n = min(len(folders), MAX_TASKS)
+    return [Folders(tuple(folders[i::n]), deep) for i in range(n)]
+
+
 def register(spark) -> None:
     spark.dataSource.register(FileListSource)

@@ -1,0 +1,212 @@
+"""Merging and diffing nested records, against a fold of plain dictionaries."""
+
+import json
+import random
+
+import pytest
+from conftest import rows
+from pyspark.sql import functions as F
+
+from gleanery.operators import diff as di, merge as me
+from gleanery.operators.hierarchy import item_tree
+
+
+def random_value(rng, depth, lists=True):
+    kind = rng.random()
+    if depth and kind < 0.45:
+        return {rng.choice("abc"): random_value(rng, depth - 1, lists) for _ in range(rng.randint(0, 3))}
+    if lists and kind < 0.7:
+        return [rng.choice([1, "x", None]) for _ in range(rng.randint(0, 2))]
+    return rng.choice([1, 2, "x", None, True])
+
+
+def random_record(rng, depth=3, lists=True):
+    return {k: random_value(rng, depth - 1, lists) for k in rng.sample("abc", rng.randint(0, 3))}
+
+
+def fold(base, top, concat):
+    """Plain meaning of the merge: objects meet key by key, lists meet end to end."""
+    if isinstance(base, dict) and isinstance(top, dict):
+        both = dict(base)
+        for k, v in top.items():
+            both[k] = fold(base[k], v, concat) if k in base else v
+        return both
+    if concat and isinstance(base, list) and isinstance(top, list):
+        return base + top
+    return top
+
+
+def leaf_rows(value, path=()):
+    if isinstance(value, dict) and value:
+        for k, v in value.items():
+            yield from leaf_rows(v, (*path, k))
+    else:
+        yield path, value
+
+
+def merged_leaves(df):
+    """Merged rows of one record put together: path -> value."""
+    out, lists = {}, {}
+    for r in df:
+        path = tuple(r.path)
+        if r.kind in ("list", "empty_list"):
+            lists.setdefault(path, []).append((r.layer, -1 if r.idx is None else r.idx, r.value_json))
+        else:
+            assert path not in out
+            out[path] = json.loads(r.value_json)
+    for path, elements in lists.items():
+        assert path not in out
+        out[path] = [json.loads(v) for _, i, v in sorted(elements) if i >= 0]
+    return out
+
+
+@pytest.mark.parametrize("concat", [True, False])
+def test_random_layers(spark, concat):
+    rng = random.Random(7)
+    cases = [[random_record(rng) for _ in range(rng.randint(1, 5))] for _ in range(400)]
+    data = [(n, i, json.dumps(layer)) for n, layers in enumerate(cases) for i, layer in enumerate(layers)]
+    df = spark.createDataFrame(data, "n int, layer int, record string")
+    got = {}
+    for r in me.layered_merge(me.to_leaves(df, ["n", "layer"], "record", 4), "n", concat).collect():
+        got.setdefault(r.n, []).append(r)
+    for n, layers in enumerate(cases):
+        want = layers[0]
+        for layer in layers[1:]:
+            want = fold(want, layer, concat)
+        assert merged_leaves(got.get(n, [])) == dict(leaf_rows(want)), layers
+
+
+@pytest.mark.parametrize(
+    "layers, want",
+    [
+        ([{"a": 1}, {"a": None}], {"a": None}),
+        ([{"a": ["a", "b"]}, {"a": ["c", "d"]}], {"a": ["a", "b", "c", "d"]}),
+        ([{"a": ["a"]}, {"a": "x"}, {"a": ["b"]}], {"a": ["b"]}),
+        ([{"a": {"b": 1}}, {"a": 2}, {"a": {"c": 3}}], {"a": {"c": 3}}),
+        ([{"a": {"b": 1}}, {"a": {}}], {"a": {"b": 1}}),
+        ([{"a": 1}, {"a": {}}], {"a": {}}),
+        ([{}, {}], {}),
+    ],
+)
+def test_layers(spark, layers, want):
+    df = spark.createDataFrame([(0, i, json.dumps(v)) for i, v in enumerate(layers)], "n int, layer int, record string")
+    got = me.layered_merge(me.to_leaves(df, ["n", "layer"], "record", 4), "n").collect()
+    assert merged_leaves(got) == dict(leaf_rows(want))
+
+
+PATCH = "source_url string, seq int, title string, processing_state string, tags array<string>, extra_json string"
+
+
+def test_metadata_merge(spark):
+    df = spark.createDataFrame(
+        [
+            ("u", 1, "Base", "completed", ["1", "2"], '{"nested":{"a":1,"b":2},"l":[1]}'),
+            ("u", 2, None, None, ["3", "4"], '{"nested":{"b":3,"c":4},"l":[2]}'),
+            ("v", 1, None, "extracted", None, None),
+        ],
+        PATCH,
+    )
+    assert rows(me.metadata_merge(df), "source_url", "title", "processing_state") == [
+        ("u", "Base", "pending"), ("v", None, "extracted"),
+    ]
+    assert rows(me.merged_tags(df)) == [("u", 1, 0, "1"), ("u", 1, 1, "2"), ("u", 2, 0, "3"), ("u", 2, 1, "4")]
+    got = {".".join(r.path): r.value_json for r in me.merged_extra(df).collect()}
+    assert got == {"nested.a": "1", "nested.b": "3", "nested.c": "4", "l": "[2]"}
+
+
+def test_layer_order(spark):
+    df = spark.createDataFrame([(1, "b"), (0, "z"), (1, "a"), (1, "a"), (2, "c")], "rank int, name string")
+    assert rows(me.layer_order(df)) == [(0, "z", 1), (1, "a", 2), (1, "b", 3), (2, "c", 4)]
+
+
+def plain_diff(old, new, path=()):
+    """Rows (path, kind, value): same is unchanged, two objects meet, the rest is replaced."""
+    for k in old.keys() | new.keys():
+        here = (*path, k)
+        if k not in old:
+            yield from ((p, "added", v) for p, v in leaf_rows(new[k], here))
+        elif k not in new:
+            yield from ((p, "removed", v) for p, v in leaf_rows(old[k], here))
+        elif json.dumps(old[k], sort_keys=True) == json.dumps(new[k], sort_keys=True):
+            yield from ((p, "unchanged", v) for p, v in leaf_rows(new[k], here))
+        elif isinstance(old[k], dict) and isinstance(new[k], dict):
+            yield from plain_diff(old[k], new[k], here)
+        else:
+            yield from ((p, "removed", v) for p, v in leaf_rows(old[k], here))
+            yield from ((p, "added", v) for p, v in leaf_rows(new[k], here))
+
+
+def snapshots(spark, pairs):
+    def side(i):
+        data = [(n, json.dumps(pair[i])) for n, pair in enumerate(pairs) if pair[i] is not None]
+        return me.to_leaves(spark.createDataFrame(data, "n int, record string"), ["n"], "record", 4)
+
+    return di.nested_diff(side(0), side(1), "n")
+
+
+def test_random_diffs(spark):
+    rng = random.Random(3)
+    pairs = []
+    for _ in range(400):
+        old = random_record(rng)
+        new = fold(old, random_record(rng), False) if rng.random() < 0.7 else random_record(rng)
+        pairs.append((old, new))
+    got = {}
+    for r in snapshots(spark, pairs).collect():
+        got.setdefault(r.n, []).append((tuple(r.path), r.kind, r.value_json))
+    for n, (old, new) in enumerate(pairs):
+        want = [(p, k, json.dumps(v, separators=(",", ":"))) for p, k, v in plain_diff(old, new)]
+        # Two empty records: the record itself is an unchanged leaf.
+        mine = [r for r in got.get(n, []) if r[0]]
+        assert sorted(mine) == sorted(want), (old, new)
+
+
+def test_diff_look_ups(spark):
+    pairs = [
+        ({"p": {"s": "old", "t": {"x": 1}}}, {"p": {"s": "new", "t": {"x": 1}, "u": {"y": 2}}}),
+        ({"p": {"s": "123"}}, {"p": {"s": 123}}),
+        ({"p": {"s": 1}}, {"p": {"s": 1.0}}),
+        (None, {"p": {"s": "first run"}}),
+    ]
+    diff = snapshots(spark, pairs)
+    changed = lambda path: dict(rows(di.has_changed(diff, "n", path)))
+    assert changed("p.s") == {0: True, 1: True, 2: False}
+    assert changed("p.t") == {0: False, 1: False, 2: False}
+    assert changed("p.u")[0] and changed("p")[0] and not changed("p.s.x")[0]
+    assert rows(di.side_at(diff, "added", "p.s"), "n", "value_json") == [(0, '"new"'), (1, "123")]
+    assert rows(di.side_at(diff, "removed", "p"), "n", "path", "value_json") == [
+        (0, ["s"], '"old"'), (1, ["s"], '"123"'),
+    ]
+    assert rows(di.side_at(diff, "added", "p.u"), "n", "path", "value_json") == [(0, ["y"], "2")]
+
+
+def test_key_sets(spark):
+    old = spark.createDataFrame([("a",), ("b",), ("b",)], "k string")
+    new = spark.createDataFrame([("b",), ("c",), ("c",)], "k string")
+    assert rows(di.key_union(old, new, ["k"])) == [("a",), ("b",), ("c",)]
+    assert rows(di.keys_added(old, new, ["k"])) == [("c",)] and rows(di.keys_removed(old, new, ["k"])) == [("a",)]
+
+
+def test_tree(spark):
+    rng = random.Random(1)
+    parents = {0: None, 1: 0}
+    for i in range(2, 40):
+        parents[i] = i - 1  # one long chain
+    for i in range(40, 400):
+        parents[i] = rng.choice([None, 0, 39, rng.randint(0, i - 1), 10_000])
+    df = spark.createDataFrame([(str(i), None if p is None else str(p)) for i, p in parents.items()], "item_id string, parent_id string")
+
+    def climb(i):
+        depth = 0
+        while parents.get(i) is not None:
+            i, depth = parents[i], depth + 1
+        return depth, str(i)
+
+    got = {r.item_id: (r.depth, r.root_id) for r in item_tree(df).collect()}
+    assert got == {str(i): climb(i) for i in parents}
+
+
+def test_cycle_is_reported(spark):
+    df = spark.createDataFrame([("a", "b"), ("b", "a")], "item_id string, parent_id string")
+    with pytest.raises(ValueError, match="cycle"):
+        item_tree(df, max_rounds=3)
