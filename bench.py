@@ -11,9 +11,8 @@ import os
 import sys
 import time
 
-from pyspark.sql import SparkSession
-
 from gleanery.plans.catalogue import QUERIES
+from gleanery.session import build_session
 
 HEADLINE = (
     "index_pages extract_documents append_items html_text text_title route_extract extractor_rank "
@@ -28,15 +27,15 @@ def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1:] or HEADLINE
-    spark = (
-        SparkSession.builder.master(f"local[{cpus}]")
-        .appName("bench")
-        .config("spark.sql.shuffle.partitions", cpus)
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "16g")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
+    spark = build_session(
+        "bench",
+        f"local[{cpus}]",
+        **{
+            "spark.sql.shuffle.partitions": cpus,
+            "spark.driver.memory": "16g",
+            "spark.ui.enabled": "false",
+            "spark.ui.showConsoleProgress": "false",
+        },
     )
     spark.sparkContext.setLogLevel("OFF")
     seconds = {}

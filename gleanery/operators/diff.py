@@ -5,9 +5,10 @@ A changed leaf shows up twice: its old value as removed, its new one as added.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.nested import EMPTY
+from .joins import join_unique
 from .merge import proper_prefixes
 
 ADDED, REMOVED, UNCHANGED = "added", "removed", "unchanged"
@@ -17,35 +18,58 @@ def snapshot_diff(old: DataFrame, new: DataFrame, on: list[str]) -> DataFrame:
     """(*on, kind, value_json) from two tables with one value_json per `on`."""
     o = old.select(*on, F.col("value_json").alias("__o"), F.lit(True).alias("__in_old"))
     n = new.select(*on, F.col("value_json").alias("__n"), F.lit(True).alias("__in_new"))
+    pair = o.join(n, on, "full_outer")
+    return _explode_kinds(pair, on, F.col("__in_old").isNotNull(), F.col("__in_new").isNotNull())
 
+
+def _explode_kinds(pair: DataFrame, on: list[str], in_old: Column, in_new: Column) -> DataFrame:
     def row(kind, value):
         return F.struct(F.lit(kind).alias("kind"), F.col(value).alias("value_json"))
 
     rows = (
-        F.when(F.col("__in_old").isNull(), F.array(row(ADDED, "__n")))
-        .when(F.col("__in_new").isNull(), F.array(row(REMOVED, "__o")))
-        .when(F.col("__o").eqNullSafe(F.col("__n")), F.array(row(UNCHANGED, "__n")))
-        .otherwise(F.array(row(REMOVED, "__o"), row(ADDED, "__n")))
+        F.when(in_old & in_new & F.col("__o").eqNullSafe(F.col("__n")), F.array(row(UNCHANGED, "__n")))
+        .when(in_old & in_new, F.array(row(REMOVED, "__o"), row(ADDED, "__n")))
+        .when(in_old, F.array(row(REMOVED, "__o")))
+        .when(in_new, F.array(row(ADDED, "__n")))
     )
-    return o.join(n, on, "full_outer").select(*on, F.explode(rows).alias("__r")).select(*on, "__r.*")
+    return pair.select(*on, F.explode(rows).alias("__r")).select(*on, "__r.*")
 
 
 def nested_diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Diff of nested records given as (key, path, kind, value_json) leaves.
 
     A record without an older snapshot has no diff. An empty object counts as a leaf
-    only where the other side holds no object with content.
+    only where the other side holds no object with content. Both sides are read more
+    than once; give them as tables, or checkpointed.
     """
-    new = new.join(old.select(key).distinct(), key, "left_semi")
-    a, b = _without_opened(old, new, key), _without_opened(new, old, key)
-    return snapshot_diff(a, b, [key, "path"])
+    new = join_unique(new, old.select(key).distinct(), key, "left_semi", "path")
+    o, n = _paths(old, key, "old"), _paths(new, key, "new")
+    pair = o.join(n, [key, "path"], "full_outer")
+
+    def leaf(side, other):
+        """The side's own leaf here, unless it is an empty object the other side fills."""
+        filled = (F.col(f"{side}.kind") == EMPTY) & F.coalesce(F.col(f"{other}_inside"), F.lit(False))
+        return F.when(~filled, F.col(f"{side}.value_json"))
+
+    pair = pair.select(key, "path", leaf("old", "new").alias("__o"), leaf("new", "old").alias("__n"))
+    return _explode_kinds(pair, [key, "path"], F.col("__o").isNotNull(), F.col("__n").isNotNull())
 
 
-def _without_opened(side: DataFrame, other: DataFrame, key: str) -> DataFrame:
-    empty = F.col("kind") == EMPTY
-    opened = other.select(key, F.explode(proper_prefixes(F.col("path"))).alias("path")).distinct()
-    kept = side.filter(empty).join(opened, [key, "path"], "left_anti")
-    return side.filter(~empty).unionByName(kept)
+def _paths(side: DataFrame, key: str, name: str) -> DataFrame:
+    """Per path: the leaf there, if any, and whether there is something below it."""
+    own = F.struct("path", F.struct("kind", "value_json").alias("leaf"))
+    above = F.transform(
+        proper_prefixes(F.col("path")),
+        lambda p: F.struct(p.alias("path"), F.lit(None).cast("struct<kind:string,value_json:string>").alias("leaf")),
+    )
+    return (
+        side.select(key, F.explode(F.concat(F.array(own), above)).alias("__e"))
+        .groupBy(key, F.col("__e.path").alias("path"))
+        .agg(
+            F.max("__e.leaf").alias(name),
+            F.max(F.col("__e.leaf").isNull()).alias(f"{name}_inside"),
+        )
+    )
 
 
 def _below(dotted: str):

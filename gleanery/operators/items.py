@@ -230,6 +230,16 @@ class ItemsTable:
         rows = rows.join(removed, "item_id", "left_anti")
         return update_metadata(update_items(rows, content), meta)
 
+    def urls(self, without_batch: int | None = None) -> DataFrame:
+        """Distinct URLs of the current rows, without folding what does not bear on them."""
+        log = self.changes()
+        rows = self.rows(without_batch).select("item_id", "source_url")
+        removed = log.filter("op = 'remove'").select("item_id").distinct()
+        moved = last_per_item(
+            log.filter("op = 'metadata'").select("item_id", "source_url", "change_seq"), "change_seq"
+        )
+        return stored_urls(update_metadata(rows.join(removed, "item_id", "left_anti"), moved))
+
     def compact_to(self, root: str) -> "ItemsTable":
         """The folded rows as a new table; switch over to it once this returns."""
         fresh = ItemsTable(self.spark, root)

@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 # A key is heavy when it holds more than 1/HEAVY_SHARE of the rows, so there are
-# always fewer than HEAVY_SHARE heavy keys: that bounds what is broadcast here.
+# always fewer than HEAVY_SHARE heavy keys: that bounds what is broadcast here. A key
+# with few rows is no burden, whatever its share.
 HEAVY_SHARE = 1000
+HEAVY_ROWS = 10_000
 _HEAVY, _SALT = "__heavy", "__salt"
 
 
@@ -17,7 +19,7 @@ def heavy_keys(df: DataFrame, on: list[str]) -> DataFrame:
     return (
         df.groupBy(*on)
         .agg(F.count(F.lit(1)).alias("__n"))
-        .filter(F.col("__n") * HEAVY_SHARE > total)
+        .filter((F.col("__n") * HEAVY_SHARE > total) & (F.col("__n") > HEAVY_ROWS))
         .select(*on)
     )
 

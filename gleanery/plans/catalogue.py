@@ -13,6 +13,7 @@ from ..session import work_dir
 from ..sources.export import export_files
 from ..sources.files import discover_files, read_files
 from ..sources.pages import fetched_pages
+from ..sources.tables import spread
 from ..sources.union import union_sources
 from ..streaming import streams
 from . import views as v
@@ -32,7 +33,7 @@ def query(fn):
 
 @query
 def index_pages(spark: SparkSession, sf: str) -> DataFrame:
-    pages = fetched_pages(v.table(spark, sf, "pages"))
+    pages = fetched_pages(v.spread_pages(spark, sf))
     rows = stored_rows(extract(pages))
     return rows.select(
         F.col("insert_seq").alias("page_id"),
@@ -113,7 +114,7 @@ def scan_items(spark, sf):
 
 @query
 def append_items(spark, sf):
-    docs = v.docs_with_type(spark, sf)
+    docs = spread(v.docs_with_type(spark, sf), "doc_id")
     table = it.ItemsTable(spark, work_dir(spark, "items"))
     table.append(to_items(stored_rows(extract(docs))), 1)
     return table.read().select(
@@ -206,7 +207,7 @@ def text_title(spark, sf):
 
 @query
 def html_text(spark, sf):
-    return v.table(spark, sf, "pages").select("page_id", tx.html_text(F.col("html")).alias("text"))
+    return v.spread_pages(spark, sf).select("page_id", tx.html_text(F.col("html")).alias("text"))
 
 
 @query
@@ -514,7 +515,7 @@ def route_extract(spark, sf):
 @query
 def extract_documents(spark, sf):
     """Documents routed and extracted, the ones without an extractor as error rows."""
-    return extract(v.docs_with_type(spark, sf)).select(
+    return extract(spread(v.docs_with_type(spark, sf), "doc_id")).select(
         "source_url", "title", "content_text", "extractor", "route_status", "error", "processing_state",
         "mime_type",
     )
@@ -611,7 +612,7 @@ def _nested_diff(spark, sf) -> DataFrame:
         )
 
     old, new = v.snapshots(spark, sf)
-    return di.nested_diff(records(old), records(new), "key")
+    return di.nested_diff(records(old).checkpoint(), records(new).checkpoint(), "key")
 
 
 @query
@@ -851,7 +852,7 @@ def extract_nested_(spark, sf):
             members=_split_into(r"\. ", "sentence", "text/plain"),
         )
     )
-    docs = v.fetched_docs(spark, sf).withColumn("mime_type", F.lit("application/x-document"))
+    docs = spread(v.fetched_docs(spark, sf), "doc_id").withColumn("mime_type", F.lit("application/x-document"))
     return extract_nested(docs, registry.extractors).select(
         "source_url", "parent_url", "root_url", "depth", "title", "content_text", "author", "extractor"
     )

@@ -12,23 +12,28 @@ from ..sources.union import union_sources
 from .registry import Registry
 
 
-def fetch(listed: DataFrame, registry: Registry) -> DataFrame:
-    """Reads each listed row with the fetcher it is routed to."""
+def fetch(listed: DataFrame, registry: Registry, with_errors: bool = True) -> DataFrame:
+    """Reads each listed row with the fetcher it is routed to; rows that no fetcher takes
+    come out as error rows, if asked for."""
     routed = route_fetch(listed, registry.fetchers)
     parts = [
         (f.read or _default_read)(routed.filter(F.col("fetcher") == f.name))
         for f in registry.fetchers
         if f.read is not None or f.name == "file"
     ]
-    unread = routed.filter(F.col("fetcher").isNull()).withColumn("error", F.col("message"))
-    for p in parts:
-        unread = unread.unionByName(p, allowMissingColumns=True)
-    return unread
+    if with_errors or not parts:
+        parts.append(routed.filter(F.col("fetcher").isNull()).withColumn("error", F.col("message")))
+    fetched = parts[0]
+    for p in parts[1:]:
+        fetched = fetched.unionByName(p, allowMissingColumns=True)
+    return fetched
 
 
 def _default_read(listed: DataFrame) -> DataFrame:
     if "path" not in listed.columns:
         listed = listed.withColumn("path", F.col("source_url"))
+    if "file_size" in listed.columns:
+        listed = balance_by_size(listed)
     return read_listed(listed)
 
 
@@ -44,10 +49,9 @@ def index_listing(listed: DataFrame, items: ItemsTable, batch_id: int, registry:
     registry = registry or Registry()
     # What an earlier try of this batch stored does not count as stored. The listing is
     # used twice (sizes, then reading), and holds no content.
-    fresh = skip_existing(listed, items.read(without_batch=batch_id)).persist()
+    fresh = skip_existing(listed, items.urls(without_batch=batch_id)).persist()
     try:
-        to_read = balance_by_size(fresh) if "file_size" in fresh.columns else fresh
-        extracted = extract_rows(fetch(to_read, registry), registry)
+        extracted = extract_rows(fetch(fresh, registry, with_errors=False), registry)
         items.append(to_items(stored_rows(extracted).withColumn("insert_seq", F.lit(batch_id))), batch_id)
     finally:
         fresh.unpersist()

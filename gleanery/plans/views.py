@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import identity
+from ..sources.tables import spread
 
 # Suffix by doc_id % 6.
 EXTENSIONS = (".txt", ".md", ".html", ".json", ".rst", ".TXT")
@@ -14,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "pages"), "page_id")
+
+
 def doc_extension() -> F.Column:
     exts = F.array(*[F.lit(e) for e in EXTENSIONS])
     return F.element_at(exts, (F.col("doc_id") % len(EXTENSIONS) + 1).cast("int"))

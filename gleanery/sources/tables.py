@@ -30,3 +30,15 @@ def read_batches(spark: SparkSession, root: str, schema=None) -> DataFrame:
             raise
         # The constant filter lets the optimizer drop joins with the missing table.
         return spark.createDataFrame([], schema).filter(F.lit(False))
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt out over the cores if the scan comes in fewer splits than there are.
+
+    For tables of a few large row groups whose rows are costly to process. Above 64 splits
+    (8 GB at the default split size) the table is left as it is: it has work for many cores.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= min(cores, 64):
+        return df
+    return df.repartition(cores, key)
