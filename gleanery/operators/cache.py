@@ -100,7 +100,29 @@ class CacheTable:
     def remove_orphans(self, items: DataFrame, seq: int) -> DataFrame:
         return self.remove_all(cache_orphans(self.read(), items), seq)
 
+    def partition(self, partition_key: str) -> "PartitionCache":
+        return PartitionCache(self, partition_key)
+
     def compact_to(self, root: str) -> "CacheTable":
         fresh = CacheTable(self.spark, root)
         append_batch(self.read(), f"{fresh.root}/rows", 0, "partition_key")
         return fresh
+
+
+class PartitionCache:
+    """The cache of one owner, its partition key filled in."""
+
+    def __init__(self, table: CacheTable, partition_key: str):
+        self.table, self.partition_key = table, partition_key
+
+    def save(self, content: DataFrame, batch_id: int) -> DataFrame:
+        return self.table.save(content.withColumn("partition_key", F.lit(self.partition_key)), batch_id)
+
+    def list(self) -> DataFrame:
+        return self.table.list(self.partition_key)
+
+    def get(self, ids: DataFrame) -> DataFrame:
+        return self.table.get(ids)
+
+    def remove_all(self, ids: DataFrame, seq: int) -> DataFrame:
+        return self.table.remove_all(ids, seq)

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.nested import EMPTY
 from .joins import join_unique
-from .merge import proper_prefixes
+from .merge import proper_prefixes, to_leaves
+from .state import StateTable, state_latest
 
 ADDED, REMOVED, UNCHANGED = "added", "removed", "unchanged"
 
@@ -72,6 +73,32 @@ def _paths(side: DataFrame, key: str, name: str) -> DataFrame:
     )
 
 
+# The state partition in which the last snapshot of each record is kept.
+SNAPSHOTS = "_system.configuration"
+
+
+def diff_with_last(state: StateTable, records: DataFrame, batch_id: int, max_depth: int = 8) -> DataFrame:
+    """Stores records (key, value_json) as their newest snapshot and returns what changed.
+
+    A record that is new, or whose last snapshot was empty, has no diff. Neither have
+    records that are not among these.
+    """
+    state.store(
+        records.select(
+            F.lit(SNAPSHOTS).alias("partition_key"), "key", "value_json", F.lit(0).alias("seq")
+        ),
+        batch_id,
+    )
+
+    def leaf_table(rows):
+        return to_leaves(rows, ["key"], "value_json", max_depth)
+
+    now = state_latest(state.log(SNAPSHOTS).filter(F.col("batch_id") == int(batch_id)))
+    last = state.latest(SNAPSHOTS, before=batch_id).join(now.select("key"), "key", "left_semi")
+    before = leaf_table(last).filter(F.size("path") > 0)
+    return nested_diff(before.checkpoint(), leaf_table(now).checkpoint(), "key")
+
+
 def _below(dotted: str):
     parts = dotted.split(".")
     return F.slice("path", 1, len(parts)) == F.array(*[F.lit(p) for p in parts])

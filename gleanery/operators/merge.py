@@ -135,6 +135,12 @@ def layered_merge(entries: DataFrame, key: str, lists_concatenate: bool = True)
     return values.unionByName(elements)
 
 
+def merged_at(merged: DataFrame, dotted: str) -> DataFrame:
+    """Rows of merged records at or under a dotted path."""
+    parts = dotted.split(".")
+    return merged.filter(F.slice("path", 1, len(parts)) == F.array(*[F.lit(p) for p in parts]))
+
+
 def metadata_merge(patches: DataFrame, seq: str = "seq") -> DataFrame:
     """Scalar metadata fields folded per source_url: the last non-null value wins.
 

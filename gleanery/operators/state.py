@@ -78,9 +78,13 @@ class StateTable:
             log = log.withColumn("batch_id", F.lit(0))
         return log if partition_key is None else log.filter(F.col("partition_key") == partition_key)
 
-    def latest(self, partition_key: str | None = None) -> DataFrame:
-        """The view; naming the partition reads only that partition's folders."""
-        return state_latest(self.log(partition_key), F.struct("batch_id", "seq"))
+    def latest(self, partition_key: str | None = None, before: int | None = None) -> DataFrame:
+        """The view; naming the partition reads only that partition's folders, and `before`
+        leaves that batch and later ones out."""
+        log = self.log(partition_key)
+        if before is not None:
+            log = log.filter(F.col("batch_id") < int(before))
+        return state_latest(log, F.struct("batch_id", "seq"))
 
     def partition(self, partition_key: str) -> "PartitionState":
         return PartitionState(self, partition_key)

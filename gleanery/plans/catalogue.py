@@ -637,6 +637,28 @@ def diff_removal(spark, sf):
     )
 
 
+@query
+def snapshot_history(spark, sf):
+    """A record per document is stored, then stored again with its label: what changed?"""
+    limits = F.struct("n_chars", "lang")
+    docs = v.table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("key"), "doc_id", F.col("source").alias("name"), limits.alias("limits")
+    )
+    state = st.StateTable(spark, work_dir(spark, "state"))
+    first = docs.withColumn("value_json", F.to_json(F.struct(F.struct("name", "limits").alias("plugin"))))
+    di.diff_with_last(state, first, 1, 3)
+    labelled = docs.join(v.table(spark, sf, "labels"), "doc_id").withColumn(
+        "name", F.when(F.col("toxic") == 1, F.lit("blocked")).otherwise(F.col("name"))
+    )
+    again = labelled.withColumn(
+        "value_json",
+        F.to_json(F.struct(F.struct("name", "limits").alias("plugin"), F.struct("quality").alias("label"))),
+    )
+    return di.diff_with_last(state, again, 2, 3).select(
+        "key", F.array_join("path", ".").alias("path"), "kind", "value_json"
+    )
+
+
 # ---- aggregates ------------------------------------------------------------------------
 
 

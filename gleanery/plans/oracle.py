@@ -254,6 +254,12 @@ ORACLE = {
       SELECT key, value_json FROM d WHERE kind = 'added' AND path = 'click.k'""",
     "diff_removal": f"""WITH {_SNAPS}, d AS ({_NESTED_DIFF})
       SELECT key, 'k' AS path, value_json FROM d WHERE kind = 'removed' AND path = 'click.k'""",
+    "snapshot_history": """WITH d AS (SELECT doc_id::VARCHAR AS key, * FROM documents JOIN labels USING (doc_id))
+      SELECT key, 'plugin.limits.n_chars' AS path, 'unchanged' AS kind, n_chars::VARCHAR AS value_json FROM d
+      UNION ALL SELECT key, 'plugin.limits.lang', 'unchanged', '"'||lang||'"' FROM d
+      UNION ALL SELECT key, 'plugin.name', CASE WHEN toxic = 1 THEN 'removed' ELSE 'unchanged' END, '"'||source||'"' FROM d
+      UNION ALL SELECT key, 'plugin.name', 'added', '"blocked"' FROM d WHERE toxic = 1
+      UNION ALL SELECT key, 'label.quality', 'added', quality::VARCHAR FROM d""",
     "duplicate_groups": """SELECT sha256(text) AS content_hash, count(*) AS copies,
       'item_'||min(doc_id) AS first_item_id FROM documents GROUP BY 1 HAVING count(*) > 1""",
     "dedup_by_hash": f"""WITH {_DOCS} SELECT sha256(text) AS content_hash, 'item_'||min(doc_id) AS item_id,

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from gleanery.operators import diff as di, merge as me
 from gleanery.operators.hierarchy import item_tree
+from gleanery.operators.state import StateTable
+from gleanery.session import work_dir
 
 
 def random_value(rng, depth, lists=True):
@@ -210,3 +212,26 @@ def test_cycle_is_reported(spark):
     df = spark.createDataFrame([("a", "b"), ("b", "a")], "item_id string, parent_id string")
     with pytest.raises(ValueError, match="cycle"):
         item_tree(df, max_rounds=3)
+
+
+def test_diff_with_last_snapshot(spark):
+    state = StateTable(spark, work_dir(spark, "state"))
+
+    def store(batch, **records):
+        data = [(k, json.dumps(v)) for k, v in records.items()]
+        diff = di.diff_with_last(state, spark.createDataFrame(data, "key string, value_json string"), batch)
+        return sorted((r.key, ".".join(r.path), r.kind, r.value_json) for r in diff.collect())
+
+    assert store(1, a={"x": 1, "y": {}}, b={}) == []
+    changed = [("a", "x", "added", "2"), ("a", "x", "removed", "1"), ("a", "y.z", "added", "0")]
+    assert store(2, a={"x": 2, "y": {"z": 0}}, b={"x": 1}) == changed
+    # The same batch again is still compared with the one before it.
+    assert store(2, a={"x": 2, "y": {"z": 0}}, b={"x": 1}) == changed
+    assert store(3, b={"x": 1}) == [("b", "x", "unchanged", "1")]
+
+
+def test_merged_at(spark):
+    df = spark.createDataFrame([(0, 0, '{"a":{"b":1,"c":[2]},"d":3}')], "n int, layer int, record string")
+    merged = me.layered_merge(me.to_leaves(df, ["n", "layer"], "record", 3), "n")
+    assert rows(me.merged_at(merged, "a"), "path", "value_json") == [(["a", "b"], "1"), (["a", "c"], "2")]
+    assert rows(me.merged_at(merged, "d"), "value_json") == [("3",)] and rows(me.merged_at(merged, "x")) == []

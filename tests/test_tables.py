@@ -206,6 +206,7 @@ def test_cache(spark):
         "partition_key string, file_extension string, unique_id string, content_text string, content_binary binary",
     )
     assert rows(table.save(content, 1), "cache_id") == [("p|.txt|u1|0",), ("p||u2|1",), ("q|.md|u3|0",)]
+    assert rows(table.partition("q").list()) == [("q|.md|u3|0",)]
     assert rows(table.list("p")) == [("p|.txt|u1|0",), ("p||u2|1",)] and rows(table.list("none")) == []
     wanted = spark.createDataFrame([("p||u2|1",), ("q|.md|u3|0",), ("p|.md|u3|0",), ("bad",)], "cache_id string")
     got = {r.cache_id: r.content_text or bytes(r.content_binary) for r in table.get(wanted).collect()}
@@ -217,3 +218,19 @@ def test_cache(spark):
     assert rows(table.remove_orphans(items, 3)) == [("q|.md|u3|0",)]
     assert rows(table.read(), "cache_id") == [("p||u2|1",)]
     assert rows(table.compact_to(work_dir(spark, "cache")).read(), "cache_id") == [("p||u2|1",)]
+
+
+def test_removed_items_lead_to_their_cached_content(spark):
+    cache = ca.CacheTable(spark, work_dir(spark, "cache"))
+    content = spark.createDataFrame([("u1", "one"), ("u2", "two"), ("u3", "three")], "unique_id string, content_text string")
+    cache.partition("p").save(content.withColumn("file_extension", F.lit(".txt")), 1)
+    items = it.ItemsTable(spark, work_dir(spark, "items"))
+    stored = make_items(spark, THREE).withColumn(
+        "location", F.concat(F.lit("p|.txt|u"), F.substring("item_id", 2, 1), F.lit("|0"))
+    )
+    items.append(stored, 1)
+    removed = items.remove_by_url(urls(spark, "test://example.com"), 2)
+    gone = cache.partition("p").remove_all(removed.select(F.col("location").alias("cache_id")), 1)
+    assert rows(gone) == [("p|.txt|u1|0",), ("p|.txt|u3|0",)]
+    assert rows(cache.list("p")) == [("p|.txt|u2|0",)]
+    assert rows(items.urls()) == [("test://other.com",)]
