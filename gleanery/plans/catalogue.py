@@ -17,7 +17,7 @@ from ..sources.tables import spread
 from ..sources.union import union_sources
 from ..streaming import streams
 from . import views as v
-from .pipeline import index_folder, index_listing, index_sources
+from .indexing import index_folder, index_listing, index_sources
 from .registry import Registry
 
 QUERIES = {}

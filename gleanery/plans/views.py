@@ -111,7 +111,8 @@ def snapshots(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     from ..operators.state import state_latest
 
     log = state_log(spark, sf_dir)
-    cut1, cut2 = F.lit(SNAPSHOT_1).cast("timestamp"), F.lit(SNAPSHOT_2).cast("timestamp")
+    kind = log.schema["ts"].dataType
+    cut1, cut2 = F.lit(SNAPSHOT_1).cast(kind), F.lit(SNAPSHOT_2).cast(kind)
     return (
         state_latest(log.filter(F.col("ts") < cut1)),
         state_latest(log.filter((F.col("ts") >= cut1) & (F.col("ts") < cut2))),

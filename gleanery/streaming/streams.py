@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.items import ItemsTable
 from ..operators.state import KEYS, StateTable
-from ..plans.pipeline import index_listing
+from ..plans.indexing import index_listing
 from ..plans.registry import Registry
 from ..schemas import BINARY_FILE
 from ..functions import paths

@@ -8,7 +8,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from gleanery.operators import items as it, state as st
-from gleanery.plans.pipeline import index_folder, index_sources
+from gleanery.plans.indexing import index_folder, index_sources
 from gleanery.plans.registry import Registry
 from gleanery.session import work_dir
 from gleanery.sources import files as fi, listing
@@ -187,7 +187,7 @@ def test_batch_cut_off_before_its_commit_is_done_again(spark, folder):
     calls = []
 
     def fail_once(df, batch):
-        from gleanery.plans.pipeline import index_listing
+        from gleanery.plans.indexing import index_listing
 
         index_listing(df, items, batch)
         calls.append(batch)
