@@ -64,21 +64,21 @@ def discover_files(spark: SparkSession, root: str, extensions=None) -> DataFrame
 
 def decode(df: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """Raw bytes -> fetched columns: text or binary, name as title, type from the suffix."""
-    p, raw = F.col(path), F.col(content)
-    binary = tx.is_binary(raw)
-    text = F.when(~binary, tx.decode_text(raw))
+    p, raw, binary, valid = F.col(path), F.col(content), F.col("__binary"), F.col("__valid")
+    # Checked in a projection of its own, so that each check runs once.
+    df = df.withColumns({"__binary": tx.is_binary(raw), "__valid": F.try_validate_utf8(raw)})
     return df.withColumns(
         {
             "title": paths.file_name(p),
             "mime_type": paths.mime_from_path(p),
-            "content_text": text,
+            "content_text": F.when(~binary, tx.newlines(valid)),
             "content_binary": F.when(binary, raw),
             "content_type": F.when(binary, F.lit("blob")).otherwise(F.lit("string")),
             "fetcher": F.lit("file"),
             "route_status": F.lit("success"),
-            "error": _read_error(df, F.when(~binary & ~F.is_valid_utf8(raw), F.lit(UNDECODABLE))),
+            "error": _read_error(df, F.when(~binary & valid.isNull(), F.lit(UNDECODABLE))),
         }
-    ).drop(content, "read_error")
+    ).drop(content, "read_error", "__binary", "__valid")
 
 
 def _read_error(df: DataFrame, other: Column) -> Column:

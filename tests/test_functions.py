@@ -1,5 +1,6 @@
 import hashlib
 import json
+import random
 import re
 import urllib.parse
 from pathlib import PurePosixPath
@@ -77,6 +78,24 @@ def test_html(spark):
     assert many(spark, HTML, "string", tx.html_title) == [html_title_by_re(h) for h in HTML]
 
 
+PIECES = [
+    "<script", "<SCRIPT>", "</script>", "<\u017fcript>", "<scr\u0131pt>", "<scr\u0130pt>", "<style", "<style>", "</style>",
+    "</STYLE >", "<title>", "</title>", "<TITLE x>", "<t\u0130tle>", "<p>", "<", ">", "<>", " ", "  ", "\n", "\r", "\t",
+    "\x0b", "\x0c", "\x1c", "\x1f", "\x85", "\xa0", "\u1680", "\u180e", "\u2003", "\u200b", "\u2028", "\u3000", "\ufeff",
+    "a", "B", "é", "😀", "$1", "\\\\", "&amp;", "\0",
+]
+
+
+def test_random_markup(spark):
+    rng = random.Random(11)
+    pages = ["".join(rng.choices(PIECES, k=rng.randint(1, 30))) for _ in range(4000)]
+    assert many(spark, pages, "string", tx.html_text) == [html_text_by_re(p) for p in pages]
+    assert many(spark, pages, "string", tx.html_title) == [html_title_by_re(p) for p in pages]
+    lines = [p.strip().split("\n")[0].strip() for p in pages]
+    assert many(spark, pages, "string", tx.first_line) == lines
+    assert many(spark, pages, "string", tx.newlines) == [p.replace("\r\n", "\n").replace("\r", "\n") for p in pages]
+
+
 def test_long_input_does_not_overflow(spark):
     page = "<p>" * 50_000 + " \n" * 50_000 + "x" + "<script>" + "y" * 200_000 + "</script>"
     assert one(spark, page, "string", tx.html_text(F.col("v"))) == "x"
