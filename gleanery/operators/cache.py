@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import identity
 from ..sources.tables import append_batch, read_batches
+from .joins import light
 
 CACHE = (
     "cache_id string, partition_key string, file_extension string, unique_id string, "
@@ -46,12 +47,12 @@ def cache_get(cache: DataFrame, ids: DataFrame) -> DataFrame:
     wanted = wanted.withColumn(
         "partition_key", identity.cache_id_decode(F.col("cache_id"))["partition_key"]
     )
-    return cache.join(wanted, ["partition_key", "cache_id"], "left_semi")
+    return cache.join(light(wanted), ["partition_key", "cache_id"], "left_semi")
 
 
 def cache_remove(cache: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(remaining rows, ids that were there and are removed)."""
-    gone = ids.select("cache_id").distinct()
+    gone = light(ids.select("cache_id").distinct())
     return (
         cache.join(gone, "cache_id", "left_anti"),
         cache.select("cache_id").join(gone, "cache_id", "left_semi"),

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..schemas import ITEMS, METADATA_FIELDS
 from ..sources.tables import append_batch, read_batches
-from .joins import join_unique
+from .joins import is_small, join_unique, light, only_matching
 
 
 def _order():
@@ -25,11 +25,12 @@ def first_item_per_url(items: DataFrame) -> DataFrame:
 
 def find_item_id(probes: DataFrame, items: DataFrame, spread_by) -> DataFrame:
     """Probe rows with the id of the first stored item of their URL, null if none."""
-    return join_unique(probes, first_item_per_url(items), "source_url", "left", spread_by)
+    asked = only_matching(items, probes, "source_url")
+    return join_unique(probes, first_item_per_url(asked), "source_url", "left", spread_by)
 
 
 def find_item(items: DataFrame, ids: DataFrame) -> DataFrame:
-    return items.join(ids.select("item_id").distinct(), "item_id", "left_semi")
+    return items.join(light(ids.select("item_id").distinct()), "item_id", "left_semi")
 
 
 def stored_urls(items: DataFrame) -> DataFrame:
@@ -42,9 +43,10 @@ def skip_existing(discovered: DataFrame, items: DataFrame, spread_by=None) -> Da
     A file listing has each URL once; for listings that repeat URLs name the columns
     that tell the copies apart in `spread_by`.
     """
+    stored = stored_urls(only_matching(items, discovered, "source_url"))
     if spread_by is None:
-        return discovered.join(stored_urls(items), "source_url", "left_anti")
-    return join_unique(discovered, stored_urls(items), "source_url", "left_anti", spread_by)
+        return discovered.join(stored, "source_url", "left_anti")
+    return join_unique(discovered, stored, "source_url", "left_anti", spread_by)
 
 
 def last_per_item(changes: DataFrame, order: str) -> DataFrame:
@@ -63,7 +65,7 @@ def update_items(items: DataFrame, updates: DataFrame) -> DataFrame:
         "item_id", F.col("content_hash").alias("__h"), F.col("content_type").alias("__t")
     )
     return (
-        items.join(u, "item_id", "left")
+        items.join(light(u), "item_id", "left")
         .withColumns(
             {
                 "content_hash": F.coalesce("__h", "content_hash"),
@@ -81,12 +83,12 @@ def update_metadata(items: DataFrame, updates: DataFrame) -> DataFrame:
     replaced = {
         c: F.when(F.col("__m").isNotNull(), F.col(f"__m.{c}")).otherwise(F.col(c)) for c in fields
     }
-    return items.join(u, "item_id", "left").withColumns(replaced).select(*items.columns)
+    return items.join(light(u), "item_id", "left").withColumns(replaced).select(*items.columns)
 
 
 def remove_item(items: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(survivors, removed rows' ids). `cache_id` is the nominal id, `location` the usable one."""
-    gone = ids.select("item_id").distinct()
+    gone = light(ids.select("item_id").distinct())
     return (
         items.join(gone, "item_id", "left_anti"),
         _removed(items.join(gone, "item_id", "left_semi")),
@@ -95,9 +97,10 @@ def remove_item(items: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]
 
 def remove_by_url(items: DataFrame, urls: DataFrame) -> tuple[DataFrame, DataFrame]:
     gone = urls.select("source_url").distinct()
+    how = dict(on="source_url", spread_by="item_id", right_is_small=is_small(gone))
     return (
-        join_unique(items, gone, "source_url", "left_anti", "item_id"),
-        _removed(join_unique(items, gone, "source_url", "left_semi", "item_id")),
+        join_unique(items, gone, how="left_anti", **how),
+        _removed(join_unique(items, gone, how="left_semi", **how)),
     )
 
 
@@ -194,7 +197,8 @@ class ItemsTable:
     def remove_by_url(self, urls: DataFrame, seq: int) -> DataFrame:
         gone = urls.select("source_url").distinct()
         rows = self.read().select("item_id", "source_url")
-        return self._remove(join_unique(rows, gone, "source_url", "left_semi", "item_id"), seq)
+        hit = join_unique(rows, gone, "source_url", "left_semi", "item_id", is_small(gone))
+        return self._remove(hit, seq)
 
     def _remove(self, hit: DataFrame, seq: int) -> DataFrame:
         # The ids are logged, not the request: items stored later are not affected.

@@ -1,4 +1,5 @@
-"""A join that stays balanced when one key holds a large share of the left rows."""
+"""Joins that do not shuffle a large side for a small one, and that stay balanced when
+one key holds a large share of the rows."""
 
 from __future__ import annotations
 
@@ -11,9 +12,38 @@ from pyspark.sql import DataFrame, functions as F
 # with few rows is no burden, whatever its share.
 HEAVY_SHARE = 1000
 HEAVY_ROWS = 10_000
+# What may be broadcast, after counting it.
+BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 << 20
 _HEAVY, _SALT = "__heavy", "__salt"
 
 
+def is_small(df: DataFrame) -> bool:
+    """Counts rows, and then bytes if the rows are few. Reads `df` once or twice."""
+    if df.agg(F.count(F.lit(1))).first()[0] > BROADCAST_ROWS:
+        return False
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return size <= BROADCAST_BYTES
+
+
+def light(df: DataFrame) -> DataFrame:
+    """`df` marked for broadcast if it is small; otherwise the join shuffles as usual.
+
+    The optimizer's own estimate is no help for rows that come from Python or out of a
+    join, and guessing wrong means shuffling the whole table on the other side.
+    """
+    return F.broadcast(df) if is_small(df) else df
+
+
+def only_matching(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """`rows` cut down to the keys asked for, if these are few: so that what follows does
+    not group or shuffle the whole table. With many keys, `rows` as they are."""
+    keys = keys.select(on)
+    if not is_small(keys):
+        return rows
+    return rows.join(F.broadcast(keys.distinct()), on, "left_semi")
+
+
 def heavy_keys(df: DataFrame, on: list[str]) -> DataFrame:
     total = df.select(F.count(F.lit(1))).scalar()
     return (
@@ -32,14 +62,22 @@ def _mark(df: DataFrame, heavy: DataFrame, on: list[str]) -> DataFrame:
 
 
 def join_unique(
-    left: DataFrame, right: DataFrame, on: list[str] | str, how: str, spread_by: list[str] | str
+    left: DataFrame,
+    right: DataFrame,
+    on: list[str] | str,
+    how: str,
+    spread_by: list[str] | str,
+    right_is_small: bool = False,
 ) -> DataFrame:
     """`left.join(right, on, how)` for a right side with one row per key.
 
     Left rows of a heavy key are spread over all shuffle partitions by a hash of
     `spread_by` (columns that tell those rows apart), and the one right row of that
-    key is repeated for each. All other rows join as usual.
+    key is repeated for each. All other rows join as usual. A right side that the
+    caller found small is simply broadcast.
     """
+    if right_is_small:
+        return left.join(F.broadcast(right), on, how)
     on = [on] if isinstance(on, str) else list(on)
     spread_by = [spread_by] if isinstance(spread_by, str) else list(spread_by)
     n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -47,14 +47,16 @@ def extract_rows(fetched: DataFrame, registry: Registry, max_depth: int = 3) ->
 def index_listing(listed: DataFrame, items: ItemsTable, batch_id: int, registry: Registry | None = None):
     """One batch. Running it again with the same number replaces what it stored."""
     registry = registry or Registry()
-    # What an earlier try of this batch stored does not count as stored. The listing is
-    # used twice (sizes, then reading), and holds no content.
+    # Listings hold no content, and are used more than once: counted, joined, sized, read.
+    listed = listed.persist()
+    # What an earlier try of this batch stored does not count as stored.
     fresh = skip_existing(listed, items.urls(without_batch=batch_id)).persist()
     try:
         extracted = extract_rows(fetch(fresh, registry, with_errors=False), registry)
         items.append(to_items(stored_rows(extracted).withColumn("insert_seq", F.lit(batch_id))), batch_id)
     finally:
         fresh.unpersist()
+        listed.unpersist()
     for write in registry.stores.values():
         # From what was just written: the files are not read a second time.
         write(items.batch(batch_id), batch_id)

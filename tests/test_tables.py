@@ -126,6 +126,41 @@ def test_join_unique_with_one_heavy_key(spark, monkeypatch):
         assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0, how
 
 
+def test_small_sides_are_counted_before_they_are_broadcast(spark, monkeypatch):
+    keys = spark.createDataFrame([(f"k{i}",) for i in range(50)], "k string")
+    table = spark.range(1000).select("id", F.concat(F.lit("k"), (F.col("id") % 100).cast("string")).alias("k"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    small = table.join(joins.light(keys), "k", "left_semi")
+    assert "BroadcastHashJoin" in plan(small)
+    assert joins.only_matching(table, keys, "k").count() == small.count() == 500
+    for limit in ("BROADCAST_ROWS", "BROADCAST_BYTES"):
+        with monkeypatch.context() as m:
+            m.setattr(joins, limit, 49)
+            assert not joins.is_small(keys)
+            large = table.join(joins.light(keys), "k", "left_semi")
+            assert "SortMergeJoin" in plan(large) and large.count() == 500
+            assert joins.only_matching(table, keys, "k").count() == 1000
+    assert joins.is_small(keys.filter("false"))
+
+
+def test_operators_agree_whichever_way_they_join(spark, monkeypatch):
+    def everything():
+        items = make_items(spark, THREE)
+        probes = spark.createDataFrame([(1, "test://example.com"), (2, "none")], "n int, source_url string")
+        left, removed = it.remove_by_url(items, urls(spark, "test://example.com"))
+        return [
+            rows(it.find_item_id(probes, items, "n"), "n", "item_id"), rows(it.skip_existing(probes, items), "n"),
+            rows(it.skip_existing(probes, items, "n"), "n"), rows(left, "item_id"), rows(removed, "item_id"),
+            rows(it.find_item(items, ids(spark, "i1", "zz")), "item_id"),
+        ]
+
+    before = everything()
+    assert before == [[(1, "i1"), (2, None)], [(2,)], [(2,)], [("i2",)], [("i1",), ("i3",)], [("i1",)]]
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(joins, "HEAVY_ROWS", 0)
+    assert everything() == before
+
+
 def test_heavy_rows_are_spread(spark, monkeypatch):
     monkeypatch.setattr(joins, "HEAVY_ROWS", 500)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
