@@ -223,6 +223,8 @@ class ItemsTable:
     def read(self, without_batch: int | None = None) -> DataFrame:
         """Rows with the changes applied. Later changes win; a removed id stays removed."""
         log, rows = self.changes(), self.rows(without_batch)
+        if "batch_id" not in log.columns:  # nothing was logged yet
+            return rows
         removed = log.filter("op = 'remove'").select("item_id").distinct()
         content = last_per_item(
             log.filter("op = 'content'").select("item_id", "content_hash", "content_type", "change_seq"),
@@ -238,6 +240,8 @@ class ItemsTable:
         """Distinct URLs of the current rows, without folding what does not bear on them."""
         log = self.changes()
         rows = self.rows(without_batch).select("item_id", "source_url")
+        if "batch_id" not in log.columns:
+            return stored_urls(rows)
         removed = log.filter("op = 'remove'").select("item_id").distinct()
         moved = last_per_item(
             log.filter("op = 'metadata'").select("item_id", "source_url", "change_seq"), "change_seq"

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # A key is heavy when it holds more than 1/HEAVY_SHARE of the rows, so there are
 # always fewer than HEAVY_SHARE heavy keys: that bounds what is broadcast here. A key
@@ -18,12 +18,23 @@ BROADCAST_BYTES = 64 << 20
 _HEAVY, _SALT = "__heavy", "__salt"
 
 
+def _row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes."""
+    parts = []
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            parts.append(F.coalesce(F.octet_length(f.name), F.lit(0)) + 16)
+        elif isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)):
+            parts.append(F.coalesce(F.octet_length(F.to_json(F.struct(f.name))), F.lit(0)) + 16)
+        else:
+            parts.append(F.lit(16))
+    return reduce(lambda a, b: a + b, parts)
+
+
 def is_small(df: DataFrame) -> bool:
-    """Counts rows, and then bytes if the rows are few. Reads `df` once or twice."""
-    if df.agg(F.count(F.lit(1))).first()[0] > BROADCAST_ROWS:
-        return False
-    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
-    return size <= BROADCAST_BYTES
+    """Counts the rows and their bytes; one pass over `df`."""
+    rows, size = df.agg(F.count(F.lit(1)), F.sum(_row_bytes(df).cast("long"))).first()
+    return rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES
 
 
 def light(df: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from ..plans.indexing import index_listing
 from ..plans.registry import Registry
 from ..schemas import BINARY_FILE
 from ..functions import paths
-from ..sources.files import glob_for, listing
+from ..sources.files import glob_for, listing, pack
 from ..sources.tables import append_batch
 
 
@@ -68,7 +68,7 @@ def index_stream(
     items table, so the stream itself keeps no record of them.
     """
     return run(
-        listed, lambda df, batch: index_listing(df, items, batch, registry), checkpoint, **kw
+        listed, lambda df, batch: index_listing(pack(df), items, batch, registry), checkpoint, **kw
     )
 
 
