@@ -165,6 +165,10 @@ _CHANGE = "op string, change_seq long, " + ", ".join(
 )
 
 
+# What single items are asked for by.
+LOOK_UP_BY = ("item_id", "source_url", "content_hash")
+
+
 class ItemsTable:
     """Appended batches plus a change log under one folder."""
 
@@ -172,7 +176,8 @@ class ItemsTable:
         self.spark, self.root = spark, root.rstrip("/")
 
     def append(self, items: DataFrame, batch_id: int) -> None:
-        append_batch(items.select(*ITEMS.fieldNames()), f"{self.root}/rows", batch_id)
+        rows = items.select(*ITEMS.fieldNames())
+        append_batch(rows, f"{self.root}/rows", batch_id, look_up_by=LOOK_UP_BY)
 
     def _log(self, changes: DataFrame, op: str, seq: int) -> None:
         cols = [
@@ -236,6 +241,13 @@ class ItemsTable:
         rows = rows.join(removed, "item_id", "left_anti")
         return update_metadata(update_items(rows, content), meta)
 
+    def item(self, item_id: str) -> DataFrame:
+        """The row of one id. The filter reaches the scan, also past the change log."""
+        return self.read().filter(F.col("item_id") == item_id)
+
+    def with_hash(self, content_hash: str) -> DataFrame:
+        return self.read().filter(F.col("content_hash") == content_hash)
+
     def urls(self, without_batch: int | None = None) -> DataFrame:
         """Distinct URLs of the current rows, without folding what does not bear on them."""
         log = self.changes()

@@ -7,15 +7,20 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
-def append_batch(df: DataFrame, root: str, batch_id: int, partition_by: str | None = None) -> None:
+def append_batch(
+    df: DataFrame, root: str, batch_id: int, partition_by: str | None = None, look_up_by=()
+) -> None:
+    """`look_up_by` columns get bloom filters, so that reads for one value skip row groups."""
+    writer = df.write
     if partition_by:
         # AQE cuts large partition values into several writers and packs small ones,
         # so neither one hot value nor thousands of tiny files result.
-        df = df.hint("rebalance", partition_by)
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(f"{root}/batch_id={int(batch_id)}")
+        writer = df.hint("rebalance", partition_by).write.partitionBy(partition_by)
+    if look_up_by:
+        writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true")
+        for c in look_up_by:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    writer.mode("overwrite").parquet(f"{root}/batch_id={int(batch_id)}")
 
 
 def read_batches(spark: SparkSession, root: str, schema=None) -> DataFrame:

@@ -102,6 +102,10 @@ def test_items_table(spark):
     # An item stored after its URL was removed stays.
     table.append(make_items(spark, [("i5", 5, "test://example.com", "h")]), 3)
     assert rows(table.read(), "item_id") == [("i4",), ("i5",)]
+    one = table.item("i5")
+    assert rows(one, "source_url") == [("test://example.com",)] and table.item("i1").count() == 0
+    assert "EqualTo(item_id,i5)" in one._jdf.queryExecution().executedPlan().toString()
+    assert rows(table.with_hash("h2"), "item_id") == [("i4",)]
     fresh = table.compact_to(work_dir(spark, "items"))
     assert rows(fresh.read()) == rows(table.read())
 
@@ -269,3 +273,16 @@ def test_removed_items_lead_to_their_cached_content(spark):
     assert rows(gone) == [("p|.txt|u1|0",), ("p|.txt|u3|0",)]
     assert rows(cache.list("p")) == [("p|.txt|u2|0",)]
     assert rows(items.urls()) == [("test://other.com",)]
+
+
+def test_stored_items_have_bloom_filters(spark):
+    import duckdb
+
+    table = it.ItemsTable(spark, work_dir(spark, "items"))
+    table.append(make_items(spark, THREE), 1)
+    root = table.root.removeprefix("file:")
+    found = duckdb.sql(
+        f"select distinct path_in_schema from parquet_metadata('{root}/rows/batch_id=1/*.parquet') "
+        "where bloom_filter_length is not null"
+    ).fetchall()
+    assert {c for c, in found} == set(it.LOOK_UP_BY)
