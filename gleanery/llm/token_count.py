@@ -19,8 +19,9 @@ from .common import worker_cache
 _BATCH_BYTES = 1 << 22
 
 
-def read_vocabulary(path: str) -> list[bytes]:
-    """The byte strings of a byte-level vocabulary file of the tokenizers library."""
+def byte_vocabulary(path: str) -> dict[bytes, int]:
+    """The byte strings of a byte-level vocabulary file of the tokenizers library, with their
+    ids; special tokens are left out."""
     with open(path, encoding="utf-8") as f:
         content = json.load(f)
     # Byte-level vocabularies show each byte as a printable character: printable Latin-1
@@ -29,7 +30,7 @@ def read_vocabulary(path: str) -> list[bytes]:
     byte_of = {chr(b): b for b in printable}
     byte_of |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
     special = {t["content"] for t in content.get("added_tokens", [])}
-    return [bytes(byte_of[c] for c in t) for t in content["model"]["vocab"] if t not in special]
+    return {bytes(byte_of[c] for c in t): i for t, i in content["model"]["vocab"].items() if t not in special}
 
 
 class Automaton:
@@ -129,7 +130,7 @@ def token_counts(docs: DataFrame, vocabulary_path: str, text: str = "text", key:
         cache = worker_cache()
         slot = ("automaton", vocabulary_path)
         if slot not in cache:
-            cache[slot] = Automaton(read_vocabulary(vocabulary_path))
+            cache[slot] = Automaton(list(byte_vocabulary(vocabulary_path)))
         automaton = cache[slot]
         for batch in batches:
             texts = batch.column(1).to_pylist()
