@@ -50,6 +50,8 @@ PAGES = [
     ),
     (f"<p>{_LONG}</p><p>{_LONG}</p><p>{_SHORT}</p><p>{_MID}</p>", [_LONG, _SHORT, _MID]),
     ("<p>One.</p>", ["One."]),
+    ("<p>A line of text.</p><p>And the next line.</p>", ["A line of text.", "And the next line."]),
+    ("<p>Five words make a line.</p><h2>A head</h2><p>Six words make a longer line.</p>", ["Five words make a line.", "A head", "Six words make a longer line."]),
     ("<p>Only one line of text stands here.</p>", ["Only one line of text stands here."]),
     (f"<p>{_LONG}</p>", [_LONG]),
     ("<article><p>One.</p></article>", ["One."]),
