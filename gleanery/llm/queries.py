@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_extract, mixing, packing, sharding, token_count
+from . import exact_dedup, html_extract, mixing, packing, sharding, token_count, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 SHARDS = [f"shard-{i:03}" for i in range(64)]
@@ -40,11 +40,15 @@ def op6_sharding(spark, sf_dir):
     return sharding.shard(_table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
 
 
+def op8_toxicity(spark, sf_dir):
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_html_extraction(spark, sf_dir):
     return html_extract.extract(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_packing, op4_token_counts, op5_mixing, op6_sharding, op9_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_packing, op4_token_counts, op5_mixing, op6_sharding, op8_toxicity, op9_html_extraction)}
 
 ORACLE = {
     "op1_exact_dedup": r"""
