@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_extract, mixing, packing, sharding, token_count, toxicity
+from . import ann, exact_dedup, html_extract, mixing, packing, sharding, token_count, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 SHARDS = [f"shard-{i:03}" for i in range(64)]
@@ -48,7 +48,11 @@ def op9_html_extraction(spark, sf_dir):
     return html_extract.extract(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_packing, op4_token_counts, op5_mixing, op6_sharding, op8_toxicity, op9_html_extraction)}
+def op10_vector_search(spark, sf_dir):
+    return ann.nearest(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_packing, op4_token_counts, op5_mixing, op6_sharding, op8_toxicity, op9_html_extraction, op10_vector_search)}
 
 ORACLE = {
     "op1_exact_dedup": r"""
@@ -62,6 +66,19 @@ ORACLE = {
                row_number() OVER (PARTITION BY norm ORDER BY n DESC, doc_id) = 1 AS kept,
                sha256(norm) AS text_sha256
         FROM d""",
+    "op10_vector_search": r"""
+        WITH v AS (
+            SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0
+              AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+        p AS (
+            SELECT q.vec_id AS query_id, v.vec_id,
+                   list_sum(list_transform(list_zip(q.e, v.e), lambda z: z[1] * z[2])) AS score
+            FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0)
+        SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, score
+        FROM p WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+        QUALIFY rank <= 20""",
     "op5_mixing": r"""
         WITH d AS (
             SELECT doc_id, source,
