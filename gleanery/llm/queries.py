@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, exact_dedup, html_extract, mixing, packing, sharding, token_count, toxicity
+from . import ann, exact_dedup, html_extract, mixing, packing, sharding, substring, token_count, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 SHARDS = [f"shard-{i:03}" for i in range(64)]
@@ -40,6 +40,10 @@ def op6_sharding(spark, sf_dir):
     return sharding.shard(_table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
 
 
+def op7_substring_dedup(spark, sf_dir):
+    return substring.kept_words(_table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op8_toxicity(spark, sf_dir):
     return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -52,7 +56,7 @@ def op10_vector_search(spark, sf_dir):
     return ann.nearest(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_packing, op4_token_counts, op5_mixing, op6_sharding, op8_toxicity, op9_html_extraction, op10_vector_search)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_packing, op4_token_counts, op5_mixing, op6_sharding, op7_substring_dedup, op8_toxicity, op9_html_extraction, op10_vector_search)}
 
 ORACLE = {
     "op1_exact_dedup": r"""
