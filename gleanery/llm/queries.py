@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, exact_dedup, html_extract, mixing, packing, sharding, substring, token_count, toxicity
+from . import ann, exact_dedup, html_extract, jaccard_join, mixing, packing, sharding, substring, token_count, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 SHARDS = [f"shard-{i:03}" for i in range(64)]
@@ -24,6 +24,10 @@ def op1_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op2_near_duplicates(spark, sf_dir):
+    return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark, sf_dir):
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -56,7 +60,7 @@ def op10_vector_search(spark, sf_dir):
     return ann.nearest(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_packing, op4_token_counts, op5_mixing, op6_sharding, op7_substring_dedup, op8_toxicity, op9_html_extraction, op10_vector_search)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_duplicates, op3_packing, op4_token_counts, op5_mixing, op6_sharding, op7_substring_dedup, op8_toxicity, op9_html_extraction, op10_vector_search)}
 
 ORACLE = {
     "op1_exact_dedup": r"""
