@@ -13,9 +13,9 @@ import hashlib
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from .common import cut, heavy_values, partitions
+from .common import cut, heavy_values, partitions, rows_of, with_digest
 
 BLOCK_BYTES = 4096
 # Ranks stay below 2^40 within one bucket; the bucket stands above them.
@@ -153,3 +153,14 @@ def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         (F.col("rid") == F.col("best.rid")).alias("kept"),
         F.col("sha").alias("text_sha256"),
     )
+
+
+def _digests(texts):
+    return [hashlib.sha256(b"".join((t or "").encode().split())).hexdigest() for t in texts]
+
+
+def without_copies(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of `docs`, with all their columns, that exact_dedup keeps."""
+    kept = exact_dedup(docs.select("doc_id", "text"), block_bytes).filter("kept")
+    winners = cut(kept.select("doc_id", F.col("text_sha256").alias("digest")), "kept")
+    return rows_of(with_digest(docs, _digests, T.StringType()), winners)

@@ -17,10 +17,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .components import components
-from .common import cut
+from .common import cut, rows_of, with_digest
 from .postings import OFTEN, repeated
 from .words import Words, chunks, mix
 
@@ -230,7 +230,7 @@ def _links(records: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id: one row per row of `docs`.
+    """doc_id, n_shingles, component_id, set_hash: one row per row of `docs`.
 
     Words are runs of characters other than blank and \\x09-\\x0D, with A-Z in lower case; a
     document's set has its distinct runs of `shingle` words, or all its words as one if it has
@@ -255,7 +255,28 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     )
     roots = cut(_links(records, percent), "components")
     joined = sets.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    joined = cut(joined.select("doc_id", "n_shingles", "root"), "rooted")
+    joined = cut(joined.select("doc_id", "n_shingles", "root", "key"), "rooted")
     ids = cut(joined.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id")), "smallest")
-    linked = joined.filter("n_shingles > 0").join(ids, "root").select("doc_id", "n_shingles", "component_id")
-    return linked.unionByName(joined.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    out = ["doc_id", "n_shingles", "component_id", F.col("key").alias("set_hash")]
+    linked = joined.filter("n_shingles > 0").join(ids, "root").select(*out)
+    return linked.unionByName(joined.filter("n_shingles = 0").withColumn("component_id", F.col("doc_id")).select(*out))
+
+
+def without_near_copies(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of `docs`, with all their columns, less those linked, directly or over others, to
+    a row with a smaller doc_id: one of each group stays, and so does all that has no words."""
+
+    def digests(texts):
+        out = []
+        for (part,) in chunks([pa.record_batch({"text": pa.array(texts, pa.string())})]):
+            out += shingle_sets(part, shingle)[3].view(np.int64).tolist()
+        return out
+
+    found = cut(near_duplicates(docs.select("doc_id", "text"), shingle, percent), "near")
+    some = F.col("n_shingles") > 0
+    # A set belongs to one component, so the component's first row is found by its id.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", F.col("set_hash").alias("digest")))
+    group = F.when(F.col("component_id").isNull(), F.col("set_hash"))
+    winners = found.filter(some).groupBy("component_id", group).agg(first.alias("w")).select("w.doc_id", "w.digest")
+    rest = found.filter(~some).select("doc_id", F.col("set_hash").alias("digest")).distinct()
+    return rows_of(with_digest(docs, digests, T.LongType()), cut(winners.unionByName(rest), "winners"))

@@ -182,6 +182,21 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS)
     return [(y, values[a:b]) for y, a, b in zip(table.column(1).to_pylist(), ends, ends[1:])]
 
 
+def _scorer(docs: DataFrame, labels: DataFrame, most: int):
+    """A function that a task calls for a function from texts to scores."""
+    weights, bias = train(training_rows(docs, labels, most))
+    used = np.flatnonzero(weights)
+    values = weights[used]
+
+    def load():
+        w = np.zeros(N_PATTERNS + (1 << HASH_BITS), np.float64)
+        w[used] = values
+        odds = lambda t: np.clip(bias + w[features(t or "")].sum(), -30, 30)
+        return lambda texts: [float(1 / (1 + np.exp(-odds(t)))) for t in texts]
+
+    return load
+
+
 def score(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted: one row per row of `docs`.
 
@@ -191,15 +206,12 @@ def score(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> Data
     from; if a document has two labels, 1 counts. Without labels of both classes all scores are
     the smoothed share of label 1. Repeated rows are scored each. The model has a fixed size.
     """
-    weights, bias = train(training_rows(docs, labels, most))
-    used = np.flatnonzero(weights)
-    values = weights[used]
+    scorer = _scorer(docs, labels, most)
 
     def task(batches):
-        w = np.zeros(N_PATTERNS + (1 << HASH_BITS), np.float64)
-        w[used] = values
+        score_all = scorer()
         for batch in batches:
-            scores = [1 / (1 + np.exp(-np.clip(bias + w[features(t or "")].sum(), -30, 30))) for t in batch.column(2).to_pylist()]
+            scores = score_all(batch.column(2).to_pylist())
             out = pa.array(scores, pa.float64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), out, pa.array([int(s >= 0.5) for s in scores], pa.int32())],
@@ -209,3 +221,16 @@ def score(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> Data
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string")).mapInArrow(
         task, "doc_id long, held_out boolean, score double, predicted int"
     )
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> DataFrame:
+    """The rows of `docs`, with all their columns, that `score` does not predict as toxic."""
+    scorer = _scorer(docs, labels, most)
+    at = docs.columns.index("text")
+
+    def task(batches):
+        score_all = scorer()
+        for batch in batches:
+            yield batch.filter(pa.array([s < 0.5 for s in score_all(batch.column(at).to_pylist())], pa.bool_()))
+
+    return docs.mapInArrow(task, docs.schema)
