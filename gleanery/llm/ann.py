@@ -20,7 +20,7 @@ from .common import cut
 
 SHARD_ROWS = 16_384
 BLOCK_QUERIES = 2048
-LEAF_ROWS = 256
+LEAF_ROWS = 1024
 FACTOR = 1.0
 # Rounding of distances; sides are left out only if they are farther by more than this.
 SLACK = 1e-9
@@ -76,10 +76,7 @@ def build_tree(ids: np.ndarray, vectors: np.ndarray, longest: float) -> bytes:
 def _products(v: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Inner products of rows of v with q, added up in the order of the components, so that equal
     vectors get equal products wherever they stand."""
-    total = np.zeros(len(v))
-    for i in range(v.shape[1]):
-        total += v[:, i] * q[i]
-    return total
+    return np.add.accumulate(v * q, axis=1)[:, -1] if len(v) else np.empty(0)
 
 
 class Search:

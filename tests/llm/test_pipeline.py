@@ -121,7 +121,7 @@ def test_toxicity(spark):
     rows, labels = [], []
     for i in range(600):
         toxic = i % 5 == 0
-        rows.append((i, f"some {'words ' * (i % 9)} n{i} {bad[i // 5 % 2] if toxic else 'kind'} end", "x"))
+        rows.append((i, f"some {'words ' * (i % 9)} {chr(97 + i // 26)}{chr(97 + i % 26)}x {bad[i // 5 % 2] if toxic else 'kind'} end", "x"))
         labels.append((i, 1, int(toxic), "s"))
     rows += [(1000, None, "x"), (1001, "", "x"), (None, "a vile one", "x"), (1002, "a vile one", "x"), (1002, "a vile one", "x"), (1003, "word " * 50_000, "x")]
     labels += [(None, 1, 1, "s"), (1000, 1, None, "s"), (5, 1, 1, "s")]
