@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import identity
-from ..sources.tables import append_batch, read_batches
+from ..sources.tables import COMPACTED, COMPACTED_BATCH, MAIN, append_batch, is_batch, read_batches
 from .joins import light
 
 CACHE = (
@@ -69,21 +69,25 @@ class CacheTable:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def save(self, content: DataFrame, batch_id: int) -> DataFrame:
+    def save(self, content: DataFrame, batch_id: int, writer: str = MAIN) -> DataFrame:
         """Stores the rows and returns the ids they got."""
-        append_batch(cache_rows(content), f"{self.root}/rows", batch_id, "partition_key")
-        return self._rows().filter(F.col("batch_id") == int(batch_id)).select("cache_id", "partition_key")
+        append_batch(cache_rows(content), f"{self.root}/rows", batch_id, "partition_key", writer=writer)
+        return self._rows().filter(is_batch(batch_id, writer)).select("cache_id", "partition_key")
 
     def _rows(self) -> DataFrame:
         rows = read_batches(self.spark, f"{self.root}/rows", CACHE)
-        return rows if "batch_id" in rows.columns else rows.withColumn("batch_id", F.lit(0))
-
-    def _removed(self) -> DataFrame:
-        return read_batches(self.spark, f"{self.root}/removed", "cache_id string, seq long")
-
-    def read(self) -> DataFrame:
-        return self._rows().drop("batch_id").join(
-            self._removed().select("cache_id").distinct(), "cache_id", "left_anti"
+        return rows if "batch_id" in rows.columns else rows.withColumns({"batch_id": F.lit(0), "writer": F.lit("")})
+
+    def _removed(self, without_seq: int | None = None) -> DataFrame:
+        gone = read_batches(self.spark, f"{self.root}/removed", "cache_id string, seq long")
+        if without_seq is not None and "batch_id" in gone.columns:
+            gone = gone.filter(~is_batch(without_seq))
+        return gone.select("cache_id", "seq")
+
+    def read(self, without_removal: int | None = None) -> DataFrame:
+        """The cached rows; `without_removal` is the number of a removal that does not count."""
+        return self._rows().drop("batch_id", "writer").join(
+            self._removed(without_removal).select("cache_id").distinct(), "cache_id", "left_anti"
         )
 
     def list(self, partition_key: str) -> DataFrame:
@@ -93,20 +97,20 @@ class CacheTable:
         return cache_get(self.read(), ids)
 
     def remove_all(self, ids: DataFrame, seq: int) -> DataFrame:
-        """Returns the ids that were cached and now are not."""
-        _, removed = cache_remove(self.read(), ids)
+        """Returns the ids that were cached and now are not; a retry under the same number, too."""
+        _, removed = cache_remove(self.read(without_removal=seq), ids)
         append_batch(removed.withColumn("seq", F.lit(seq).cast("long")), f"{self.root}/removed", seq)
         return self._removed().filter(F.col("seq") == seq).select("cache_id")
 
     def remove_orphans(self, items: DataFrame, seq: int) -> DataFrame:
-        return self.remove_all(cache_orphans(self.read(), items), seq)
+        return self.remove_all(cache_orphans(self.read(without_removal=seq), items), seq)
 
     def partition(self, partition_key: str) -> "PartitionCache":
         return PartitionCache(self, partition_key)
 
     def compact_to(self, root: str) -> "CacheTable":
         fresh = CacheTable(self.spark, root)
-        append_batch(self.read(), f"{fresh.root}/rows", 0, "partition_key")
+        append_batch(self.read(), f"{fresh.root}/rows", COMPACTED_BATCH, "partition_key", writer=COMPACTED)
         return fresh
 
 
@@ -116,8 +120,8 @@ class PartitionCache:
     def __init__(self, table: CacheTable, partition_key: str):
         self.table, self.partition_key = table, partition_key
 
-    def save(self, content: DataFrame, batch_id: int) -> DataFrame:
-        return self.table.save(content.withColumn("partition_key", F.lit(self.partition_key)), batch_id)
+    def save(self, content: DataFrame, batch_id: int, writer: str = MAIN) -> DataFrame:
+        return self.table.save(content.withColumn("partition_key", F.lit(self.partition_key)), batch_id, writer)
 
     def list(self) -> DataFrame:
         return self.table.list(self.partition_key)

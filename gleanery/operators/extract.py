@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import inspect
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import identity, metadata, paths, text as tx
+from ..functions import identity, metadata, paths
+from ..session import work_dir
 from ..sources.files import UNDECODABLE
 from .routing import EXTRACTORS, choose_extractor, pipeline_mime, route_extract
 
-TOO_DEEP = "nested deeper than the depth limit"
+NO_MEMBERS = "container has no members"
+HOLDS_ITSELF = "container holds itself"
 
 
 def with_content_columns(df: DataFrame) -> DataFrame:
@@ -18,6 +22,21 @@ def with_content_columns(df: DataFrame) -> DataFrame:
     return df
 
 
+def takes_bytes(fn) -> bool:
+    """Whether a function of an extractor asks for the bytes as well."""
+    if fn is None:
+        return False
+    try:
+        kinds = [p.kind for p in inspect.signature(fn).parameters.values() if p.default is p.empty]
+    except (TypeError, ValueError):
+        return False
+    return sum(k in (inspect.Parameter.POSITIONAL_ONLY, inspect.Parameter.POSITIONAL_OR_KEYWORD) for k in kinds) == 2
+
+
+def call(fn, text: Column, binary: Column) -> Column:
+    return fn(text, binary) if takes_bytes(fn) else fn(text)
+
+
 def content_as_text(text: Column, binary: Column) -> Column:
     return F.coalesce(text, F.try_validate_utf8(binary))
 
@@ -32,18 +51,20 @@ def extract(df: DataFrame, extractors=EXTRACTORS) -> DataFrame:
     df = route_extract(df, extractors).withColumn(
         "__text", content_as_text(F.col("content_text"), F.col("content_binary"))
     )
-    src, chosen = F.col("__text"), F.col("extractor")
-    ok = chosen.isNotNull() & src.isNotNull()
+    src, raw, chosen = F.col("__text"), F.col("content_binary"), F.col("extractor")
+    of_bytes = [e.name for e in extractors if takes_bytes(e.text)]
+    readable = src.isNotNull() | (raw.isNotNull() & chosen.isin(*of_bytes)) if of_bytes else src.isNotNull()
+    ok = chosen.isNotNull() & readable
     failure = (
-        F.when(chosen.isNull(), F.col("message")).when(src.isNull(), F.lit(UNDECODABLE))
+        F.when(chosen.isNull(), F.col("message")).when(~readable, F.lit(UNDECODABLE))
     )
     if "error" in df.columns:
         failure = F.coalesce(F.col("error"), failure)
     df = df.withColumns(
         {
             "source_url": paths.default_source_url(F.col("source_url")),
-            "content_text": _by_extractor(extractors, "text", lambda fn: fn(src)),
-            "__found": _by_extractor(extractors, "find_title", lambda fn: fn(src)),
+            "content_text": _by_extractor(extractors, "text", lambda fn: call(fn, src, raw)),
+            "__found": _by_extractor(extractors, "find_title", lambda fn: call(fn, src, raw)),
             "error": failure,
             "mime_type": F.when(ok, F.lit("text/plain")).otherwise(F.col("mime_type")),
             "processing_state": F.when(ok, F.lit("extracted")).otherwise(
@@ -69,8 +90,8 @@ def _by_extractor(extractors, part: str, call, otherwise: Column | None = None)
     return case if otherwise is None else case.otherwise(otherwise)
 
 
-def to_items(df: DataFrame) -> DataFrame:
-    """Rows ready to store: hash and metadata, no content."""
+def to_items(df: DataFrame, *also: Column) -> DataFrame:
+    """Rows ready to store: hash and metadata, no content, and the columns in `also`."""
     df = metadata.with_defaults(with_content_columns(df))
     hash_ = identity.content_hash(F.col("content_text"), F.col("content_binary"))
     return df.withColumn("content_hash", hash_).select(
@@ -81,6 +102,7 @@ def to_items(df: DataFrame) -> DataFrame:
         "content_hash",
         identity.content_type(F.col("content_text")).alias("content_type"),
         *metadata.METADATA.fieldNames(),
+        *also,
     )
 
 
@@ -88,13 +110,15 @@ def stored_rows(extracted: DataFrame) -> DataFrame:
     return extracted.filter((F.col("route_status") == "success") & F.col("error").isNull())
 
 
-def extract_nested(df: DataFrame, extractors, max_depth: int = 3) -> DataFrame:
-    """Containers opened level by level; every member is routed like any other row.
+def extract_nested(df: DataFrame, extractors, levels_per_pass: int = 3) -> DataFrame:
+    """Containers opened level by level until none is left; every member is routed like any other row.
 
     A member's URL is parent/name and it inherits the parent's other metadata. A level is
-    one generator that replaces a container by its members and hands all else on, so all
-    levels together are one pass over the input, without a shuffle. Containers that are
-    still closed after `max_depth` levels come out as error rows.
+    one generator that replaces a container by its members and hands all else on, so
+    `levels_per_pass` levels are one pass over the input, without a shuffle. If
+    containers are still closed then, those alone are written to the shared folder and opened in a
+    further pass. A container without members stays as an error row, and so does a member with
+    the same type and content as its container, which would never end.
     """
     containers = [e for e in extractors if e.members is not None]
     rows = metadata.with_defaults(with_content_columns(df)).withColumns(
@@ -105,13 +129,26 @@ def extract_nested(df: DataFrame, extractors, max_depth: int = 3) -> DataFrame:
             "open": F.lit(True),
         }
     )
-    for _ in range(max_depth):
-        rows = _open_containers(rows, extractors, containers)
-    closed = F.coalesce(_container(rows, extractors, containers), F.lit(False))
     if "error" not in rows.columns:
         rows = rows.withColumn("error", F.lit(None).cast("string"))
-    rows = rows.withColumn("error", F.coalesce("error", F.when(closed, F.lit(TOO_DEEP))))
-    return extract(rows.drop("open"), extractors)
+    if not containers:
+        return extract(rows.drop("open"), extractors)
+    done = []
+    while True:
+        for _ in range(levels_per_pass):
+            rows = _open_containers(rows, extractors, containers)
+        closed = F.coalesce(_container(rows, extractors, containers), F.lit(False))
+        done.append(rows.filter(~closed))
+        deeper = rows.filter(closed)
+        if not deeper.head(1):
+            break
+        path = work_dir(rows.sparkSession, "containers")
+        deeper.write.parquet(path)
+        rows = rows.sparkSession.read.schema(deeper.schema).parquet(path)
+    found = done[0]
+    for d in done[1:]:
+        found = found.unionByName(d)
+    return extract(found.drop("open"), extractors)
 
 
 def _container(rows: DataFrame, extractors, containers) -> Column:
@@ -120,7 +157,11 @@ def _container(rows: DataFrame, extractors, containers) -> Column:
     return F.col("open") & chosen.isin(*[e.name for e in containers])
 
 
-_LEVEL = ("source_url", "parent_url", "mime_type", "content_text", "content_binary", "depth")
+_LEVEL = ("source_url", "parent_url", "mime_type", "content_text", "content_binary", "depth", "error")
+
+
+def _with(fn, *fixed):
+    return lambda m: fn(m, *fixed)
 
 
 def _open_containers(rows: DataFrame, extractors, containers) -> DataFrame:
@@ -129,21 +170,38 @@ def _open_containers(rows: DataFrame, extractors, containers) -> DataFrame:
     rows = rows.withColumn("__chosen", F.when(F.col("open"), chosen))
     text = content_as_text(F.col("content_text"), F.col("content_binary"))
 
-    def member(m: Column) -> Column:
+    def member(m: Column, has_bytes: bool) -> Column:
+        binary = m["content_binary"] if has_bytes else F.lit(None).cast("binary")
+        same = (
+            m["mime_type"].eqNullSafe(F.col("mime_type"))
+            & m["content_text"].eqNullSafe(text)
+            & binary.eqNullSafe(F.when(F.col("content_text").isNull() & text.isNull(), F.col("content_binary")))
+        )
         return F.struct(
             F.concat_ws("/", F.col("source_url"), m["name"]).alias("source_url"),
             F.col("source_url").alias("parent_url"),
             m["mime_type"].alias("mime_type"),
             m["content_text"].alias("content_text"),
-            F.lit(None).cast("binary").alias("content_binary"),
+            binary.alias("content_binary"),
             (F.col("depth") + 1).alias("depth"),
-            F.lit(True).alias("open"),
+            F.when(same, F.lit(HOLDS_ITSELF)).alias("error"),
+            (~same).alias("open"),
         )
 
     level = F
+    plain = [F.col(c) for c in _LEVEL if c != "error"]
     for e in containers:
-        level = level.when(F.col("__chosen") == e.name, F.transform(e.members(text), member))
-    same = F.array(F.struct(*[F.col(c) for c in _LEVEL], F.lit(False).alias("open")))
+        found = call(e.members, text, F.col("content_binary"))
+        fields = rows.select(found.alias("m")).schema["m"].dataType.elementType.fieldNames()
+        has_bytes = "content_binary" in fields
+        members = F.transform(found, _with(member, has_bytes))
+        unread = text.isNull() & F.lit(not takes_bytes(e.members))
+        why = F.coalesce(F.col("error"), F.when(unread, F.lit(UNDECODABLE)).otherwise(F.lit(NO_MEMBERS)))
+        itself = F.array(F.struct(*plain, why.alias("error"), F.lit(False).alias("open")))
+        level = level.when(
+            F.col("__chosen") == e.name, F.when(~unread & (F.coalesce(F.size(found), F.lit(0)) > 0), members).otherwise(itself)
+        )
+    same = F.array(F.struct(*plain, F.col("error"), F.lit(False).alias("open")))
     level = level.otherwise(same) if level is not F else same
     rest = [c for c in rows.columns if c not in (*_LEVEL, "open", "__chosen")]
     return rows.select(*rest, F.explode(level).alias("__m")).select(*rest, "__m.*")

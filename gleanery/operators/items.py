@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..schemas import ITEMS, METADATA_FIELDS
-from ..sources.tables import append_batch, read_batches
+from ..sources.tables import COMPACTED, COMPACTED_BATCH, MAIN, append_batch, is_batch, read_batches
 from .joins import is_small, join_unique, light, only_matching
 
 
@@ -164,6 +164,8 @@ _CHANGE = "op string, change_seq long, " + ", ".join(
     f"{f.name} {f.dataType.simpleString()}" for f in ITEMS.fields
 )
 
+_FAILURES = "source_url string, stage string, message string"
+_IS_REMOVAL = "op in ('remove', 'remove-url')"
 
 # What single items are asked for by.
 LOOK_UP_BY = ("item_id", "source_url", "content_hash")
@@ -175,19 +177,21 @@ class ItemsTable:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def append(self, items: DataFrame, batch_id: int) -> None:
+    def append(self, items: DataFrame, batch_id: int, writer: str = MAIN) -> None:
         rows = items.select(*ITEMS.fieldNames())
-        append_batch(rows, f"{self.root}/rows", batch_id, look_up_by=LOOK_UP_BY)
+        append_batch(rows, f"{self.root}/rows", batch_id, look_up_by=LOOK_UP_BY, writer=writer)
 
     def _log(self, changes: DataFrame, op: str, seq: int) -> None:
         cols = [
             (F.col(f.name) if f.name in changes.columns else F.lit(None)).cast(f.dataType).alias(f.name)
             for f in ITEMS.fields
         ]
+        # Each kind of change is a writer of its own, so one number can stand for several kinds.
         append_batch(
             changes.select(F.lit(op).alias("op"), F.lit(seq).cast("long").alias("change_seq"), *cols),
             f"{self.root}/changes",
             seq,
+            writer=op,
         )
 
     def update_items(self, updates: DataFrame, seq: int) -> None:
@@ -197,40 +201,53 @@ class ItemsTable:
         self._log(updates, "metadata", seq)
 
     def remove_item(self, ids: DataFrame, seq: int) -> DataFrame:
-        return self._remove(find_item(self.read(), ids), seq)
+        # A retry finds what the first try found: its own entry in the log does not count.
+        return self._remove(find_item(self.read(without_removal=("remove", seq)), ids), "remove", seq)
 
     def remove_by_url(self, urls: DataFrame, seq: int) -> DataFrame:
         gone = urls.select("source_url").distinct()
-        rows = self.read().select("item_id", "source_url")
+        rows = self.read(without_removal=("remove-url", seq)).select("item_id", "source_url")
         hit = join_unique(rows, gone, "source_url", "left_semi", "item_id", is_small(gone))
-        return self._remove(hit, seq)
+        return self._remove(hit, "remove-url", seq)
 
-    def _remove(self, hit: DataFrame, seq: int) -> DataFrame:
+    def _remove(self, hit: DataFrame, op: str, seq: int) -> DataFrame:
         # The ids are logged, not the request: items stored later are not affected.
-        self._log(hit.select("item_id"), "remove", seq)
-        gone = self.changes().filter((F.col("op") == "remove") & (F.col("change_seq") == seq))
+        self._log(hit.select("item_id"), op, seq)
+        gone = self.changes().filter(is_batch(seq, op))
         return _removed(self.rows().join(gone.select("item_id"), "item_id", "left_semi"))
 
-    def rows(self, without_batch: int | None = None) -> DataFrame:
+    def rows(self, without_batch: tuple[str, int] | None = None) -> DataFrame:
+        """All appended rows; `without_batch` is a writer and its batch number."""
         rows = read_batches(self.spark, f"{self.root}/rows", ITEMS)
         if without_batch is not None and "batch_id" in rows.columns:
-            # A partition filter: the folder of that batch may be replaced meanwhile.
-            rows = rows.filter(F.col("batch_id") != int(without_batch))
+            # The folder of that batch may be replaced meanwhile.
+            rows = rows.filter(~is_batch(without_batch[1], without_batch[0]))
         return rows.select(*ITEMS.fieldNames())
 
-    def batch(self, batch_id: int) -> DataFrame:
+    def batch(self, batch_id: int, writer: str = MAIN) -> DataFrame:
         rows = read_batches(self.spark, f"{self.root}/rows", ITEMS)
-        return rows.filter(F.col("batch_id") == int(batch_id)).select(*ITEMS.fieldNames())
+        return rows.filter(is_batch(batch_id, writer)).select(*ITEMS.fieldNames())
 
-    def changes(self) -> DataFrame:
-        return read_batches(self.spark, f"{self.root}/changes", _CHANGE)
+    def changes(self, without: tuple[str, int] | None = None) -> DataFrame:
+        log = read_batches(self.spark, f"{self.root}/changes", _CHANGE)
+        if without is not None and "batch_id" in log.columns:
+            log = log.filter(~is_batch(without[1], without[0]))
+        return log
 
-    def read(self, without_batch: int | None = None) -> DataFrame:
+    def add_failures(self, failures: DataFrame, batch_id: int, writer: str = MAIN) -> None:
+        """Rows that a batch could not store: source_url, stage, message."""
+        append_batch(failures.select("source_url", "stage", "message"), f"{self.root}/failures", batch_id, writer=writer)
+
+    def failures(self) -> DataFrame:
+        found = read_batches(self.spark, f"{self.root}/failures", _FAILURES)
+        return found.select("source_url", "stage", "message")
+
+    def read(self, without_batch=None, without_removal=None) -> DataFrame:
         """Rows with the changes applied. Later changes win; a removed id stays removed."""
-        log, rows = self.changes(), self.rows(without_batch)
+        log, rows = self.changes(without_removal), self.rows(without_batch)
         if "batch_id" not in log.columns:  # nothing was logged yet
             return rows
-        removed = log.filter("op = 'remove'").select("item_id").distinct()
+        removed = log.filter(_IS_REMOVAL).select("item_id").distinct()
         content = last_per_item(
             log.filter("op = 'content'").select("item_id", "content_hash", "content_type", "change_seq"),
             "change_seq",
@@ -248,13 +265,13 @@ class ItemsTable:
     def with_hash(self, content_hash: str) -> DataFrame:
         return self.read().filter(F.col("content_hash") == content_hash)
 
-    def urls(self, without_batch: int | None = None) -> DataFrame:
+    def urls(self, without_batch: tuple[str, int] | None = None) -> DataFrame:
         """Distinct URLs of the current rows, without folding what does not bear on them."""
         log = self.changes()
         rows = self.rows(without_batch).select("item_id", "source_url")
         if "batch_id" not in log.columns:
             return stored_urls(rows)
-        removed = log.filter("op = 'remove'").select("item_id").distinct()
+        removed = log.filter(_IS_REMOVAL).select("item_id").distinct()
         moved = last_per_item(
             log.filter("op = 'metadata'").select("item_id", "source_url", "change_seq"), "change_seq"
         )
@@ -263,5 +280,6 @@ class ItemsTable:
     def compact_to(self, root: str) -> "ItemsTable":
         """The folded rows as a new table; switch over to it once this returns."""
         fresh = ItemsTable(self.spark, root)
-        fresh.append(self.read(), 0)
+        fresh.append(self.read(), COMPACTED_BATCH, COMPACTED)
+        fresh.add_failures(self.failures(), COMPACTED_BATCH, COMPACTED)
         return fresh

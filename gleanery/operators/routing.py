@@ -39,7 +39,11 @@ class Extractor:
     looks it up in the content, `title` settles on (given title, found title).
 
     `members`, if set, makes it a container: it maps content to an array of
-    struct<name, mime_type, content_text>, each of which is routed again.
+    struct<name, mime_type, content_text>, each of which is routed again. Members may have
+    `content_binary` besides.
+
+    `text`, `find_title` and `members` get the content as text, null if it is not valid UTF-8. One that
+    takes two arguments gets the bytes as well (null if the content came as text).
     """
 
     name: str
@@ -78,13 +82,16 @@ def can_extract_html(url: Column, mime: Column) -> Column:
 
 FILE_FETCHER = Fetcher("file", can_fetch_file)
 HTTP_FETCHER = Fetcher("http", can_fetch_http)
+# Schemes of file systems and object stores that listings come from.
+STORE_SCHEMES = ("hdfs", "viewfs", "webhdfs", "s3", "s3a", "s3n", "gs", "abfs", "abfss", "wasb", "wasbs", "oss", "dbfs")
+STORE_FETCHER = Fetcher("store", lambda url: paths.url_scheme(url).isin(*STORE_SCHEMES))
 TEXT_EXTRACTOR = Extractor(
     "text", can_extract_text, TEXT_PREFERRED, lambda c: c, tx.first_line, tx.finish_text_title
 )
 HTML_EXTRACTOR = Extractor(
     "html", can_extract_html, HTML_MIME_TYPES, tx.html_text, tx.page_title, tx.finish_html_title
 )
-# The order is the priority.
+# The messages of both routing steps, below. The order is the priority.
 FETCHERS = (FILE_FETCHER, HTTP_FETCHER)
 EXTRACTORS = (TEXT_EXTRACTOR, HTML_EXTRACTOR)
 

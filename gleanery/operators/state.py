@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..schemas import STATE_LOG
-from ..sources.tables import append_batch, read_batches
+from ..sources.tables import COMPACTED, COMPACTED_BATCH, MAIN, append_batch, read_batches
 from .joins import join_unique
 
 KEYS = ["partition_key", "key"]
@@ -62,20 +62,24 @@ def state_delete(requests: DataFrame) -> DataFrame:
 
 
 class StateTable:
-    """The log as a table, one folder per batch and partition key."""
+    """The log as a table, one folder per writer, batch and partition key.
+
+    Entries are ordered by batch number, then seq, then writer: writers that store the same keys
+    count their batches in common. What a compaction leaves comes before all batches.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def store(self, entries: DataFrame, batch_id: int) -> None:
+    def store(self, entries: DataFrame, batch_id: int, writer: str = MAIN) -> None:
         if "version" not in entries.columns:
             entries = entries.withColumn("version", F.lit(1))
-        append_batch(entries.select(*STATE_LOG.fieldNames()), self.root, batch_id, "partition_key")
+        append_batch(entries.select(*STATE_LOG.fieldNames()), self.root, batch_id, "partition_key", writer=writer)
 
     def log(self, partition_key: str | None = None) -> DataFrame:
         log = read_batches(self.spark, self.root, STATE_LOG)
         if "batch_id" not in log.columns:
-            log = log.withColumn("batch_id", F.lit(0))
+            log = log.withColumns({"batch_id": F.lit(0), "writer": F.lit("")})
         return log if partition_key is None else log.filter(F.col("partition_key") == partition_key)
 
     def latest(self, partition_key: str | None = None, before: int | None = None) -> DataFrame:
@@ -84,14 +88,14 @@ class StateTable:
         log = self.log(partition_key)
         if before is not None:
             log = log.filter(F.col("batch_id") < int(before))
-        return state_latest(log, F.struct("batch_id", "seq"))
+        return state_latest(log, F.struct("batch_id", "seq", "writer"))
 
     def partition(self, partition_key: str) -> "PartitionState":
         return PartitionState(self, partition_key)
 
     def compact_to(self, root: str) -> "StateTable":
         fresh = StateTable(self.spark, root)
-        fresh.store(self.latest().withColumn("seq", F.lit(0)), 0)
+        fresh.store(self.latest().withColumn("seq", F.lit(0)), COMPACTED_BATCH, COMPACTED)
         return fresh
 
 
@@ -101,8 +105,8 @@ class PartitionState:
     def __init__(self, table: StateTable, partition_key: str):
         self.table, self.partition_key = table, partition_key
 
-    def store(self, entries: DataFrame, batch_id: int) -> None:
-        self.table.store(entries.withColumn("partition_key", F.lit(self.partition_key)), batch_id)
+    def store(self, entries: DataFrame, batch_id: int, writer: str = MAIN) -> None:
+        self.table.store(entries.withColumn("partition_key", F.lit(self.partition_key)), batch_id, writer)
 
     def latest(self) -> DataFrame:
         return self.table.latest(self.partition_key)

@@ -58,8 +58,8 @@ def _latest(name: str, where: str = "true", log: str = "log") -> str:
 
 _STATE = f"{_LOG}, {_latest('latest')}"
 _SNAPS = (
-    f"{_LOG}, {_latest('o', chr(39).join(['ts < TIMESTAMP ', '2024-01-04', '']))}, "
-    f"{_latest('n', 'ts >= TIMESTAMP ' + repr('2024-01-04') + ' AND ts < TIMESTAMP ' + repr('2024-01-07'))}"
+    f"{_LOG}, {_latest('o', chr(39).join(['ts < TIMESTAMP ', '2024-01-16', '']))}, "
+    f"{_latest('n', 'ts >= TIMESTAMP ' + repr('2024-01-16'))}"
 )
 # What the files of the corpus hold: (doc_id, rel, ext, kind, text as read).
 _FILES = f"""files AS (SELECT doc_id, source||'/'||doc_id||{_EXT} AS relative_path, doc_id||{_EXT} AS name, {_EXT} AS ext,

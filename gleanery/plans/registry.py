@@ -10,12 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as tx
-from ..operators.routing import EXTRACTORS, FETCHERS, Extractor, Fetcher
+from ..operators.routing import EXTRACTORS, FETCHERS, STORE_FETCHER, Extractor, Fetcher
 
 
 class Registry:
     def __init__(self, builtins: bool = True):
-        self.fetchers: list[Fetcher] = list(FETCHERS) if builtins else []
+        self.fetchers: list[Fetcher] = [*FETCHERS, STORE_FETCHER] if builtins else []
         self.extractors: list[Extractor] = list(EXTRACTORS) if builtins else []
         self.sources: dict[str, Callable[[SparkSession], DataFrame]] = {}
         self.stores: dict[str, Callable[[DataFrame, int], None]] = {}
@@ -23,7 +23,8 @@ class Registry:
     def register_extractor(self, name, predicate, preferred=(), fn=None, find_title=None, title=None, members=None):
         """`predicate(url, mime)` and `fn(content)` are Column functions; a pandas_udf fits too.
         `find_title(content)` looks a title up, `title(given, found)` settles on one: the
-        given one first if left out. `members(content)` makes it a container."""
+        given one first if left out. `members(content)` makes it a container. `fn`, `find_title` and `members`
+        may take a second argument, the bytes of content that did not come as text."""
         if find_title is not None and title is None:
             title = lambda given, found: F.coalesce(tx.non_empty(given), found)
         self._fresh(name, [e.name for e in self.extractors])

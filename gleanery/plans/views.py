@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import identity
-from ..sources.tables import spread
 
 # Suffix by doc_id % 6.
 EXTENSIONS = (".txt", ".md", ".html", ".json", ".rst", ".TXT")
@@ -15,10 +14,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "pages"), "page_id")
-
-
 def doc_extension() -> F.Column:
     exts = F.array(*[F.lit(e) for e in EXTENSIONS])
     return F.element_at(exts, (F.col("doc_id") % len(EXTENSIONS) + 1).cast("int"))
@@ -102,21 +97,16 @@ def state_log(spark, sf_dir) -> DataFrame:
     return log_from_events(table(spark, sf_dir, "events"))
 
 
-# Where the two snapshots are cut.
-SNAPSHOT_1 = "2024-01-04 00:00:00"
-SNAPSHOT_2 = "2024-01-07 00:00:00"
+# Fixed value: what comes before is the old snapshot, and all the rest the new one.
+SNAPSHOT_CUT = "2024-01-16 00:00:00"
 
 
 def snapshots(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     from ..operators.state import state_latest
 
     log = state_log(spark, sf_dir)
-    kind = log.schema["ts"].dataType
-    cut1, cut2 = F.lit(SNAPSHOT_1).cast(kind), F.lit(SNAPSHOT_2).cast(kind)
-    return (
-        state_latest(log.filter(F.col("ts") < cut1)),
-        state_latest(log.filter((F.col("ts") >= cut1) & (F.col("ts") < cut2))),
-    )
+    before = F.col("ts") < F.lit(SNAPSHOT_CUT).cast(log.schema["ts"].dataType)
+    return state_latest(log.filter(before)), state_latest(log.filter(~before))
 
 
 def item_parents(spark, sf_dir) -> DataFrame:

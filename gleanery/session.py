@@ -22,10 +22,6 @@ def build_session(app: str = "gleanery", master: str | None = None, **conf) -> S
         # Content rows are large: 1,000 of them in one Arrow batch may not fit a worker.
         "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
     }
-    if master and master.startswith("local"):
-        # File streams look each new file up again, above 32 files by a job. With one JVM
-        # the driver does that faster.
-        settings["spark.sql.sources.parallelPartitionDiscovery.threshold"] = str(1 << 30)
     settings.update(conf)
     for k, v in settings.items():
         b = b.config(k, v)

@@ -148,8 +148,10 @@ def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 else:
                     with fs.open_input_file(local) as f:
                         data = f.read()
-            except OSError as e:
-                error = f"cannot read file: {os.strerror(e.errno) if e.errno else e}"
+            except (OSError, ValueError, pa.ArrowException) as e:
+                # An unknown scheme or a broken path is this row's failure, not the job's.
+                code = getattr(e, "errno", None)
+                error = f"cannot read file: {os.strerror(code) if code else e}"
             contents.append(data)
             errors.append(error)
             held += len(data or b"")

@@ -1,26 +1,44 @@
-"""Batch-keyed Parquet tables: every batch has its own folder, and writing a batch
-again replaces that folder. That makes a retried append harmless."""
+"""Batch-keyed Parquet tables: every batch of every writer has its own folder, and writing a
+batch again replaces that folder. That makes a retried append harmless."""
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+
+# Who writes when nobody says so, and who writes what a compaction leaves.
+MAIN, COMPACTED = "main", "compacted"
+COMPACTED_BATCH = -1
 
 
 def append_batch(
-    df: DataFrame, root: str, batch_id: int, partition_by: str | None = None, look_up_by=()
+    df: DataFrame, root: str, batch_id: int, partition_by: str | None = None, look_up_by=(), writer: str = MAIN
 ) -> None:
-    """`look_up_by` columns get bloom filters, so that reads for one value skip row groups."""
-    writer = df.write
+    """`look_up_by` columns get bloom filters, so that reads for one value skip row groups.
+
+    Batch numbers belong to their writer: two writers, such as a job and a stream, never replace each
+    other's batches.
+    """
+    out = df.write
     if partition_by:
         # AQE cuts large partition values into several writers and packs small ones,
         # so neither one hot value nor thousands of tiny files result.
-        writer = df.hint("rebalance", partition_by).write.partitionBy(partition_by)
+        out = df.hint("rebalance", partition_by).write.partitionBy(partition_by)
     if look_up_by:
-        writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true")
+        out = out.option("parquet.bloom.filter.adaptive.enabled", "true")
         for c in look_up_by:
-            writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
-    writer.mode("overwrite").parquet(f"{root}/batch_id={int(batch_id)}")
+            out = out.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    out.mode("overwrite").parquet(batch_path(root, batch_id, writer))
+
+
+def batch_path(root: str, batch_id: int, writer: str = MAIN) -> str:
+    return f"{root}/writer=w-{writer}/batch_id={int(batch_id)}"
+
+
+def is_batch(batch_id: int, writer: str = MAIN) -> Column:
+    """Rows of one batch. A partition filter, so other folders are not read, nor is this one if negated."""
+    return (F.col("writer") == f"w-{writer}") & (F.col("batch_id") == int(batch_id))
 
 
 def read_batches(spark: SparkSession, root: str, schema=None) -> DataFrame:
@@ -35,15 +53,3 @@ def read_batches(spark: SparkSession, root: str, schema=None) -> DataFrame:
             raise
         # The constant filter lets the optimizer drop joins with the missing table.
         return spark.createDataFrame([], schema).filter(F.lit(False))
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows dealt out over the cores if the scan comes in fewer splits than there are.
-
-    For tables of a few large row groups whose rows are costly to process. Above 64 splits
-    (8 GB at the default split size) the table is left as it is: it has work for many cores.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= min(cores, 64):
-        return df
-    return df.repartition(cores, key)

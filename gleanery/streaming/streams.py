@@ -7,6 +7,8 @@ seen files or a table; nothing grows in executor memory unless said so.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -54,8 +56,15 @@ def run(
     return writer.start()
 
 
+def writer_of(checkpoint: str) -> str:
+    """A stream's name as a writer. Its batches count from 0 in each checkpoint folder, so that
+    folder is what tells streams apart."""
+    return "stream-" + hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
+
+
 def append_stream(stream: DataFrame, root: str, checkpoint: str, **kw) -> StreamingQuery:
-    return run(stream, lambda df, batch: append_batch(df, root, batch), checkpoint, **kw)
+    writer = writer_of(checkpoint)
+    return run(stream, lambda df, batch: append_batch(df, root, batch, writer=writer), checkpoint, **kw)
 
 
 def index_stream(
@@ -67,8 +76,9 @@ def index_stream(
     again under its number. URLs that are stored already are skipped by a join with the
     items table, so the stream itself keeps no record of them.
     """
+    writer = writer_of(checkpoint)
     return run(
-        listed, lambda df, batch: index_listing(pack(df), items, batch, registry), checkpoint, **kw
+        listed, lambda df, batch: index_listing(pack(df), items, batch, registry, writer), checkpoint, **kw
     )
 
 
@@ -80,7 +90,8 @@ def dedup_stream(rows: DataFrame) -> DataFrame:
 
 def state_stream(log: DataFrame, table: StateTable, checkpoint: str, **kw) -> StreamingQuery:
     """Arriving log entries stored batch by batch; `table.latest()` is the current state."""
-    return run(log, lambda df, batch: table.store(df, batch), checkpoint, **kw)
+    writer = writer_of(checkpoint)
+    return run(log, lambda df, batch: table.store(df, batch, writer), checkpoint, **kw)
 
 
 def latest_stream(log: DataFrame) -> DataFrame:

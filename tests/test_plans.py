@@ -42,7 +42,7 @@ def test_extraction_is_one_narrow_pass(spark):
     containers = [*ro.EXTRACTORS, ro.Extractor("c", lambda u, m: m == "x", members=lambda t: F.array(
         F.struct(F.lit("n").alias("name"), F.lit("text/plain").alias("mime_type"), t.alias("content_text"))
     ))]
-    df = extract_nested(docs(spark), containers, max_depth=3)
+    df = extract_nested(docs(spark), containers)
     assert "Exchange" not in plan(df) and plan(df).count("FileScan") == 1
     assert "PythonUDF" not in plan(df) and "ArrowEval" not in plan(df)
 

@@ -163,19 +163,64 @@ def test_nested(spark):
     box = "a=text/plain=hello;b=text/html=<p>x</p>;c=x/inner=d:text/plain:deep,e:image/png:?;"
     df = fetched(spark, [("box", None, "x/box", box, None), ("flat", None, "text/plain", "flat", None), ("none", None, "x/box", "", None)])
     df = df.withColumn("author", F.lit("me"))
-    got = extract_nested(df, boxes().extractors, max_depth=3)
+    got = extract_nested(df, boxes().extractors)
     assert rows(got, "source_url", "parent_url", "depth", "content_text", "author") == [
         ("box/a", "box", 1, "hello", "me"),
         ("box/b", "box", 1, "x", "me"),
         ("box/c/d", "box/c", 2, "deep", "me"),
         ("box/c/e", "box/c", 2, None, "me"),
         ("flat", None, 0, "flat", "me"),
+        ("none", None, 0, None, "me"),
     ]
     errors = {r.source_url: r.error for r in got.collect() if r.error}
-    assert errors == {"box/c/e": "No extractor found for content type: image/png"}
+    assert errors == {
+        "box/c/e": "No extractor found for content type: image/png",
+        "none": "container has no members",
+    }
 
 
 def test_nesting_without_end_is_reported(spark):
     df = fetched(spark, [("l", None, "x/loop", "x", None)])
-    got = extract_nested(df, boxes().extractors, max_depth=2).collect()
-    assert [(r.source_url, r.error) for r in got] == [("l/again/again", "nested deeper than the depth limit")]
+    got = extract_nested(df, boxes().extractors).collect()
+    assert [(r.source_url, r.error) for r in got] == [("l/again", "container holds itself")]
+
+
+@pytest.mark.parametrize("levels", [1, 3, 4])
+def test_any_depth(spark, levels):
+    """Six levels, by passes of any number of levels; the innermost is text."""
+    def inner(t):
+        rest = F.substring(t, 2, 1000)
+        kind = F.when(rest.startswith("("), F.lit("x/nest")).otherwise(F.lit("text/plain"))
+        return F.array(F.struct(F.lit("in").alias("name"), kind.alias("mime_type"), rest.alias("content_text")))
+
+    registry = Registry().register_extractor("nest", lambda u, m: m == "x/nest", members=inner)
+    df = fetched(spark, [("six", None, "x/nest", "((((((core", None), ("two", None, "x/nest", "((core", None)])
+    got = extract_nested(df, registry.extractors, levels)
+    assert rows(got, "source_url", "depth", "content_text") == [
+        ("six" + "/in" * 6, 6, "core"), ("two" + "/in" * 2, 2, "core"),
+    ]
+
+
+def test_bytes_for_extractors(spark):
+    """An extractor and a container that take the bytes; others say that there is no text."""
+    def pages(text, binary):
+        part = F.substring(binary, 2, 100)
+        return F.array(F.struct(F.lit("p").alias("name"), F.lit("x/raw").alias("mime_type"), F.lit(None).cast("string").alias("content_text"), part.alias("content_binary")))
+
+    registry = (
+        Registry()
+        .register_extractor("raw", lambda u, m: m == "x/raw", fn=lambda text, binary: F.hex(binary))
+        .register_extractor("zip", lambda u, m: m == "x/zip", members=pages)
+        .register_extractor("deaf", lambda u, m: m == "x/deaf", members=lambda t: F.array(
+            F.struct(F.lit("n").alias("name"), F.lit("text/plain").alias("mime_type"), t.alias("content_text"))))
+    )
+    data = bytearray(b"\xff\xfe\x00")
+    df = fetched(spark, [
+        ("r", None, "x/raw", None, data), ("z", None, "x/zip", None, data), ("d", None, "x/deaf", None, data),
+        ("t", None, "text/plain", None, data),
+    ])
+    got = {r.source_url: (r.content_text, r.error) for r in extract_nested(df, registry.extractors).collect()}
+    assert got == {
+        "r": ("FFFE00", None), "z/p": ("FE00", None),
+        "d": (None, "content is not valid UTF-8"), "t": (None, "content is not valid UTF-8"),
+    }
