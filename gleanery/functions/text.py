@@ -20,6 +20,7 @@ _STYLE = r"(?isu)<style[^>]*>.*?</style>"
 _TAG = r"<[^>]+>"
 _TITLE = r"(?isu)<title[^>]*>(.*?)</title>"
 
+# Title length, the titles of last resort, bytes looked at for NUL.
 TITLE_CHARS = 100
 NO_TEXT_TITLE = "Untitled Document"
 NO_HTML_TITLE = "Untitled HTML Document"

@@ -931,6 +931,65 @@ def resume(spark, sf):
     return _indexed(items)
 
 
+@query
+def index_two_writers(spark, sf):
+    """A job, a stream, a compaction, and a new stream on what that left: each third of the files
+    arrives before one of the writers runs, and no one's batches replace another's."""
+    out = work_dir(spark, "writers")
+    root, rows = f"{out}/corpus", corpus_rows(spark, sf)
+    items = it.ItemsTable(spark, f"{out}/items")
+
+    def arrive(third):
+        export_files(rows.filter(F.col("doc_id") % 3 == third), root)
+
+    def stream(checkpoint):
+        streams.index_stream(streams.discover_stream(spark, root), items, checkpoint).awaitTermination()
+
+    arrive(0)
+    index_folder(spark, root, items, 0)
+    arrive(1)
+    stream(f"{out}/first")
+    items = items.compact_to(f"{out}/compacted")
+    arrive(2)
+    stream(f"{out}/second")
+    return _indexed(items)
+
+
+@query
+def index_errors(spark, sf):
+    """Files that could not be stored, with the stage and the reason."""
+    items = it.ItemsTable(spark, work_dir(spark, "items"))
+    index_folder(spark, corpus(spark, sf), items, 1)
+    return items.failures().select(relative("source_url").alias("relative_path"), "stage", "message")
+
+
+@query
+def remove_retry(spark, sf):
+    """A removal and an update under one number, and the removal tried again."""
+    items = items_table(spark, sf)
+    ids = _conv_items(spark, sf).select("item_id").distinct()
+    items.remove_item(ids, 5)
+    items.update_items(
+        items.read().select("item_id", F.lit("new").alias("content_hash"), F.lit("string").alias("content_type")), 5
+    )
+    gone = items.remove_item(ids, 5)
+    return gone.select("item_id", F.lit(None).cast("string").alias("content_hash")).unionByName(
+        items.read().select("item_id", "content_hash")
+    )
+
+
+@query
+def cache_remove_retry(spark, sf):
+    table = ca.CacheTable(spark, work_dir(spark, "cache"))
+    table.save(v.cache_content(spark, sf), 1)
+    ids = v.existing_items(spark, sf).select(F.col("location").alias("cache_id")).filter("cache_id is not null")
+    table.remove_all(ids, 5)
+    gone = table.remove_all(ids, 5)
+    return gone.select("cache_id", F.lit(True).alias("removed")).unionByName(
+        table.read().select("cache_id", F.lit(False).alias("removed"))
+    )
+
+
 def _stream(spark, sf, name) -> DataFrame:
     schema = v.table(spark, sf, name).schema
     return spark.readStream.schema(schema).parquet(f"{sf}/{name}*.parquet")
@@ -983,6 +1042,51 @@ def register_extractor(spark, sf):
     )
 
 
+@query
+def register_binary_extractor(spark, sf):
+    """An extractor that takes the bytes as they are; the built-in ones need valid text."""
+    registry = Registry().register_extractor(
+        "digest", lambda u, m: m == "application/json", fn=lambda text, binary: F.sha2(binary, 256)
+    )
+    rows = corpus_rows(spark, sf).select(
+        F.col("relative_path").alias("source_url"),
+        paths.mime_from_path(F.col("relative_path")).alias("mime_type"),
+        F.col("content").alias("content_binary"),
+    )
+    return extract(rows, registry.extractors).select(
+        "source_url", "extractor", F.when(F.col("extractor") == "digest", F.col("content_text")).alias("digest"), "error"
+    )
+
+
+@query
+def extract_binary_members(spark, sf):
+    """Files as containers of two halves that are cut out of their bytes."""
+
+    def halves(text, binary):
+        n = F.octet_length(binary)
+        half = (n / 2).cast("int")
+
+        def part(name, at, size):
+            content = F.substring(binary, at, size)
+            return F.struct(
+                F.lit(name).alias("name"), F.lit("x/bytes").alias("mime_type"),
+                F.lit(None).cast("string").alias("content_text"), content.alias("content_binary"),
+            )
+
+        return F.array(part("head", F.lit(1), half), part("tail", half + 1, n))
+
+    registry = (
+        Registry()
+        .register_extractor("halves", lambda u, m: m == "x/file", members=halves)
+        .register_extractor("digest", lambda u, m: m == "x/bytes", fn=lambda text, binary: F.sha2(binary, 256))
+    )
+    rows = corpus_rows(spark, sf).select(
+        F.col("relative_path").alias("source_url"), F.lit("x/file").alias("mime_type"),
+        F.col("content").alias("content_binary"),
+    )
+    return extract_nested(rows, registry.extractors).select("source_url", F.col("content_text").alias("digest"), "error")
+
+
 def _pages_registry(sf) -> Registry:
     """Pages as a source, and a fetcher that takes their content from the table."""
 

@@ -45,6 +45,14 @@ _ITEMS = f"""{_DOCS}, items AS (SELECT 'item_'||doc_id AS item_id, doc_id AS ins
   'extracted' AS processing_state, source AS author, lang, 'text/plain' AS mime_type
   FROM docs WHERE doc_id IN (SELECT doc_id FROM labels))"""
 _URLS = f"{_DOCS}, urls AS (SELECT source_url FROM docs UNION ALL SELECT url FROM pages)"
+# The last dot of the last part of a path and what follows it, by string functions: nothing if that dot
+# is the first or the last character.
+_LAST = "list_last(string_split(rtrim(source_url, '/'), '/'))"
+_AFTER = f"list_last(string_split({_LAST}, '.'))"
+_SUFFIX = (
+    f"CASE WHEN contains({_LAST}, '.') AND length({_AFTER}) > 0 AND length({_AFTER}) + 1 < length({_LAST}) "
+    f"THEN '.'||{_AFTER} ELSE '' END"
+)
 _LOG = """log AS (SELECT event_type AS partition_key, user_id::VARCHAR AS key, props AS value_json,
   json_extract_string(props, '$.k')::INTEGER AS version, ts, event_id FROM events)"""
 
@@ -72,6 +80,8 @@ _INDEXED = f"""WITH {_FILES} SELECT relative_path,
   sha256(CASE WHEN ext = '.html' THEN {_html_text('read_text')} ELSE read_text END) AS content_hash,
   'string' AS content_type, 'text/plain' AS mime_type, 'extracted' AS processing_state
   FROM files WHERE kind <> 9 AND ext IN ('.txt', '.md', '.html', '.TXT')"""
+_RAW = """CASE doc_id % 10 WHEN 7 THEN encode(replace(text, chr(10), chr(13)||chr(10))) WHEN 8 THEN encode(chr(0)||text)
+  WHEN 9 THEN '\\xFF\\xFE'::BLOB || encode(text) ELSE encode(text) END"""
 _PAGES_STORED = f"""SELECT url AS source_url,
   coalesce(nullif({_html_title('html')}, ''), nullif('Content from '||url, ''), 'Untitled HTML Document') AS title,
   sha256({_html_text('html')}) AS content_hash"""
@@ -137,15 +147,13 @@ ORACLE = {
       CASE WHEN partition_key = 'error' THEN 1 ELSE version END AS version FROM latest""",
     "cache_save": f"WITH {_DOCS} SELECT cache_id, source AS partition_key FROM docs",
     "cache_list": f"WITH {_DOCS} SELECT cache_id FROM docs WHERE source = 'src3'",
-    "mime_from_path": f"""WITH {_URLS} SELECT source_url, CASE
-      lower(regexp_extract(regexp_extract(source_url, '([^/]+)/*$', 1), '^.+(\\.[^.]+)$', 1))
+    "mime_from_path": f"""WITH {_URLS} SELECT source_url, CASE lower({_SUFFIX})
       WHEN '.txt' THEN 'text/plain' WHEN '.md' THEN 'text/markdown' WHEN '.html' THEN 'text/html'
       WHEN '.htm' THEN 'text/html' WHEN '.json' THEN 'application/json' WHEN '.xml' THEN 'application/xml'
       WHEN '.pdf' THEN 'application/pdf' WHEN '.doc' THEN 'application/msword'
       WHEN '.docx' THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document'
       ELSE 'application/octet-stream' END AS mime_type FROM urls""",
-    "path_suffix": f"""WITH {_URLS} SELECT source_url,
-      regexp_extract(regexp_extract(source_url, '([^/]+)/*$', 1), '^.+(\\.[^.]+)$', 1) AS suffix FROM urls""",
+    "path_suffix": f"WITH {_URLS} SELECT source_url, {_SUFFIX} AS suffix FROM urls",
     "file_name": f"""WITH {_URLS} SELECT source_url, list_last(string_split(rtrim(source_url, '/'), '/')) AS name FROM urls""",
     "is_binary": "SELECT doc_id, doc_id % 10 = 8 AS is_binary FROM documents",
     "decode_text": """SELECT doc_id, CASE doc_id % 10 WHEN 9 THEN NULL WHEN 8 THEN chr(0)||text ELSE text END AS text
@@ -327,6 +335,24 @@ ORACLE = {
     "index_folder": _INDEXED,
     "index_stream": _INDEXED,
     "resume": _INDEXED,
+    "index_two_writers": _INDEXED,
+    "index_errors": f"""WITH {_FILES} SELECT relative_path, CASE WHEN kind = 9 THEN 'fetch' ELSE 'extract' END AS stage,
+      CASE WHEN kind = 9 THEN 'content is not valid UTF-8' ELSE 'No extractor found for content type: '||mime_type END AS message
+      FROM files WHERE kind = 9 OR ext NOT IN ('.txt', '.md', '.html', '.TXT')""",
+    "remove_retry": f"""WITH {_ITEMS} SELECT item_id,
+      CASE WHEN item_id NOT IN (SELECT 'item_'||conv_id FROM conversations) THEN 'new' END AS content_hash FROM items""",
+    "cache_remove_retry": f"""WITH {_DOCS} SELECT cache_id,
+      doc_id % 2 = 0 AND doc_id IN (SELECT doc_id FROM labels) AS removed FROM docs""",
+    "register_binary_extractor": f"""WITH {_FILES}, r AS (SELECT *, {_RAW} AS raw FROM files)
+      SELECT relative_path AS source_url, CASE WHEN ext = '.json' THEN 'digest' WHEN ext = '.html' THEN 'html'
+          WHEN ext IN ('.txt', '.md', '.TXT') THEN 'text' END AS extractor,
+        CASE WHEN ext = '.json' THEN sha256(raw) END AS digest,
+        CASE WHEN ext = '.rst' THEN 'No extractor found for content type: application/octet-stream'
+          WHEN kind = 9 AND ext <> '.json' THEN 'content is not valid UTF-8' END AS error FROM r""",
+    "extract_binary_members": f"""WITH {_FILES}, r AS (SELECT relative_path, {_RAW} AS raw FROM files),
+      h AS (SELECT *, hex(raw) AS x, octet_length(raw) // 2 AS half FROM r)
+      SELECT relative_path||'/head' AS source_url, sha256(unhex(substr(x, 1, 2 * half))) AS digest, NULL::VARCHAR AS error FROM h
+      UNION ALL SELECT relative_path||'/tail', sha256(unhex(substr(x, 2 * half + 1))), NULL::VARCHAR FROM h""",
     "dedup_stream": "SELECT DISTINCT 'conv://'||conv_id AS source_url FROM conversations",
     "state_stream": f"WITH {_STATE} SELECT partition_key, key, value_json, version FROM latest",
     "latest_stream": f"WITH {_STATE} SELECT partition_key, key, value_json, version FROM latest",
