@@ -141,7 +141,8 @@ def choose_boundary(records: DataFrame, percent: int = PERCENT) -> int:
 
 
 def _probes(records: DataFrame, boundary: int, percent: int) -> DataFrame:
-    """probe, key, n, after: what documents meet in, and how many shingles can still be met after it.
+    """probe, key, n, after, alone: what documents meet in, how many shared shingles there are from
+    there on, and how many are the document's alone.
 
     Sets up to the boundary meet all they are linked to in pairs, so sets as large as those can be
     linked to enumerate pairs too. Linked sets above the boundary meet in single shingles.
@@ -150,7 +151,7 @@ def _probes(records: DataFrame, boundary: int, percent: int) -> DataFrame:
 
     def task(batches):
         for batch in batches:
-            out = [[] for _ in range(4)]
+            out = [[] for _ in range(5)]
             for key, n, shared in zip(*(batch.column(c).to_pylist() for c in ("key", "n", "shared"))):
                 h = np.frombuffer(shared, "<u8")
                 probes, after = [], []
@@ -169,10 +170,12 @@ def _probes(records: DataFrame, boundary: int, percent: int) -> DataFrame:
                 out[1].append(np.full(len(probes), key, np.int64))
                 out[2].append(np.full(len(probes), n, np.int64))
                 out[3].append(after.astype(np.int64))
+                out[4].append(np.full(len(probes), n - len(h), np.int64))
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["probe", "key", "n", "after"])
+                names = ["probe", "key", "n", "after", "alone"]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names)
 
-    return records.select("key", "n", "shared").mapInArrow(task, "probe long, key long, n long, after long")
+    return records.select("key", "n", "shared").mapInArrow(task, "probe long, key long, n long, after long, alone long")
 
 
 def _verified(pairs: DataFrame, records: DataFrame, percent: int) -> DataFrame:
@@ -200,12 +203,20 @@ def _links(records: DataFrame, percent: int) -> DataFrame:
     """node, root: documents that are linked to others, with their component."""
     boundary = choose_boundary(records, percent)
     probes = cut(_probes(records, boundary, percent), "probes")
-    # One of each list, the smallest set, stands for it: a set that is linked to a larger one with
-    # the same shared shingles is linked to a smaller one as well.
-    heads = probes.groupBy("probe").agg(F.min(F.struct("n", "key")).alias("head"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    heads = cut(heads.select("probe", F.col("head.n").alias("head_n"), F.col("head.key").alias("head")), "heads")
-    fits = F.col("head_n") * 100 >= F.col("n") * percent
-    stars = probes.join(heads, "probe").filter(fits & (F.col("key") != F.col("head")))
+    # At the first shingle that two linked sets share, so many must be left in both.
+    enough = lambda x, y, n, m: F.least(x, y) * (100 + percent) >= (F.col(n) + F.col(m)) * percent
+    # One of each list stands for it, the one with the fewest shingles of its own: of documents with
+    # the same shared shingles, whatever is linked to any of them is linked to that one.
+    best = F.min(F.struct("alone", "n", "key", "after"))
+    heads = probes.groupBy("probe").agg(best.alias("head"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    heads = cut(
+        heads.select("probe", *[F.col(f"head.{c}").alias(h) for c, h in (("n", "head_n"), ("key", "head"), ("after", "head_after"))]),
+        "heads",
+    )
+    fits = F.least("n", "head_n") * 100 >= F.greatest("n", "head_n") * percent
+    stars = probes.join(heads, "probe").filter(
+        fits & (F.col("key") != F.col("head")) & enough("after", "head_after", "n", "head_n")
+    )
     stars = stars.select(F.col("key").alias("a"), F.col("head").alias("b")).distinct()
     links = cut(_verified(stars, records, percent), "links")
     roots = cut(components(links), "roots")
@@ -218,10 +229,11 @@ def _links(records: DataFrame, percent: int) -> DataFrame:
     one = left.select("probe", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("after").alias("after_a"), F.col("root").alias("root_a"))
     two = left.select("probe", F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("after").alias("after_b"), F.col("root").alias("root_b"))
     small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    # At the first shingle that two linked sets share, enough must be left in both.
-    enough = F.least("after_a", "after_b") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
     rest = one.join(two, "probe").filter(
-        (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & (small * 100 >= large * percent) & enough
+        (F.col("a") < F.col("b"))
+        & (F.col("root_a") != F.col("root_b"))
+        & (small * 100 >= large * percent)
+        & enough("after_a", "after_b", "n_a", "n_b")
     )
     more = cut(_verified(rest.select("a", "b").distinct(), records, percent), "more-links")
     if not more.head(1):
