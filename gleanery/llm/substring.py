@@ -136,21 +136,19 @@ def kept_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     # Texts that many rows have are known to be repeated: one row stands for all in the rest.
     hot = heavy_values(sizes, "key")
     is_hot = F.col("key").isin(hot) if hot else F.lit(False)
+    # The other texts are shuffled by their key once, with both joins reading that (the hint keeps
+    # the plan the same at every size).
     once = table.filter(~is_hot)
+    found = found.hint("merge")
+    places = once.join(found, "key").select("doc_id", "key", "places", "text")
     if hot:
         one = table.filter(is_hot).groupBy("key").agg(F.min("text").alias("text"))
-        once = once.unionByName(one.select(F.lit(None).cast("long").alias("doc_id"), "key", "text"))
-    # Texts are shuffled by their key once; both joins use that.
-    spans = repeated(
-        once.join(found, "key").select("doc_id", "key", "places", "text"),
-        windows(window),
-        _places,
-        "key long, places binary",
-        total // 4,
-        2,
-    )
+        places = places.unionByName(
+            one.join(found, "key").select(F.lit(None).cast("long").alias("doc_id"), "key", "places", "text")
+        )
+    spans = repeated(places, windows(window), _places, "key long, places binary", total // 4, 2)
     copied = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.lit(True).alias("copied"))
-    judged = spans.join(copied, "key", "full")
+    judged = spans.join(copied.hint("merge"), "key", "full").hint("merge")
 
     def task(batches):
         for batch in batches:
@@ -172,7 +170,7 @@ def kept_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             )
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
-    kept = once.filter(~is_hot).join(judged, "key", "left").select("doc_id", "text", "places", "copied").mapInArrow(task, schema)
+    kept = once.join(judged, "key", "left").select("doc_id", "text", "places", "copied").mapInArrow(task, schema)
     if not hot:
         return kept
     whole = F.col("n_words") >= window
