@@ -37,10 +37,12 @@ def _unplanes(b: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).reshape(-1).view(dtype)
 
 
-def _pack(hashes, docs, numbers, keys, limit, bits):
+def _pack(hashes, docs, numbers, keys, limit, bits, of_document):
     """Rows of _MAPPED for the postings of a chunk; `docs` points into `keys`."""
     order = np.argsort(hashes, kind="stable")
-    hashes, docs, numbers = hashes[order], docs[order], numbers[order]
+    hashes, docs = hashes[order], docs[order]
+    own = numbers
+    numbers = own[docs] if of_document else own[order]
     edge = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
     size = np.diff(np.append(edge, len(hashes)))
     often = np.repeat(size >= limit, size)
@@ -63,7 +65,7 @@ def _pack(hashes, docs, numbers, keys, limit, bits):
             part,
             _planes(hashes[a:b]),
             _planes(local.astype("<u4")),
-            _planes(numbers[a:b].astype("<u4")),
+            _planes((own[used] if of_document else numbers[a:b]).astype("<u4")),
             keys[used].tobytes(),
             marks[c:d].tobytes(),
             known[e:f].tobytes(),
@@ -74,13 +76,14 @@ def _pack(hashes, docs, numbers, keys, limit, bits):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], [c.split()[0] for c in _MAPPED.split(", ")])
 
 
-def _reduce(table: pa.Table, least: int, bits: int) -> pa.Table:
+def _reduce(table: pa.Table, least: int, bits: int, of_document: bool) -> pa.Table:
     hashes, keys, numbers, marks, known = [], [], [], [], []
     for row in table.to_pylist():
         hashes.append(_unplanes(row["hashes"], "<u8"))
         at = _unplanes(row["docs"], "<u4")
         keys.append(np.frombuffer(row["keys"], "<u8")[at])
-        numbers.append(_unplanes(row["numbers"], "<u4"))
+        number = _unplanes(row["numbers"], "<u4")
+        numbers.append(number[at] if of_document else number)
         marks.append(np.frombuffer(row["marks"], "<u8"))
         known.append(np.frombuffer(row["known"], POSTING))
     del table
@@ -112,12 +115,20 @@ def _reduce(table: pa.Table, least: int, bits: int) -> pa.Table:
     )
 
 
-def repeated(source: DataFrame, chunk_postings, gather, schema: str, total: int, limit: int, least: int = 2) -> DataFrame:
+def coarse(hashes: np.ndarray) -> np.ndarray:
+    """The leading 48 bits. Enough where a false match costs a little work and no more; bytes
+    that are all zero take no room in the exchange."""
+    return hashes & np.uint64(0xFFFFFFFFFFFF0000)
+
+
+def repeated(
+    source: DataFrame, chunk_postings, gather, schema: str, total: int, limit: int, least: int = 2, of_document: bool = False
+) -> DataFrame:
     """Postings whose hash occurs at least `least` times, by document.
 
     `chunk_postings(batches)` gives, for each chunk, hashes, documents as places in keys,
-    numbers and keys (all arrays; keys are hashes of the documents). The same
-    (hash, key, number) counts once. Within a chunk `limit` or more occurrences are taken to be repeated,
+    numbers and keys (all arrays; keys are hashes of the documents, and with `of_document` numbers are
+    theirs, not the postings'). The same (hash, key, number) counts once. Within a chunk `limit` or more occurrences are taken to be repeated,
     and the hash's count is OFTEN everywhere. `gather(postings)` gets a POSTING array of whole
     documents, ordered by key, and gives a table of `schema`. `total` is about the number of
     postings, for the number of ranges.
@@ -127,10 +138,10 @@ def repeated(source: DataFrame, chunk_postings, gather, schema: str, total: int,
     def pack(batches):
         for hashes, docs, numbers, keys in chunk_postings(batches):
             if len(hashes):
-                yield _pack(hashes, docs, numbers, keys, limit, bits)
+                yield _pack(hashes, docs, numbers, keys, limit, bits, of_document)
 
     def count(table: pa.Table) -> pa.Table:
-        return _reduce(table, least, bits)
+        return _reduce(table, least, bits, of_document)
 
     def assemble(table: pa.Table) -> pa.Table:
         found = np.concatenate([np.frombuffer(b, POSTING) for b in table.column("postings").to_pylist()])

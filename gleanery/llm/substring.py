@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import cut, heavy_values
-from .postings import repeated
+from .postings import coarse, repeated
 from .words import Words, chunks
 
 WINDOW = 35
@@ -54,7 +54,7 @@ def anchors(window: int = WINDOW):
             place = at - words.first[doc]
             # Texts too short for one window have no anchors.
             chosen = in_cover[place % PERIOD] & (words.count[doc] >= window)
-            yield hashes[chosen], doc[chosen], place[chosen], _keys(keys)
+            yield coarse(hashes[chosen]), doc[chosen], place[chosen], _keys(keys)
 
     return postings
 

@@ -48,7 +48,7 @@ def brute(rows):
 
 
 def compare(df, rows):
-    assert sorted((tuple(r) for r in df.collect()), key=repr) == brute(rows)
+    assert sorted((tuple(r)[:3] for r in df.collect()), key=repr) == brute(rows)
 
 
 def corpus(seed, n=250):
