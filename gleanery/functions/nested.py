@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 SCALAR, LIST, EMPTY = "scalar", "list", "empty_object"
+OPEN = "open"
 
 
 def _json_path(names) -> str:
@@ -38,12 +39,12 @@ def _as_list(v: Column) -> Column:
     return F.try_variant_get(v, "$", "array<variant>")
 
 
-def leaves(json: Column, max_depth: int = 8) -> Column:
-    """array<struct<path, kind, value_json>> of a JSON object's leaves.
+def leaves(json: Column, levels: int = 8) -> Column:
+    """array<struct<path, kind, value_json>> of a JSON object's leaves, as far as `levels` go.
 
     Lists and empty objects are leaves. Values come out in one canonical spelling
-    (sorted names, shortest numbers), so equal values have equal text. Objects nested
-    deeper than `max_depth` raise: raise the depth, nothing is cut off.
+    (sorted names, shortest numbers), so equal values have equal text. What is nested
+    deeper comes out as an object of kind OPEN; operators.merge.to_leaves goes on with those.
     """
     nodes = F.array(
         F.struct(F.array().cast("array<string>").alias("path"), F.parse_json(json).alias("v"))
@@ -59,13 +60,13 @@ def leaves(json: Column, max_depth: int = 8) -> Column:
         )
         return F.when(F.size(obj) > 0, children).otherwise(F.array(node))
 
-    for _ in range(max_depth):
+    for _ in range(levels):
         nodes = F.flatten(F.transform(nodes, open_up))
 
     def finish(node: Column) -> Column:
         obj = _as_object(node["v"])
         kind = (
-            F.when(F.size(obj) > 0, F.raise_error(F.lit("record is nested deeper than max_depth")).cast("string"))
+            F.when(F.size(obj) > 0, F.lit(OPEN))
             .when(obj.isNotNull(), F.lit(EMPTY))
             .when(_as_list(node["v"]).isNotNull(), F.lit(LIST))
             .otherwise(F.lit(SCALAR))

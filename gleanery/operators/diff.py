@@ -77,7 +77,7 @@ def _paths(side: DataFrame, key: str, name: str) -> DataFrame:
 SNAPSHOTS = "_system.configuration"
 
 
-def diff_with_last(state: StateTable, records: DataFrame, batch_id: int, max_depth: int = 8) -> DataFrame:
+def diff_with_last(state: StateTable, records: DataFrame, batch_id: int, levels: int = 8) -> DataFrame:
     """Stores records (key, value_json) as their newest snapshot and returns what changed.
 
     A record that is new, or whose last snapshot was empty, has no diff. Neither have
@@ -91,7 +91,7 @@ def diff_with_last(state: StateTable, records: DataFrame, batch_id: int, max_dep
     )
 
     def leaf_table(rows):
-        return to_leaves(rows, ["key"], "value_json", max_depth)
+        return to_leaves(rows, ["key"], "value_json", levels)
 
     now = state_latest(state.log(SNAPSHOTS).filter(F.col("batch_id") == int(batch_id)))
     last = state.latest(SNAPSHOTS, before=batch_id).join(now.select("key"), "key", "left_semi")

@@ -13,18 +13,39 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.nested import EMPTY, LIST, SCALAR, leaves, list_elements
+from ..functions.nested import EMPTY, LIST, OPEN, SCALAR, leaves, list_elements
 from ..schemas import METADATA_FIELDS
+from ..session import work_dir
 from .joins import join_unique
 
 _INSIDE = "inside"
 EMPTY_LIST = "empty_list"
 
 
-def to_leaves(records: DataFrame, keep: list[str], json: str, max_depth: int = 8) -> DataFrame:
-    return records.select(*keep, F.explode(leaves(F.col(json), max_depth)).alias("__l")).select(
-        *keep, "__l.*"
-    )
+def to_leaves(records: DataFrame, keep: list[str], json: str, levels: int = 8) -> DataFrame:
+    """keep, path, kind, value_json: a row per leaf of each record, however deep.
+
+    `levels` levels are opened in one pass. Whether any record can be deeper is told by its number of
+    braces; only then are the objects that are still closed written to the shared folder and opened in turn.
+    """
+    braces = F.max(F.length(json) - F.length(F.replace(json, F.lit("{"), F.lit(""))))
+    deep = (records.agg(braces).first()[0] or 0) > levels
+    rows = records.select(*keep, F.array().cast("array<string>").alias("__at"), F.col(json).alias("__json"))
+    done = None
+    while True:
+        found = rows.select(*keep, "__at", F.explode(leaves(F.col("__json"), levels)).alias("__l")).select(
+            *keep, F.concat("__at", "__l.path").alias("path"), "__l.kind", "__l.value_json"
+        )
+        closed = found.filter(F.col("kind") != OPEN)
+        done = closed if done is None else done.unionByName(closed)
+        if not deep:
+            return done
+        path = work_dir(records.sparkSession, "records")
+        found.filter(F.col("kind") == OPEN).write.parquet(path)
+        rest = records.sparkSession.read.schema(found.schema).parquet(path)
+        if rest.isEmpty():
+            return done
+        rows = rest.select(*keep, F.col("path").alias("__at"), F.col("value_json").alias("__json"))
 
 
 def proper_prefixes(path: Column) -> Column:
@@ -165,10 +186,10 @@ def merged_tags(patches: DataFrame, seq: str = "seq") -> DataFrame:
     return patches.select("source_url", seq, F.posexplode("tags").alias("idx", "tag"))
 
 
-def merged_extra(patches: DataFrame, seq: str = "seq", max_depth: int = 8) -> DataFrame:
+def merged_extra(patches: DataFrame, seq: str = "seq", levels: int = 8) -> DataFrame:
     """`extra` folded per source_url: objects merge, anything else is replaced."""
     entries = to_leaves(
-        patches.filter("extra_json is not null"), ["source_url", seq], "extra_json", max_depth
+        patches.filter("extra_json is not null"), ["source_url", seq], "extra_json", levels
     ).withColumnRenamed(seq, "layer")
     return layered_merge(entries, "source_url", lists_concatenate=False)
 

@@ -770,7 +770,7 @@ def metadata_merge_tags(spark, sf):
 
 @query
 def metadata_merge_extra(spark, sf):
-    merged = me.merged_extra(_patches(spark, sf), max_depth=2)
+    merged = me.merged_extra(_patches(spark, sf), levels=2)
     return merged.select("source_url", F.array_join("path", ".").alias("path"), "value_json")
 
 

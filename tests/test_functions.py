@@ -8,6 +8,7 @@ from pathlib import PurePosixPath
 import pytest
 from pyspark.sql import functions as F
 
+from gleanery.operators.merge import to_leaves
 from gleanery.functions import identity, metadata, nested, paths, text as tx
 
 
@@ -257,8 +258,19 @@ def test_leaves(spark):
         (["a"], "list", "[]"), (["b", "x.y", "q'r"], "scalar", "1"), (["e"], "empty_object", "{}"),
         (["f"], "scalar", "1"), (["n"], "scalar", "null"), (["t"], "scalar", '"z"'),
     ]
-    with pytest.raises(Exception, match="max_depth"):
-        one(spark, record, "string", nested.leaves(F.col("v"), 2))
+    shallow = one(spark, record, "string", nested.leaves(F.col("v"), 2))
+    assert [(list(r.path), r.value_json) for r in shallow if r.kind == nested.OPEN] == [(["b", "x.y"], '{"q\'r":1}')]
+
+
+@pytest.mark.parametrize("levels", [1, 5, 8])
+def test_leaves_of_any_depth(spark, levels):
+    record = 1
+    for i in reversed(range(12)):
+        record = {f"k{i}": record, f"s{i}": i}
+    df = spark.createDataFrame([(1, json.dumps(record)), (2, '{"a":{}}'), (3, None)], "id long, record string")
+    got = {(r.id, tuple(r.path)): r.value_json for r in to_leaves(df, ["id"], "record", levels).collect()}
+    want = {(1, (*[f"k{j}" for j in range(i)], f"s{i}")): str(i) for i in range(12)}
+    assert got == want | {(1, tuple(f"k{j}" for j in range(12))): "1", (2, ("a",)): "{}", (3, ()): None}
 
 
 def test_metadata_json_round_trip(spark):

@@ -208,10 +208,15 @@ def test_tree(spark):
     assert got == {str(i): climb(i) for i in parents}
 
 
-def test_cycle_is_reported(spark):
-    df = spark.createDataFrame([("a", "b"), ("b", "a")], "item_id string, parent_id string")
-    with pytest.raises(ValueError, match="cycle"):
-        item_tree(df, max_rounds=3)
+def test_cycles_have_no_root(spark):
+    parents = {"a": "b", "b": "a", "below": "a", "self": "self", "r": None, "c": "r", "d": "c", "lost": "nowhere"}
+    df = spark.createDataFrame(list(parents.items()), "item_id string, parent_id string")
+    got = {r.item_id: (r.depth, r.root_id) for r in item_tree(df).collect()}
+    assert got == {
+        **{k: (None, None) for k in ("a", "b", "below", "self")},
+        "r": (0, "r"), "c": (1, "r"), "d": (2, "r"), "lost": (1, "nowhere"),
+    }
+
 
 
 def test_diff_with_last_snapshot(spark):
