@@ -25,7 +25,7 @@ def op1_exact_dedup(spark, sf_dir):
 
 
 def op2_near_duplicates(spark, sf_dir):
-    return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"))
+    return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents")).drop("set_hash")
 
 
 def op3_packing(spark, sf_dir):
@@ -87,6 +87,44 @@ ORACLE = {
         SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, score
         FROM p WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
         QUALIFY rank <= 20""",
+    "op2_near_duplicates": r"""
+        WITH RECURSIVE d AS (
+            SELECT row_number() OVER () AS rid, doc_id,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                                'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents),
+        s AS (
+            SELECT DISTINCT rid, array_to_string(list_slice(w, i, i + 4), ' ') AS shingle
+            FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+        n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+        p AS (
+            SELECT a.rid AS a, b.rid AS b, count(*) AS shared
+            FROM s a JOIN s b ON a.shingle = b.shingle AND a.rid <> b.rid GROUP BY ALL),
+        l AS (
+            SELECT a, b FROM p JOIN n x ON x.rid = a JOIN n y ON y.rid = b
+            WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
+        r AS (SELECT rid, rid AS found FROM d UNION SELECT r.rid, l.b FROM r JOIN l ON l.a = r.found)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+        FROM d LEFT JOIN n USING (rid)
+        JOIN (SELECT r.rid, min(e.doc_id) AS component_id FROM r JOIN d e ON e.rid = r.found GROUP BY r.rid) c
+          ON c.rid = d.rid""",
+    "op7_substring_dedup": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS rid, doc_id,
+                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+            FROM documents),
+        x AS (
+            SELECT rid, i, array_to_string(list_slice(w, i, i + 34), ' ') AS words
+            FROM (SELECT rid, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+        h AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY words) AS n FROM x) WHERE n > 1),
+        g AS (SELECT DISTINCT rid, unnest(range(i, i + 35)) AS i FROM h),
+        k AS (
+            SELECT rid, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept
+            FROM (SELECT rid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d) ANTI JOIN g USING (rid, i)
+            GROUP BY rid)
+        SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
+               sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN k USING (rid)""",
     "op5_mixing": r"""
         WITH d AS (
             SELECT doc_id, source,
