@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 OFTEN = np.uint32(0xFFFFFFFF)  # stands for a count too large to matter
-RANGE_POSTINGS = 1 << 20
+RANGE_POSTINGS = 1 << 21
 _MAPPED = "part int, hashes binary, docs binary, numbers binary, keys binary, marks binary, known binary"
 _REDUCED = "part int, postings binary"
 POSTING = np.dtype([("key", "<u8"), ("hash", "<u8"), ("number", "<u4"), ("count", "<u4")])

@@ -11,7 +11,7 @@ _LOWER[65:91] += 32
 _RNG = np.random.default_rng(20_24)
 _BYTE = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 3 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:

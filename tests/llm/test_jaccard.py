@@ -120,4 +120,4 @@ def test_components(spark):
 
 
 def test_ranges_grow():
-    assert postings.part_bits(0) == 6 and postings.part_bits(10**12) == 20
+    assert postings.part_bits(0) == 6 and postings.part_bits(10**12) == 19
