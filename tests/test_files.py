@@ -8,7 +8,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from gleanery.operators import items as it, state as st
-from gleanery.plans.indexing import index_folder, index_sources
+from gleanery.plans.indexing import index_folder, index_listing, index_sources
 from gleanery.plans.registry import Registry
 from gleanery.session import work_dir
 from gleanery.sources import files as fi, listing
@@ -237,3 +237,40 @@ def test_dedup_stream(spark):
         urls = spark.readStream.schema("source_url string").parquet(f"{out}/in")
         streams.append_stream(streams.dedup_stream(urls), f"{out}/rows", f"{out}/c").awaitTermination()
     assert rows(spark.read.parquet(f"{out}/rows"), "source_url") == [("a",), ("b",), ("c",)]
+
+
+def test_nothing_listed_is_lost(spark, tmp_path):
+    """Every listed row is stored or a failure, whatever its scheme; a batch tried again changes nothing."""
+    good = tmp_path / "good.txt"
+    good.write_text("hello")
+    urls = [f"file://{good}", f"file://{tmp_path}/none.txt", "http://host/page", "hdfs://nowhere:1/x.txt", "odd://x", "no scheme"]
+    listed = spark.createDataFrame([(u, u) for u in urls], "source_url string, path string")
+    items = it.ItemsTable(spark, str(tmp_path / "items"))
+    for _ in range(2):
+        index_listing(listed, items, 1)
+        stored = {r.source_url for r in items.read().collect()}
+        failed = {r.source_url: (r.stage, r.message) for r in items.failures().collect()}
+        assert stored == {urls[0]} and set(failed) == set(urls[1:])
+    assert {stage for stage, _ in failed.values()} == {"fetch"}
+    assert failed["http://host/page"][1] == "No reader registered for fetcher: http"
+    assert failed["odd://x"][1].startswith("No fetcher found") and "cannot read file" in failed[urls[1]][1]
+
+
+def test_failing_source_does_not_stop_the_others(spark, tmp_path):
+    """One source fails when it is opened, one while it is read."""
+    good = tmp_path / "good.txt"
+    good.write_text("hello")
+
+    def late(s):
+        return s.range(3).select(F.raise_error(F.lit("broken while read")).cast("string").alias("source_url"))
+
+    def early(s):
+        return s.read.parquet(str(tmp_path / "missing"))
+
+    registry = Registry()
+    registry.register_source("late", late).register_source("early", early)
+    registry.register_source("good", lambda s: s.createDataFrame([(f"file://{good}",)], "source_url string"))
+    items = it.ItemsTable(spark, str(tmp_path / "items"))
+    index_sources(spark, items, 1, registry)
+    assert [r.source_url for r in items.read().collect()] == [f"file://{good}"]
+    assert {(r.source_url, r.stage) for r in items.failures().collect()} == {("late", "source"), ("early", "source")}
