@@ -48,7 +48,7 @@ def test_runs_and_whole():
     assert whole[0] == whole[1] and whole[3] == whole[4] and len(set(whole.tolist())) == 4
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_random(spark, seed):
     r = random.Random(seed)
     word = lambda: r.choice("abcdefghijklmnopqrstuvwxyz") + r.choice("abcdefghijklmnopqrstuvwxyz")
