@@ -19,7 +19,7 @@ HEADLINE = (
     "skip_existing find_item_id update_items update_metadata remove_by_url dedup_by_hash "
     "duplicate_groups discovery_summary stage_status state_latest state_get snapshot_diff nested_diff "
     "layered_merge metadata_merge metadata_merge_extra item_ids item_tree extract_nested cache_get "
-    "cache_orphans read_files index_folder index_stream state_stream"
+    "cache_orphans cache_save read_files index_folder index_stream state_stream"
 ).split()
 
 
