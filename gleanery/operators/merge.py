@@ -11,6 +11,9 @@ A merged list stays one row per element, ordered by (layer, idx).
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.nested import EMPTY, LIST, OPEN, SCALAR, leaves, list_elements
@@ -22,15 +25,15 @@ _INSIDE = "inside"
 EMPTY_LIST = "empty_list"
 
 
-def to_leaves(records: DataFrame, keep: list[str], json: str, levels: int = 8) -> DataFrame:
+def to_leaves(records: DataFrame, keep: list[str], column: str, levels: int = 8) -> DataFrame:
     """keep, path, kind, value_json: a row per leaf of each record, however deep.
 
     `levels` levels are opened in one pass. Whether any record can be deeper is told by its number of
     braces; only then are the objects that are still closed written to the shared folder and opened in turn.
     """
-    braces = F.max(F.length(json) - F.length(F.replace(json, F.lit("{"), F.lit(""))))
+    braces = F.max(F.length(column) - F.length(F.replace(column, F.lit("{"), F.lit(""))))
     deep = (records.agg(braces).first()[0] or 0) > levels
-    rows = records.select(*keep, F.array().cast("array<string>").alias("__at"), F.col(json).alias("__json"))
+    rows = records.select(*keep, F.array().cast("array<string>").alias("__at"), F.col(column).alias("__json"))
     done = None
     while True:
         found = rows.select(*keep, "__at", F.explode(leaves(F.col("__json"), levels)).alias("__l")).select(
@@ -194,6 +197,53 @@ def merged_extra(patches: DataFrame, seq: str = "seq", levels: int = 8) -> DataF
     return layered_merge(entries, "source_url", lists_concatenate=False)
 
 
+def as_records(merged: DataFrame, key: str, name: str = "record_json") -> DataFrame:
+    """(key, record): the rows of merged records put together, one JSON object per key, names sorted.
+
+    A record is one cell here, so this is for records that fit one; the rows are for all others.
+    """
+    leaf = F.struct("path", "layer", "idx", "kind", "value_json")
+    rows = merged.groupBy(key).agg(F.collect_list(leaf).alias("leaves"))
+
+    def build(batches):
+        for batch in batches:
+            records = [_record(leaves) for leaves in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(records, pa.string())], [key, name])
+
+    kind = merged.schema[key].dataType.simpleString()
+    return rows.mapInArrow(build, f"`{key}` {kind}, `{name}` string")
+
+
+def _record(leaves) -> str:
+    root = {}
+    for leaf in sorted(leaves, key=lambda r: (r["path"], r["layer"] is not None and r["layer"], r["idx"] or 0)):
+        *above, last = leaf["path"]
+        node = root
+        for part in above:
+            node = node.setdefault(part, {})
+        if leaf["kind"] == LIST:
+            node.setdefault(last, []).append(json.loads(leaf["value_json"]))
+        elif leaf["kind"] == EMPTY_LIST:
+            node.setdefault(last, [])
+        else:
+            node[last] = json.loads(leaf["value_json"])
+    return json.dumps(root, separators=(",", ":"), sort_keys=True, ensure_ascii=False)
+
+
+def merged_metadata(patches: DataFrame, seq: str = "seq") -> DataFrame:
+    """One row per source_url with all merged metadata, tags and extra among it, as `update_metadata` takes it."""
+    by_seq = F.array_sort(F.collect_list(F.when(F.col("tags").isNotNull(), F.struct(seq, "tags"))))
+    tags = patches.groupBy("source_url").agg(F.flatten(F.transform(by_seq, lambda t: t["tags"])).alias("tags"))
+    # A patch without extra leaves the root as an empty object, which is no member of the record.
+    extra = as_records(merged_extra(patches, seq).filter(F.size("path") > 0), "source_url", "extra_json")
+    return (
+        metadata_merge(patches, seq)
+        .join(tags, "source_url", "left")
+        .join(extra, "source_url", "left")
+        .withColumn("extra_json", F.coalesce("extra_json", F.lit("{}")))
+    )
+
+
 def layer_order(layers: DataFrame, rank: str = "rank", name: str = "name") -> DataFrame:
     """(rank, name) pairs with their layer number: by rank, then by name.
 

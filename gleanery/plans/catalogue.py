@@ -774,6 +774,20 @@ def metadata_merge_extra(spark, sf):
     return merged.select("source_url", F.array_join("path", ".").alias("path"), "value_json")
 
 
+@query
+def metadata_merge_apply(spark, sf):
+    """Merged patches, tags and extra among them, put on the stored items."""
+    patches = _patches(spark, sf)
+    item_id = F.concat(F.lit("item_"), F.substring("source_url", 8, 100)).alias("item_id")
+    items = metadata.with_defaults(patches.select(item_id, "source_url").distinct())
+    updates = metadata.with_defaults(me.merged_metadata(patches)).select(item_id, "*")
+    return it.update_metadata(items, updates).select(
+        "item_id", "title", "author", "processing_state", F.array_join("tags", ",").alias("tags"),
+        F.get_json_object("extra_json", "$.last.role").alias("last_role"),
+        F.get_json_object("extra_json", "$.roles.user").alias("last_user_turn"),
+    )
+
+
 # ---- order, sets, trees ----------------------------------------------------------------
 
 

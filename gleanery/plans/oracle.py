@@ -290,6 +290,11 @@ ORACLE = {
       arg_max(text, turn) FILTER (role = 'assistant') AS description, arg_max(role, turn) FILTER (turn % 2 = 0) AS author,
       arg_max(CASE WHEN role = 'system' THEN 'completed' ELSE 'pending' END, turn) AS processing_state
       FROM conversations GROUP BY conv_id""",
+    "metadata_merge_apply": """SELECT 'item_'||conv_id AS item_id, arg_max(text, turn) FILTER (role = 'user') AS title,
+      arg_max(role, turn) FILTER (turn % 2 = 0) AS author,
+      arg_max(CASE WHEN role = 'system' THEN 'completed' ELSE 'pending' END, turn) AS processing_state,
+      string_agg(role||','||turn, ',' ORDER BY turn) AS tags, arg_max(role, turn) AS last_role,
+      (max(turn) FILTER (role = 'user'))::VARCHAR AS last_user_turn FROM conversations GROUP BY conv_id""",
     "metadata_merge_tags": """SELECT 'conv://'||conv_id AS source_url, turn AS seq, 0::BIGINT AS idx, role AS tag FROM conversations
       UNION ALL SELECT 'conv://'||conv_id, turn, 1, turn::VARCHAR FROM conversations""",
     "metadata_merge_extra": """SELECT 'conv://'||conv_id AS source_url, 'roles.'||role AS path, max(turn)::VARCHAR AS value_json

@@ -240,3 +240,24 @@ def test_merged_at(spark):
     merged = me.layered_merge(me.to_leaves(df, ["n", "layer"], "record", 3), "n")
     assert rows(me.merged_at(merged, "a"), "path", "value_json") == [(["a", "b"], "1"), (["a", "c"], "2")]
     assert rows(me.merged_at(merged, "d"), "value_json") == [("3",)] and rows(me.merged_at(merged, "x")) == []
+
+
+def test_merged_records_in_one_cell(spark):
+    layers = [
+        (1, 1, {"a": {"b": 1, "l": [1, {"x": 2}]}, "e": {}, "gone": {"x": 1}}),
+        (1, 2, {"a": {"c": None, "l": [3]}, "gone": 5, "z": []}),
+        (2, 1, {"only": "é"}),
+    ]
+    df = spark.createDataFrame([(k, n, json.dumps(r)) for k, n, r in layers], "k long, layer long, record string")
+    merged = me.layered_merge(me.to_leaves(df, ["k", "layer"], "record"), "k")
+    got = {r.k: json.loads(r.record_json) for r in me.as_records(merged, "k").collect()}
+    assert got == {
+        1: {"a": {"b": 1, "c": None, "l": [1, {"x": 2}, 3]}, "e": {}, "gone": 5, "z": []}, 2: {"only": "é"},
+    }
+
+
+def test_merged_metadata(spark):
+    rows = [("u", 1, "t", ["a"], '{"x":{"y":1}}'), ("u", 2, None, None, None), ("u", 3, None, ["b", "a"], '{"x":{"z":2}}'), ("v", 1, None, None, None)]
+    df = spark.createDataFrame(rows, "source_url string, seq long, title string, tags array<string>, extra_json string")
+    got = {r.source_url: (r.title, r.tags, r.extra_json) for r in me.merged_metadata(df).collect()}
+    assert got == {"u": ("t", ["a", "b", "a"], '{"x":{"y":1,"z":2}}'), "v": (None, [], "{}")}
