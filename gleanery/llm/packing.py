@@ -7,6 +7,7 @@ or above its length. If nothing fits and all places are taken, the fullest one c
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import pyarrow as pa
@@ -20,6 +21,11 @@ OPEN_BINS = 4096
 END_ID = 2
 # Documents packed together; more groups as the table grows, each packed by one task.
 GROUP_DOCS = 8192
+# White space as Unicode defines it, which Python's \s exceeds. Runs from LONG_RUN on are not given to the
+# pattern of the parts, whose look-ahead keeps a state for each character (1,000,000 at most).
+LONG_RUN = 100_000
+_SPACES = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_LONG_RUNS = re.compile(rf"(?<!{_SPACES}){_SPACES}{{{LONG_RUN},}}")
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -72,7 +78,24 @@ def ids_of(path: str):
     # Parts of a text that are encoded on their own, as in the file's pre-tokenizer (fixed value).
     parts = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     encoding = tiktoken.Encoding(path, pat_str=parts, mergeable_ranks=vocabulary, special_tokens={})
-    return lambda text: encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+    spaces = tiktoken.Encoding(path, pat_str=r"\s+", mergeable_ranks=vocabulary, special_tokens={})
+
+    def encode(text: str, by=encoding) -> bytes:
+        return by.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+
+    def encode_any(text: str) -> bytes:
+        if len(text) < LONG_RUN:
+            return encode(text)
+        # A part never reaches into a run of white space from before it. The run is one part, but for
+        # its last character if more follows, with which the next part begins.
+        out, at = [], 0
+        for m in _LONG_RUNS.finditer(text):
+            stop = m.end() - (m.end() < len(text))
+            out += [encode(text[at : m.start()]), encode(text[m.start() : stop], spaces)]
+            at = stop
+        return b"".join((*out, encode(text[at:])))
+
+    return encode_any
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

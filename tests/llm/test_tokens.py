@@ -1,5 +1,6 @@
 """Packing and token counts against plain versions."""
 
+import re
 import zlib
 
 import numpy as np
@@ -109,6 +110,32 @@ def test_ids_are_those_of_the_library(tokenizer, text):
     assert np.frombuffer(ENCODE(text), "<u4").tolist() == plain_ids(tokenizer, text)[:-1]
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "a" + " " * 2_000_000 + "b",
+        "a" + "\n" * 2_000_000 + "b",
+        "\n" * 1_200_000 + "b  c",
+        "a " + "\u3000\t \x85" * 300_000,
+        "a\x1c" + " " * 1_100_000 + "\n's" + "\n " * 600_000 + "\x1d 1" + " " * (packing.LONG_RUN - 1) + "!",
+    ],
+    ids=["blanks", "newlines", "start", "end", "several"],
+)
+def test_long_white_space(tokenizer, text):
+    assert np.frombuffer(ENCODE(text), "<u4").tolist() == plain_ids(tokenizer, text)[:-1]
+
+
+@given(st.text(alphabet=st.sampled_from("a1'!s \n\t\u3000\xa0\x85\x1c"), max_size=40))
+@settings(deadline=None, max_examples=200)
+def test_white_space_cut_short(tokenizer, text):
+    runs, length = packing._LONG_RUNS, packing.LONG_RUN
+    packing._LONG_RUNS, packing.LONG_RUN = re.compile(runs.pattern.replace(str(length), "2")), 2
+    try:
+        assert np.frombuffer(ENCODE(text), "<u4").tolist() == plain_ids(tokenizer, text)[:-1]
+    finally:
+        packing._LONG_RUNS, packing.LONG_RUN = runs, length
+
+
 def plain_count(vocabulary, word, longest=5):
     n, at = 0, 0
     while at < len(word):
