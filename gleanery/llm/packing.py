@@ -7,6 +7,7 @@ or above its length. If nothing fits and all places are taken, the fullest one c
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 
@@ -65,12 +66,23 @@ class BestFit:
         return found, self.capacity - free
 
 
-def ids_of(path: str):
+def added_tokens(path: str, encode_special_tokens: bool) -> dict[str, int]:
+    """Strings of the tokenizer's file that are no text, with their ids: all that were added to the
+    vocabulary, but for special ones if these are to be encoded as text."""
+    with open(path, encoding="utf-8") as f:
+        added = [t for t in json.load(f).get("added_tokens", []) if not (t["special"] and encode_special_tokens)]
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added):
+        raise ValueError("added tokens that depend on what is around them are not supported")
+    return {t["content"]: t["id"] for t in added}
+
+
+def ids_of(path: str, encode_special_tokens: bool = True):
     """A function from a text to its ids as little-endian 32-bit numbers.
 
     The ids are those of the tokenizers library for the byte-level BPE file at `path` (tests
     compare them). They are computed by tiktoken from that file's vocabulary, at about five
-    times the speed. Strings of special tokens are ordinary text.
+    times the speed. `encode_special_tokens` is as in the library, whose default is False: strings
+    of special tokens are ordinary text if it is True, and their own ids otherwise.
     """
     import tiktoken
 
@@ -95,18 +107,33 @@ def ids_of(path: str):
             at = stop
         return b"".join((*out, encode(text[at:])))
 
-    return encode_any
+    added = {t: i.to_bytes(4, "little") for t, i in added_tokens(path, encode_special_tokens).items()}
+    if not added:
+        return encode_any
+    # The longest of those that begin at the same place.
+    apart = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+
+    def encode_all(text: str) -> bytes:
+        if not any(t in text for t in added):
+            return encode_any(text)
+        # Every other one of these is an added token; what is between is encoded on its own.
+        cut = apart.split(text)
+        return b"".join(added[t] if i % 2 else encode_any(t) for i, t in enumerate(cut))
 
+    return encode_all
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+
+def pieces(
+    docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, encode_special_tokens: bool = True
+) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of the pieces of every document, in one pass."""
     end = end_id.to_bytes(4, "little")
 
     def task(batches):
         cache = worker_cache()
-        slot = ("ids", tokenizer_path)
+        slot = ("ids", tokenizer_path, encode_special_tokens)
         if slot not in cache:
-            cache[slot] = ids_of(tokenizer_path)
+            cache[slot] = ids_of(tokenizer_path, encode_special_tokens)
         encode = cache[slot]
         for batch in batches:
             out = [[] for _ in range(5)]
@@ -128,7 +155,12 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
 
 
 def pack(
-    docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, end_id: int = END_ID
+    docs: DataFrame,
+    tokenizer_path: str,
+    capacity: int = CAPACITY,
+    open_bins: int = OPEN_BINS,
+    end_id: int = END_ID,
+    encode_special_tokens: bool = True,
 ) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece.
 
@@ -137,12 +169,13 @@ def pack(
     pieces of a sequence fill it from offset 0 without gaps. Pieces are packed in groups that a
     hash deals out, the longest first, so that reruns agree and little is left open; rows that are the same in all columns may swap
     places. Only the pieces' numbers are shuffled, never ids or texts. The tokenizer's file is
-    there on each executor.
+    there on each executor. With `encode_special_tokens` False, strings of the file's special tokens
+    become those tokens, as in the library by default.
     """
     groups = max(1, -(-docs.count() // GROUP_DOCS))
     h = F.xxhash64("doc_id", "piece", "length", "ids_crc32")
     found = (
-        pieces(docs, tokenizer_path, capacity, end_id)
+        pieces(docs, tokenizer_path, capacity, end_id, encode_special_tokens)
         .withColumn("group", F.pmod(h, F.lit(groups)).cast("int"))
         .repartition("group")
         .sortWithinPartitions("group", F.desc("length"), "doc_id", "piece", "ids_crc32")

@@ -29,7 +29,7 @@ def op2_near_duplicates(spark, sf_dir):
 
 
 def op3_packing(spark, sf_dir):
-    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(), encode_special_tokens=False)
 
 
 def op4_token_counts(spark, sf_dir):

@@ -136,6 +136,24 @@ def test_white_space_cut_short(tokenizer, text):
         packing._LONG_RUNS, packing.LONG_RUN = runs, length
 
 
+def test_special_tokens_as_the_library_does(spark, tmp_path):
+    """The queries' own calls, against the library with nothing set on it."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from gleanery.llm.queries import op3_packing
+
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, f"{end}{end}x  {end}  y", f"{end[:-1]} {end[1:]}", f"a\n\n{end}\n", " " * 1_200_000 + end + "\n" * 1_200_000, (f"w {end}" * 900), None]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(path)
+    plain = Tokenizer.from_file(tokenizer_path())
+    assert plain.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    docs = spark.read.parquet(path)
+    for packed in (op3_packing(spark, str(tmp_path)), corpus_pipeline.pack_sequences(spark, docs, str(tmp_path))):
+        check_packing(plain, list(enumerate(texts)), packed.collect())
+
+
 def plain_count(vocabulary, word, longest=5):
     n, at = 0, 0
     while at < len(word):
