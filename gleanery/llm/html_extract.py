@@ -16,10 +16,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-# Elements whose content is no text of the page.
+# Elements whose content is no text of the page. All of them need their end tags; that of head is optional, so
+# head is not one of them, and what it may hold is skipped one by one.
 SILENT = frozenset(
     "script style noscript template svg math iframe object embed applet canvas audio video map select "
-    "textarea button datalist head title input".split()
+    "textarea button datalist title input".split()
 )
 # Elements that stand within a line; all others end a block.
 INLINE = frozenset(
@@ -65,7 +66,7 @@ def _zone(tag: str, attributes: str) -> int:
         return -1 if hints & TEASER_HINTS else 1
     if tag in BOILER_TAGS:
         return -1
-    if tag in ("html", "body"):
+    if tag in ("html", "head", "body"):
         return 0
     if hints & BOILER_HINTS:
         return -1
@@ -149,7 +150,7 @@ def blocks(page: str) -> tuple[list[str], list[list[float]]]:
 
 def _end_of(page: str, tag: str, at: int) -> int:
     """Where a silent element ends; where the page ends if it is not closed."""
-    m = re.compile(rf"</{tag}[^>]*>", re.I).search(page, at)
+    m = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
     return m.end() if m else len(page)
 
 

@@ -38,6 +38,20 @@ def test_odd_pages(page, want):
     assert html_extract.main_text(page, TREE) == want
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><meta charset=utf-8><title>No</title><link href=x><body><article><p>Kept.</p></article></body></html>",
+        "<head class=nav><title>No</title><style>p {}</style><script>'</head>'</script><body><header>No</header><article><p>Kept.</p></article>",
+        "<head><title>No</title><noscript><p>No</p></noscript><article><p>Kept.</p></article><header>No</header>",
+        "<head><title>No</titles> no</title></head><article><p>Kept.</p><select><option>no</selected>no</select></article>",
+        "<title>No</TITLE ><article><p>Kept.</p></article>",
+    ],
+)
+def test_head_without_end_tag(page):
+    assert html_extract.main_text(page, TREE) == "Kept."
+
+
 @given(st.text(alphabet=st.sampled_from("<>/&;!-\"'= apdivstyle\n"), max_size=80))
 @settings(max_examples=300, deadline=None)
 def test_any_markup(page):
