@@ -38,6 +38,17 @@ BOILER_HINTS = frozenset(
     "comment comments commentlist disqus respond reply replies share sharing social follow newsletter subscribe "
     "subscription signup login signin search form contentinfo skip teaser outbrain taboola".split()
 )
+# Nothing inside an element with one of these is main text. The other words of BOILER_HINTS are also said of
+# wrappers of whole pages (a layout with a sidebar, a page of search results).
+FIRM_HINTS = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion cookie cookies "
+    "consent gdpr breadcrumb breadcrumbs pagination pager copyright related recommended recommendations trending "
+    "popular comment comments commentlist disqus respond reply replies teaser outbrain taboola".split()
+)
+# What follows one of these in a class says what is elsewhere: has-sidebar, layout--no-comments.
+MODIFIERS = frozenset("has with no not without".split())
+# A header of one of these is the head of the article.
+HEADED = frozenset("article post entry story".split())
 # On an element that says it is the main part, only these count.
 TEASER_HINTS = frozenset("comment comments reply teaser related promo ad ads sponsored".split())
 MAIN_HINTS = frozenset("content article main post entry story articlebody maincontent bodytext body text".split())
@@ -56,31 +67,46 @@ FEATURES = (
 ).split()
 
 
-def _zone(tag: str, attributes: str) -> int:
-    """-1 for an element of boilerplate, 1 for one of main text, 0 for neither."""
-    hints = set()
+def _zone(tag: str, attributes: str) -> tuple[int, bool]:
+    """-1 for an element of boilerplate, 1 for one of main text, 0 for neither; and if it is so only by a
+    word that is also said of wrappers."""
+    hints, main = set(), False
     if attributes:
         for m in _ATTRIBUTE.finditer(attributes):
-            hints.update(w.lower() for w in _WORDS.findall(m[2] or m[3] or m[4] or ""))
+            for name in (m[2] or m[3] or m[4] or "").split():
+                words = [w.lower() for w in _WORDS.findall(name)]
+                words = words[: next((i for i, w in enumerate(words) if w in MODIFIERS), None)]
+                if "header" in words[1:] and words[0] in HEADED:
+                    words = []
+                hints.update(words)
+                main = main or not MAIN_HINTS.isdisjoint(words) and BOILER_HINTS.isdisjoint(words)
     if tag in MAIN_TAGS:
-        return -1 if hints & TEASER_HINTS else 1
+        return (-1 if hints & TEASER_HINTS else 1), False
     if tag in BOILER_TAGS:
-        return -1
+        return -1, False
     if tag in ("html", "head", "body"):
-        return 0
+        return 0, False
+    if hints & FIRM_HINTS:
+        return -1, False
     if hints & BOILER_HINTS:
-        return -1
+        # Another of its names may say that it is main text: what is inside decides.
+        return (0, False) if main else (-1, True)
     if tag == "form":
-        return -1
-    return 1 if hints & MAIN_HINTS else 0
+        return -1, False
+    return (1 if main else 0), False
 
 
 def blocks(page: str) -> tuple[list[str], list[list[float]]]:
-    """Texts of the blocks in page order, and their features."""
-    texts, rows = [], []
+    """Texts of the blocks in page order, and their features.
+
+    A wrapper's hint is outweighed by a main element in it, and by articles and contents in it that
+    hold more words than all that stands outside of boilerplate.
+    """
+    texts, rows, freed = [], [], []
     parts, n_words, n_linked, links, heading = [], 0, 0, 0, False
-    # Open elements that are not inline: (tag, zone, nearest zone, boiler above, main above).
-    stack = [("", 0, 0, 0, 0)]
+    # Open elements that are not inline: (tag, zone, nearest zone, boiler above, main above, in a wrapper's main
+    # part). Boiler above: 1 for a wrapper alone, 2 for any other. In a wrapper's main part: 2 in a main element.
+    stack = [("", 0, 0, 0, 0, 0)]
     any_main_page = False
 
     def close():
@@ -91,7 +117,8 @@ def blocks(page: str) -> tuple[list[str], list[list[float]]]:
                 words = max(1, text.count(" ") + 1)
                 top = stack[-1]
                 texts.append(text)
-                rows.append([words, min(1.0, n_linked / words), top[2] < 0, top[2] > 0, top[3], top[4], heading])
+                rows.append([words, min(1.0, n_linked / words), top[2] < 0, top[2] > 0, int(top[3] > 0), top[4], heading])
+                freed.append(top[5] if top[3] == 1 else 0)
             parts, n_linked = [], 0
 
     at, end = 0, len(page)
@@ -133,18 +160,26 @@ def blocks(page: str) -> tuple[list[str], list[list[float]]]:
             heading = bool(_HEADING.match(tag))
             if tag in VOID or tag == "p" or m[3].endswith("/"):
                 continue
-            zone = _zone(tag, m[3])
-            _, _, near, boiler, main = stack[-1]
+            zone, wrapper = _zone(tag, m[3])
+            _, _, near, boiler, main, inner = stack[-1]
             if zone < 0 and tag == "header" and near > 0:
                 zone = 0  # the head of an article is part of it
             any_main_page = any_main_page or zone > 0
             # A form may go around a whole page, so it does not outweigh what is inside.
-            strong = zone < 0 and tag != "form"
-            stack.append((tag, zone, zone or near, boiler or int(strong), main or int(zone > 0)))
+            if zone < 0 and tag != "form":
+                boiler = max(boiler, 1 if wrapper and not inner else 2)
+            if zone > 0 and boiler == 1:
+                inner = max(inner, 2 if tag == "main" else 1)
+            stack.append((tag, zone, zone or near, boiler, main or int(zone > 0), inner))
             if len(stack) > 4000:
                 # Never closed elements of broken pages; the outermost matter least.
                 del stack[1:2000]
     close()
+    outside = sum(r[0] for r in rows if not r[2] and not r[4])
+    enough = 1 if sum(r[0] for r, f in zip(rows, freed) if f and not r[2]) > outside else 2
+    for r, f in zip(rows, freed):
+        if f >= enough:
+            r[4] = 0
     return texts, _with_neighbours(rows, any_main_page)
 
 

@@ -58,4 +58,19 @@ PAGES = [
     ("<body><nav><a href='/'>Home</a></nav><article></article><footer>The end of it</footer></body>", []),
     ("<div><a href='/'>Home</a></div><div><a href='/m'>Map of the site</a> | <a href='/n'>News</a></div>", []),
     (f"<nav><p>{_LONG}</p></nav><main><p>{_SHORT}</p><p><a href='/x'>{_MID}</a></p></main>", [_SHORT, _MID]),
+    # Wrappers whose classes have words of boilerplate.
+    (
+        f"""<body><div class="layout search"><div class="nav"><a href="/">Home</a></div><article><div class="article-header"><h1>Sluices</h1></div><p>{_LONG}</p><p>{_SHORT}</p>
+        <div class="share"><p>{_MID}</p></div></article><div class="comments"><div class="content"><p>{_LONG}</p></div></div></div></body>""",
+        ["Sluices", _LONG, _SHORT],
+    ),
+    (
+        f"""<body><div class="content has-sidebar"><article class="post no-comments"><h1>Locks</h1><p>{_MID}</p><p>{_SHORT}</p></article></div>
+        <div class="sidebar"><div class="widget"><div class="content"><p>{_QUOTE}</p></div></div></div></body>""",
+        ["Locks", _MID, _SHORT],
+    ),
+    (
+        f"""<body><div id="header"><p>{_LONG}</p></div><div class="page widget"><main><h1>Weirs</h1><p>{_SHORT}</p><p>{_MID}</p></main></div><p>{_LONG} {_LONG}</p></body>""",
+        ["Weirs", _SHORT, _MID],
+    ),
 ]

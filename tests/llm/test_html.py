@@ -38,6 +38,21 @@ def test_odd_pages(page, want):
     assert html_extract.main_text(page, TREE) == want
 
 
+@pytest.mark.parametrize("around", ["content has-sidebar", "layout no-sidebar", "layout--with-search", "search", "social follow", "widget alert", "header sidebar"])
+@pytest.mark.parametrize("inner", ["article", "main", "div class=content"])
+def test_wrappers_of_the_article(around, inner):
+    end = inner.split()[0]
+    page = f"""<body><nav><a href=/>Home</a></nav><div class='{around}'><{inner}><div class='article-header'><h1>Title</h1></div><p>The text of it.</p>
+    <div class='share'><p>No.</p></div></{end}><div class='comments'><article><p>No, a longer comment than the text.</p></article></div></div><footer>No</footer>"""
+    assert html_extract.main_text(page, TREE) == "Title\nThe text of it."
+
+
+@pytest.mark.parametrize("side", ["sidebar", "widget", "related", "comments", "sidebar widget"])
+def test_articles_at_the_side(side):
+    page = f"<article><p>The text of the page itself.</p></article><div class='{side}'><article><p>Another one.</p></article><div class=content><p>No.</p></div></div>"
+    assert html_extract.main_text(page, TREE) == "The text of the page itself."
+
+
 @pytest.mark.parametrize(
     "page",
     [
