@@ -72,8 +72,14 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST_EPOCHS, seed=SE
     cut. Null sources are one source. Rows with the same doc_id have neighbouring places, rows
     that are the same in all columns used may swap theirs. An empty table gives no rows.
     """
+    return _places(docs, [], weights, share, most, seed)
+
+
+def _places(docs: DataFrame, carried: list[str], weights, share, most, seed) -> DataFrame:
+    """The rows of `mix`, each with the columns `carried` of its row of `docs`."""
     sized = cut(
         docs.select(
+            *carried,
             "doc_id",
             F.col("source").isNull().alias("no_source"),
             F.coalesce("source", F.lit("")).alias("src"),
@@ -94,7 +100,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST_EPOCHS, seed=SE
         .drop("range_size")
         .join(source_targets(sized, weights, share, most), source)
     )
-    own = Window.partitionBy(*source, "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy(*source, "range").orderBy("key", "doc_id", "size", *carried).rowsBetween(Window.unboundedPreceding, -1)
     budget = F.floor("target")
     # Whole epochs, and what is left of the budget where this document begins in the last one.
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
@@ -103,7 +109,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST_EPOCHS, seed=SE
     return (
         sized.join(ranges, [*source, "range"])
         .withColumn("start", F.col("before") + F.coalesce(F.sum("size").over(own), F.lit(0)))
-        .select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+        .select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), *carried)
     )
 
 
@@ -111,13 +117,14 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST_EPO
     """The rows of `docs` as often as the mix takes them: a document of which the mix takes t of
     s words is there t / s times, rounded up (the document at the cut of a source stays whole).
     Documents without words are there once if their source has a target above half its size,
-    so that they follow their source. Repeated doc_ids count together.
+    so that they follow their source. Each row follows its own place in the plan of its source, also
+    where doc_ids are repeated or null: rows are numbered in a table of their own, written once.
     """
-    plan = mix(docs, weights, share, most, seed)
+    numbered = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    plan = _places(numbered, ["__row"], weights, share, most, seed)
     copies = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(
         F.when(F.col("target") * 2 > F.col("source_size"), 1).otherwise(0)
     )
-    by_doc = plan.groupBy("doc_id").agg(F.max(copies).cast("int").alias("__copies"))
-    joined = docs.join(by_doc.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")))
+    joined = numbered.join(plan.select("__row", copies.cast("int").alias("__copies")), "__row")
     again = F.explode(F.array_repeat(F.lit(0), F.col("__copies"))).alias("__again")
     return joined.select(*docs.columns, again).drop("__again")

@@ -93,6 +93,24 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixed_rows_of_one_id(spark):
+    """Null and repeated ids in every source: each source still gets its own target."""
+    rows = [(None if i % 3 else i % 7, f"s{i % 5}", "w " * (i % 4 + i % 5 * 3), i) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, n int")
+    target = {}
+    for r in mixing.mix(docs).select("source_size", "target").distinct().collect():
+        target[r.source_size] = math.floor(r.target)
+    size, got = {}, {}
+    for _, source, text, _ in rows:
+        size[source] = size.get(source, 0) + len(text.split())
+    for r in mixing.mixed_documents(docs).collect():
+        got[r.source] = got.get(r.source, 0) + len(r.text.split())
+    assert len(set(size.values())) == len(size) == len(target)
+    longest = max(len(r[2].split()) for r in rows)
+    for source, n in size.items():
+        assert target[n] <= got.get(source, 0) < target[n] + longest
+
+
 def test_naming_is_exact(spark):
     """Blocks of one byte: every level of names is used."""
     texts = ["", None, "a", "aa", "aaa", "aaaa", "aaaaa", "ab", "ba", "abab", "baba", "a b\ta\x0bb", "abc" * 40, "abc" * 40 + "d", "é", "é"]
