@@ -155,7 +155,8 @@ def train(found: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, float]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> list[tuple[int, np.ndarray]]:
-    """Features of at most `most` labelled documents that are not held out."""
+    """Features of at most `most` labelled documents that are not held out. Of rows with one doc_id, that with
+    the smallest hash of its text is taken before anything is collected."""
     sample = (
         labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
         .groupBy("doc_id")
@@ -171,8 +172,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS)
                 [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "toxic", "features"]
             )
 
-    joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text")
-    table = joined.mapInArrow(task, "doc_id long, toxic int, features array<int>").toArrow()
+    joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    first = F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
+    table = joined.groupBy("doc_id", "toxic").agg(first).mapInArrow(task, "doc_id long, toxic int, features array<int>").toArrow()
     if not table.num_rows:
         return []
     table = table.sort_by("doc_id").combine_chunks()

@@ -1,6 +1,7 @@
 """Each stage of the pipeline against plain versions, on the smallest tables and on odd rows."""
 
 import math
+import zlib
 
 import pytest
 from test_jaccard import brute as near
@@ -159,6 +160,17 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), given).count() == 0
 
 
+def test_training_rows_are_bounded(spark):
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(ids[0], f"copy {chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(300)] + [(i, f"text {chr(97 + i % 26)}") for i in ids[1:]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    assert len(toxicity.training_rows(docs, labels)) == len(ids)
+    assert len(toxicity.training_rows(docs, labels, 5)) == 5
+    found = toxicity.training_rows(docs.repartition(7), labels)
+    assert [x.tolist() for _, x in found] == [x.tolist() for _, x in toxicity.training_rows(docs, labels)]
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
