@@ -1,11 +1,13 @@
 """Toxicity by weak supervision.
 
 Many weak voters look at a document: lexicons, and patterns of its characters. A
-generative label model takes the true class as hidden and estimates from the votes alone how
-often each voter speaks up in either class (its accuracy), and how strongly voters repeat one
-another beyond what the class explains (their correlations), by which their say is cut. The
-posterior of that model is the label a linear classifier is trained on; the classifier then
-scores every document. Labels are used to draw up the lexicons and to start the estimate.
+generative label model takes the true class as hidden and estimates how often each voter speaks
+up in either class (its accuracy), and how strongly voters repeat one another beyond what the
+class explains (their correlations), by which their say is cut. The given label is one more
+voter, of fixed trust (TRUST) that is not estimated; the estimate starts there, and only labelled
+rows are voted on, so the posterior is mostly the given label, close to supervised training. The
+posterior is the label a linear classifier is trained on; the classifier then scores every
+document. Labels also draw up the lexicons.
 """
 
 from __future__ import annotations
