@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, exact_dedup, html_extract, jaccard_join, mixing, packing, sharding, substring, token_count, toxicity
+from . import ann, exact_dedup, html_extract, jaccard_join, mixing, packing, prefix_trie, resampling, sharding, substring
+from . import token_count, token_files, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 SHARDS = [f"shard-{i:03}" for i in range(64)]
@@ -60,9 +61,110 @@ def op10_vector_search(spark, sf_dir):
     return ann.nearest(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_duplicates, op3_packing, op4_token_counts, op5_mixing, op6_sharding, op7_substring_dedup, op8_toxicity, op9_html_extraction, op10_vector_search)}
+def op11_resampling(spark, sf_dir):
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
+def op12_prefix_trie(spark, sf_dir):
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op13_token_files(spark, sf_dir):
+    return token_files.token_round_trip(spark, _table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_duplicates, op3_packing, op4_token_counts, op5_mixing, op6_sharding, op7_substring_dedup, op8_toxicity, op9_html_extraction, op10_vector_search, op11_resampling, op12_prefix_trie, op13_token_files)}
+
+# CRC-32 of a blob: the table of the reflected polynomial, then byte by byte.
+_CRC = r"""
+        crc AS MATERIALIZED (
+            SELECT list(list_reduce(range(8), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i)
+                        ORDER BY i) AS steps
+            FROM range(256) r(i))"""
+
+
+def _crc32(blob: str) -> str:
+    bytes_of = f"list_transform(range(1, octet_length({blob}) + 1), lambda i: ('0x' || substr(hex({blob}), 2 * i - 1, 2))::BIGINT)"
+    return f"xor(4294967295, list_reduce({bytes_of}, lambda c, b: xor(c >> 8, steps[xor(c, b) % 256 + 1]), 4294967295))"
+
 
 ORACLE = {
+    "op11_resampling": rf"""
+        WITH {_CRC},
+        words AS (
+            SELECT 0 AS target, row_number() OVER () AS rid, doc_id,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM documents
+            UNION ALL
+            SELECT 1, row_number() OVER (), NULL,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')
+            FROM benchmark),
+        grams AS (SELECT target, rid, unnest(w) AS gram FROM words),
+        named AS (
+            SELECT gram, {_crc32("encode(gram)")} % 10000 AS bucket
+            FROM (SELECT DISTINCT gram FROM grams), crc),
+        counts AS (
+            SELECT bucket, count(*) FILTER (target = 0) AS s, count(*) FILTER (target = 1) AS t
+            FROM grams JOIN named USING (gram) GROUP BY bucket),
+        gains AS (
+            SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * ((sum(s) OVER ()) + 10000)::DOUBLE)
+                                           / ((s + 1)::DOUBLE * ((sum(t) OVER ()) + 10000)::DOUBLE)))::BIGINT AS gain
+            FROM counts),
+        weights AS (
+            SELECT rid, sum(gain)::BIGINT AS weight
+            FROM grams JOIN named USING (gram) JOIN gains USING (bucket) WHERE target = 0 GROUP BY rid),
+        scored AS (
+            SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+                   (coalesce(weight, 0) + floor(-1000::DOUBLE * ln(-ln(
+                       (('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT::DOUBLE + 0.5::DOUBLE)
+                       / 4294967296::DOUBLE))))::BIGINT AS score
+            FROM words LEFT JOIN weights USING (rid) WHERE target = 0)
+        SELECT *, CASE WHEN n_features >= 20
+                        AND row_number() OVER w <= 10 * (count(*) FILTER (n_features >= 20) OVER ()) // 100
+                       THEN row_number() OVER w END AS rank
+        FROM scored WINDOW w AS (ORDER BY n_features >= 20 DESC, score DESC, doc_id NULLS LAST)""",
+    "op12_prefix_trie": rf"""
+        WITH {_CRC},
+        turns AS (
+            SELECT conv_id, conv_id - conv_id % 20 AS base, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS sha, turn
+            FROM conversations WHERE conv_id IS NOT NULL),
+        numbered AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha) AS nth FROM turns),
+        convs AS (
+            SELECT conv_id, base, {_crc32("encode(conv_id::VARCHAR)")} % 4 AS h
+            FROM (SELECT DISTINCT conv_id, base FROM turns), crc),
+        taken AS (
+            SELECT c.conv_id, 0 AS own, nth, role, text FROM convs c JOIN numbered t ON t.conv_id = c.base WHERE nth <= h
+            UNION ALL
+            SELECT c.conv_id, 1, nth, role, text FROM convs c JOIN numbered t ON t.conv_id = c.conv_id WHERE nth > h),
+        paths AS (
+            SELECT conv_id, coalesce(list(struct_pack(role, text) ORDER BY own, nth) FILTER (role IS NOT NULL), []) AS p
+            FROM convs LEFT JOIN taken USING (conv_id) GROUP BY conv_id),
+        members AS (SELECT conv_id AS member, p, unnest(range(0, len(p) + 1)) AS depth FROM paths),
+        nodes AS (
+            SELECT list_slice(p, 1, depth) AS prefix, depth, min(member) AS conv_id, count(*) AS n_convs,
+                   coalesce(string_agg(member::VARCHAR, ',' ORDER BY member) FILTER (len(p) = depth), '') AS ends
+            FROM members GROUP BY ALL),
+        children AS (
+            SELECT list_slice(prefix, 1, depth - 1) AS prefix, depth - 1 AS depth, count(*) AS n
+            FROM nodes WHERE depth > 0 GROUP BY ALL),
+        known AS (
+            SELECT n.*, coalesce(c.n, 0) AS n_children, u.conv_id AS parent_conv_id,
+                   (n.n_convs - 1) * CASE WHEN n.depth = 0 THEN 0 ELSE
+                       len(regexp_extract_all(n.prefix[n.depth].text, '[^ 	-]+')) END AS saved
+            FROM nodes n LEFT JOIN children c USING (prefix, depth)
+            LEFT JOIN nodes u ON u.depth = n.depth - 1 AND u.prefix = list_slice(n.prefix, 1, n.depth - 1)),
+        below AS (
+            SELECT x.conv_id, x.depth, count(*) FILTER (y.n_children = 0) AS n_leaves, sum(y.saved) AS saved_tokens
+            FROM known x JOIN members m ON m.depth = x.depth AND list_slice(m.p, 1, m.depth) = x.prefix
+            JOIN known y ON y.conv_id = m.member AND y.depth >= x.depth
+            GROUP BY ALL)
+        SELECT conv_id, depth::BIGINT AS depth, parent_conv_id, n_convs, n_children, n_leaves,
+               saved_tokens::BIGINT AS saved_tokens, sha256(ends) AS ends_sha256
+        FROM known JOIN below USING (conv_id, depth)""",
     "op1_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) AS n,
