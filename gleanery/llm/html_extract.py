@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -107,6 +108,7 @@ def blocks(page: str) -> tuple[list[str], list[list[float]]]:
     # Open elements that are not inline: (tag, zone, nearest zone, boiler above, main above, in a wrapper's main
     # part). Boiler above: 1 for a wrapper alone, 2 for any other. In a wrapper's main part: 2 in a main element.
     stack = [("", 0, 0, 0, 0, 0)]
+    opened: Counter[str] = Counter()
     any_main_page = False
 
     def close():
@@ -150,9 +152,11 @@ def blocks(page: str) -> tuple[list[str], list[list[float]]]:
         close()
         links = 0
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
+            # An end tag closes what was opened since; without its start tag it closes nothing.
+            while opened[tag]:
+                last = stack.pop()[0]
+                opened[last] -= 1
+                if last == tag:
                     break
             if _HEADING.match(tag):
                 heading = False
@@ -171,9 +175,7 @@ def blocks(page: str) -> tuple[list[str], list[list[float]]]:
             if zone > 0 and boiler == 1:
                 inner = max(inner, 2 if tag == "main" else 1)
             stack.append((tag, zone, zone or near, boiler, main or int(zone > 0), inner))
-            if len(stack) > 4000:
-                # Never closed elements of broken pages; the outermost matter least.
-                del stack[1:2000]
+            opened[tag] += 1
     close()
     outside = sum(r[0] for r in rows if not r[2] and not r[4])
     enough = 1 if sum(r[0] for r, f in zip(rows, freed) if f and not r[2]) > outside else 2
@@ -199,9 +201,9 @@ def _with_neighbours(rows, has_main):
     return out
 
 
-def grow_tree(x: np.ndarray, y: np.ndarray, depth: int = 8):
+def grow_tree(x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 3):
     """A classification tree: (feature, threshold, left, right), or 0 or 1 at a leaf. Splits by
-    Gini impurity; ties go to the first feature and the smallest threshold."""
+    Gini impurity into parts of `least` rows or more; ties go to the first feature and the smallest threshold."""
     share = y.mean()
     if depth == 0 or share in (0.0, 1.0):
         return int(share >= 0.5)
@@ -213,7 +215,7 @@ def grow_tree(x: np.ndarray, y: np.ndarray, depth: int = 8):
         n = np.arange(1, len(y))
         right = labels.sum() - left
         cost = 2 * left * (1 - left / n) + 2 * right * (1 - right / (len(y) - n))
-        cost = np.where(values[1:] > values[:-1], cost, np.inf)
+        cost = np.where((values[1:] > values[:-1]) & (n >= least) & (len(y) - n >= least), cost, np.inf)
         if len(cost) and np.isfinite(cost).any():
             i = int(np.argmin(cost))
             if best is None or cost[i] < best[0] - 1e-12:
@@ -222,7 +224,7 @@ def grow_tree(x: np.ndarray, y: np.ndarray, depth: int = 8):
         return int(share >= 0.5)
     _, f, t = best
     low = x[:, f] <= t
-    return (f, float(t), grow_tree(x[low], y[low], depth - 1), grow_tree(x[~low], y[~low], depth - 1))
+    return (f, float(t), grow_tree(x[low], y[low], depth - 1, least), grow_tree(x[~low], y[~low], depth - 1, least))
 
 
 def train(pages=None):

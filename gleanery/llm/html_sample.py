@@ -9,6 +9,42 @@ _MID = "Nobody in the village had seen such a flood before that spring."
 _SHORT = "It held."
 _QUOTE = "We carried sand all night, said the mayor, and nobody went home."
 
+
+
+def _any_lengths(start: str, end: str, linked: bool) -> tuple[str, list[str]]:
+    """A zone whose paragraphs have every length next to every other one, within links or not."""
+    lengths = (1, 2, 5, 12, 30, 70, 250)
+    texts = [" ".join(["sand"] * n) + f" {i}" if n > 1 else f"clay{i}" for i, n in enumerate(n for a in lengths for b in lengths for n in (a, b))]
+    return start + "".join(f"<p><a href='/{i}'>{t}</a></p>" if linked else f"<p>{t}</p>" for i, t in enumerate(texts)) + end, texts
+
+
+def _zones() -> list[tuple[str, list[str]]]:
+    """In an article every block is main text, in boilerplate and beside an article none is, whatever its length and
+    its neighbours'."""
+    pages = []
+    for linked in (False, True):
+        for start, end in (("<article>", "</article>"), ("<main>", "</main>"), ("<div class='post-body'>", "</div>")):
+            article, texts = _any_lengths(start, end, linked)
+            pages.append((f"<body><header>Daily Post</header>{article}<p>Made in May</p><footer><p>{_LONG}</p></footer></body>", texts))
+        for start, end in (("<footer>", "</footer>"), ("<nav>", "</nav>"), ("<div class='comments'>", "</div>"), ("<article><aside>", "</aside></article>"), ("<div>", "</div>")):
+            pages.append((f"<body>{_any_lengths(start, end, linked)[0]}<article><p>{_MID}</p></article></body>", [_MID]))
+    return pages
+
+
+def _bare() -> list[tuple[str, list[str]]]:
+    """Pages without a word on what is what: short lines beside links are not main text, short lines among
+    paragraphs are."""
+    pages = []
+    names = ("Water board", "Daily Post of the valley", "The home of all who watch the river", "Levels", "A page for boatmen and their guests")
+    for i, name in enumerate(names):
+        links = " ".join(f"<a href='/{w}'>{w}</a>" for w in "Levels Maps Contact News Sport".split()[: 2 + i % 3])
+        texts = [f"{_LONG} {i}", f"{_MID} {i}", f"{_SHORT} {i}", f"{_QUOTE} {i}", f"{_LONG} {_MID} {_LONG} {i}"]
+        texts = texts[i % 3 :] + texts[: i % 3]
+        main = "".join(f"<p>{t}</p>" for t in texts)
+        pages.append((f"<body><div>{name}</div><div>{links}</div><div>{main}</div><div>{links}</div><div>{name}, May</div></body>", texts))
+    return pages
+
+
 PAGES = [
     (
         f"""<html><head><title>Flood</title></head><body><header><div>Daily Post</div><p>Independent since 1901 and still printed every morning</p></header>
@@ -73,4 +109,4 @@ PAGES = [
         f"""<body><div id="header"><p>{_LONG}</p></div><div class="page widget"><main><h1>Weirs</h1><p>{_SHORT}</p><p>{_MID}</p></main></div><p>{_LONG} {_LONG}</p></body>""",
         ["Weirs", _SHORT, _MID],
     ),
-]
+] + _zones() + _bare()

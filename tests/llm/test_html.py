@@ -100,3 +100,24 @@ def test_nulls_and_repeats(spark):
     assert got[(2, "u")] == ("\n".join(["word & word"] * 50_000), 50_000 * 12 - 1)
     assert html_extract.extract(pages).count() == 5
     assert html_extract.extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n, following", [(n, f) for n in (1, 3, 43, 400) for f in (0, 1, 2, 50)])
+def test_lengths_decide_nothing_in_an_article(n, following):
+    texts = [" ".join(["word"] * n), " ".join(["next"] * following), "end"]
+    page = "<nav>Menu</nav><article>" + "".join(f"<p>{t}</p>" for t in texts) + "</article><footer>No</footer>"
+    assert html_extract.main_text(page, TREE) == "\n".join(t for t in texts if t)
+
+
+def test_elements_nested_without_end():
+    # Zones last however many elements are open, and end tags without start tags cost nothing.
+    deep = "<div>" * 10_000
+    page = f"<nav>{deep}<p>No.</p>{'</p></section>' * 10_000}<p>No.</p>{'</div>' * 10_000}</nav><article>{deep}<p>Kept.</p>{'</div>' * 10_000}<p>Too.</p></article><p>No.</p>"
+    assert html_extract.main_text(page, TREE) == "Kept.\nToo."
+
+
+def test_larger_table(spark):
+    """Every page of the larger table is complete."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "html")
+    got = {r.page_id: r.text for r in op9_html_extraction(spark, "/root/testdata/sf0.1").collect()}
+    assert [r.page_id for r in pages.collect() if got[r.page_id] != plain(r.html)] == []
