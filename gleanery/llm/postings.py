@@ -53,13 +53,13 @@ def _pack(hashes, docs, numbers, keys, limit, bits, of_document):
     known = known[np.argsort(known["key"], kind="stable")]
     hashes, docs, numbers = hashes[~often], docs[~often], numbers[~often]
     shift = np.uint64(64 - bits)
-    limits = np.arange(1 << bits, dtype=np.uint64) << shift
-    cuts = [np.append(np.searchsorted(x, limits), len(x)) for x in (hashes, marks, known["key"])]
+    # Ranges that something falls into, and where each begins and ends in the three sorted arrays.
+    ranges = [x >> shift for x in (hashes, marks, known["key"])]
+    occupied = np.unique(np.concatenate(ranges))
+    cuts = [(np.searchsorted(x, occupied), np.searchsorted(x, occupied, side="right")) for x in ranges]
     out = [[] for _ in range(7)]
-    for part in range(1 << bits):
-        (a, b), (c, d), (e, f) = ((k[part], k[part + 1]) for k in cuts)
-        if a == b and c == d and e == f:
-            continue
+    for i, part in enumerate(occupied.astype(np.int64).tolist()):
+        (a, b), (c, d), (e, f) = ((first[i], stop[i]) for first, stop in cuts)
         used, local = np.unique(docs[a:b], return_inverse=True)
         row = (
             part,
@@ -104,13 +104,12 @@ def _reduce(table: pa.Table, least: int, bits: int, of_document: bool) -> pa.Tab
     found["key"], found["hash"], found["number"], found["count"] = k[keep], h[keep], n[keep], count[keep]
     found = np.concatenate((found, known))
     found = found[np.argsort(found["key"], kind="stable")]
-    limits = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
-    cuts = np.append(np.searchsorted(found["key"], limits), len(found))
-    parts = np.flatnonzero(np.diff(cuts))
+    parts, first = np.unique(found["key"] >> np.uint64(64 - bits), return_index=True)
+    stop = np.append(first[1:], len(found))
     return pa.table(
         {
-            "part": pa.array(parts, pa.int32()),
-            "postings": pa.array([found[cuts[p] : cuts[p + 1]].tobytes() for p in parts], pa.binary()),
+            "part": pa.array(parts.astype(np.int32), pa.int32()),
+            "postings": pa.array([found[a:b].tobytes() for a, b in zip(first, stop)], pa.binary()),
         }
     )
 

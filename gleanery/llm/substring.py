@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, heavy_values
+from .common import cut
 from .postings import coarse, repeated
 from .words import Words, chunks
 
@@ -49,12 +49,12 @@ def anchors(window: int = WINDOW):
         for columns in chunks(batches):
             keys, texts = _distinct(columns)
             words = Words(texts, lower=False)
-            hashes, at = words.runs(short)
+            at = words.inside(short)
             doc = words.doc[at]
             place = at - words.first[doc]
             # Texts too short for one window have no anchors.
             chosen = in_cover[place % PERIOD] & (words.count[doc] >= window)
-            yield coarse(hashes[chosen]), doc[chosen], place[chosen], _keys(keys)
+            yield coarse(words.run_hash(at[chosen], short)), doc[chosen], place[chosen], _keys(keys)
 
     return postings
 
@@ -64,18 +64,17 @@ def windows(window: int = WINDOW):
 
     def postings(batches):
         for columns in chunks(batches):
-            keys, _, found, texts = _distinct([columns[1], columns[0], *columns[2:]])
+            _, _, keys, found, texts = columns
             words = Words(texts, lower=False)
-            hashes, at = words.runs(window)
+            at = words.inside(window)
             change = np.zeros(len(words.hash) + 1, np.int32)
             for i, b in enumerate(found):
                 place = np.frombuffer(b, "<u4").astype(np.int64)
                 np.add.at(change, words.first[i] + np.maximum(place - PERIOD + 1, 0), 1)
                 np.add.at(change, words.first[i] + place + 1, -1)
-            chosen = np.cumsum(change)[at] > 0
-            at, hashes = at[chosen], hashes[chosen]
+            at = at[np.cumsum(change)[at] > 0]
             doc = words.doc[at]
-            yield hashes, doc, at - words.first[doc], _keys(keys)
+            yield words.run_hash(at, window), doc, at - words.first[doc], _keys(keys)
 
     return postings
 
@@ -133,49 +132,36 @@ def kept_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         repeated(table.select("key", "text"), anchors(window), _places, "key long, places binary", total * len(COVER) // PERIOD, 2),
         "anchors",
     )
-    # Texts that many rows have are known to be repeated: one row stands for all in the rest.
-    hot = heavy_values(sizes, "key")
-    is_hot = F.col("key").isin(hot) if hot else F.lit(False)
-    # The other texts are shuffled by their key once, with both joins reading that (the hint keeps
-    # the plan the same at every size).
-    once = table.filter(~is_hot)
-    found = found.hint("merge")
-    places = once.join(found, "key").select("doc_id", "key", "places", "text")
-    if hot:
-        one = table.filter(is_hot).groupBy("key").agg(F.min("text").alias("text"))
-        places = places.unionByName(
-            one.join(found, "key").select(F.lit(None).cast("long").alias("doc_id"), "key", "places", "text")
-        )
+    # Each text once, copies folded before the shuffle, so there are no hot keys. This is the only shuffle of texts: both
+    # joins read it, for which they have to take the same columns from it (the hints keep the plan the same at every size).
+    folded = table.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"), F.min("text").alias("text"))
+    places = folded.join(found.hint("merge"), "key").select("doc_id", "n", "key", "places", "text")
     spans = repeated(places, windows(window), _places, "key long, places binary", total // 4, 2)
-    copied = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.lit(True).alias("copied"))
-    judged = spans.join(copied.hint("merge"), "key", "full").hint("merge")
 
     def task(batches):
         for batch in batches:
-            out = [[] for _ in range(4)]
-            for text, places, copied in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+            out = [[] for _ in range(5)]
+            for doc_id, n, text, places in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if n > 1:
+                    continue
                 words = (text or "").encode().split()
-                kept = words
-                if copied and len(words) >= window:
-                    kept = []
-                elif places and not copied:
-                    kept = list(compress(words, _cover(places, len(words), window).tolist()))
+                kept = list(compress(words, _cover(places, len(words), window).tolist())) if places else words
                 gone = len(words) - len(kept)
-                for column, value in zip(out, (len(words), gone, _sha(kept), b" ".join(kept).decode() if gone else None)):
+                row = (doc_id, len(words), gone, _sha(kept), b" ".join(kept).decode() if gone else None)
+                for column, value in zip(out, row):
                     column.append(value)
-            types = (pa.int64(), pa.int64(), pa.string(), pa.string())
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, t) for c, t in zip(out, types))],
-                ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"],
+                [pa.array(c, t) for c, t in zip(out, types)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"]
             )
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
-    kept = once.join(judged, "key", "left").select("doc_id", "text", "places", "copied").mapInArrow(task, schema)
-    if not hot:
-        return kept
+    single = folded.join(spans.hint("merge"), "key", "left").select("doc_id", "n", "text", "places").mapInArrow(task, schema)
+    # Of a text that several rows have, all or nothing is repeated.
+    copied = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     whole = F.col("n_words") >= window
-    return kept.unionByName(
-        sizes.filter(is_hot).select(
+    return single.unionByName(
+        sizes.join(copied.hint("merge"), "key", "left_semi").select(
             "doc_id",
             "n_words",
             F.when(whole, F.col("n_words")).otherwise(0).alias("n_removed"),

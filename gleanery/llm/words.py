@@ -45,37 +45,45 @@ class Words:
             return
         letters = data[~space]
         begin = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        powers = np.full(int(lengths.max()), _STEP | np.uint64(1), np.uint64)
-        powers[0] = 1
-        powers = np.cumprod(powers, dtype=np.uint64)
-        value = _BYTE[letters] * powers[np.arange(len(letters)) - np.repeat(begin, lengths)]
+        # Each letter is mixed with its place, so the sum has no arithmetic that chosen letters could cancel.
+        place = np.arange(len(letters)) - np.repeat(begin, lengths)
+        value = mix(_BYTE[letters] + _place(int(lengths.max()))[place])
         self.hash = mix(np.add.reduceat(value, begin) + mix(lengths.astype(np.uint64)))
 
-    def runs(self, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all runs of `length` words within one text, and their first words."""
+    def inside(self, length: int) -> np.ndarray:
+        """First words of all runs of `length` words within one text."""
         n = len(self.hash) - length + 1
         if n <= 0:
-            return np.empty(0, np.uint64), np.empty(0, np.int64)
-        # Differences of sums of powers: the run's polynomial, moved to the same power.
-        inverse = np.uint64(pow(int(_STEP | np.uint64(1)), -1, 1 << 64))
-        up = np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(self.hash) - 1, _STEP | np.uint64(1)))), dtype=np.uint64)
-        down = np.cumprod(np.concatenate(([np.uint64(1)], np.full(n - 1, inverse))), dtype=np.uint64)
-        total = np.concatenate(([np.uint64(0)], np.cumsum(self.hash * up, dtype=np.uint64)))
-        found = mix((total[length:] - total[:-length]) * down)
-        inside = np.flatnonzero(self.doc[:n] == self.doc[length - 1 :])
-        return found[inside], inside
+            return np.empty(0, np.int64)
+        return np.flatnonzero(self.doc[:n] == self.doc[length - 1 :])
+
+    def run_hash(self, at: np.ndarray, length: int) -> np.ndarray:
+        """Hashes of the runs of `length` words that begin at the words `at`."""
+        found = np.zeros(len(at), np.uint64)
+        for i, salt in enumerate(_place(length)):
+            found += mix(self.hash[at + i] + salt)
+        return mix(found)
+
+    def runs(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all runs of `length` words within one text, and their first words."""
+        at = self.inside(length)
+        return self.run_hash(at, length), at
 
     def whole(self, salt: int) -> np.ndarray:
         """A hash of each text's sequence of words."""
         out = mix(self.count.astype(np.uint64) + np.uint64(salt))
         if len(self.hash):
             at = np.arange(len(self.hash)) - np.repeat(self.first, self.count)
-            powers = np.cumprod(np.concatenate(([np.uint64(1)], np.full(int(self.count.max()) - 1, _STEP | np.uint64(1)))), dtype=np.uint64)
             some = self.count > 0
-            out[some] += np.add.reduceat(self.hash * powers[at], self.first[some])
+            out[some] += np.add.reduceat(mix(self.hash + _place(int(self.count.max()))[at]), self.first[some])
         return mix(out)
 
 
+def _place(n: int) -> np.ndarray:
+    """A number for each of the places 0 to n - 1."""
+    return mix(np.arange(1, n + 1, dtype=np.uint64) * _STEP)
+
+
 def chunks(batches, size: int = CHUNK_BYTES, text: int = -1):
     """Lists of columns out of Arrow batches, cut so that the texts in column `text` have about
     `size` characters; a longer text stands alone. Nothing is dropped."""

@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from gleanery.llm import substring
+from gleanery.llm import jaccard_join, postings, substring
 from gleanery.llm.queries import op7_substring_dedup
 from gleanery.llm.words import Words
 
@@ -87,3 +87,36 @@ def test_whole_table(spark):
 
 def test_empty(spark):
     assert substring.kept_words(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def thue_morse(a, b, n=2048):
+    return "".join(a if bin(i).count("1") % 2 == 0 else b for i in range(n))
+
+
+def test_words_that_cancel():
+    """A polynomial modulo a power of two takes these two for the same, whatever its base."""
+    one, two = thue_morse("a", "b"), thue_morse("b", "a")
+    assert len(set(Words([one, two, one], lower=False).hash.tolist())) == 2
+    sequences = [" ".join(t) for t in (one, two)]
+    assert len(set(Words(sequences, lower=False).whole(1).tolist())) == 2
+
+
+def test_long_words_are_told_apart(spark):
+    one, two = thue_morse("a", "b"), thue_morse("b", "a")
+    rows = [(i, " ".join([w] + [f"x{j}" for j in range(34)])) for i, w in enumerate((one, two))]
+    compare(substring.kept_words(spark.createDataFrame(rows, "doc_id long, text string")), rows)
+    sets = jaccard_join.shingle_sets([one, two, f"{one} {two}", f"{two} {one}"])
+    assert len(set(sets[3].tolist())) == 4
+
+
+def test_many_ranges_cost_what_their_postings_cost():
+    """The rows that a chunk sends grow with its postings, not with the ranges there are."""
+    hashes = np.random.default_rng(3).integers(0, 2**64, 5000, dtype=np.uint64)
+    docs, keys = np.arange(5000) % 10, np.arange(10, dtype=np.uint64) << np.uint64(60)
+    for bits in (6, 10, 20, 30):
+        batch = postings._pack(hashes, docs, np.arange(5000), keys, 31, bits, False)
+        assert batch.num_rows <= min(5000, 1 << bits)
+        back = np.concatenate([postings._unplanes(b, "<u8") for b in batch.column(1).to_pylist()])
+        assert sorted(back.tolist()) == sorted(hashes.tolist())
+        parts = [p for p, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for _ in range(len(b) // 8)]
+        assert (back >> np.uint64(64 - bits)).tolist() == parts
