@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut
+from .common import cut, heavy_values
 from .postings import coarse, repeated
 from .words import Words, chunks
 
@@ -159,9 +159,13 @@ def kept_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     single = folded.join(spans.hint("merge"), "key", "left").select("doc_id", "n", "text", "places").mapInArrow(task, schema)
     # Of a text that several rows have, all or nothing is repeated.
     copied = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    # Those with the most rows are known by name, so that their rows stay where they are.
+    hot = heavy_values(sizes, "key")
+    is_hot = F.col("key").isin(hot) if hot else F.lit(False)
+    copies = sizes.filter(is_hot).unionByName(sizes.filter(~is_hot).join(copied.hint("merge"), "key", "left_semi").select(*sizes.columns))
     whole = F.col("n_words") >= window
     return single.unionByName(
-        sizes.join(copied.hint("merge"), "key", "left_semi").select(
+        copies.select(
             "doc_id",
             "n_words",
             F.when(whole, F.col("n_words")).otherwise(0).alias("n_removed"),
