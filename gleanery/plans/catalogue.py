@@ -14,7 +14,7 @@ from ..sources.export import export_files
 from ..sources.files import discover_files, read_files
 from ..sources.pages import fetched_pages
 from ..sources.union import union_sources
-from ..streaming import streams
+from ..streaming import keyed_state, streams
 from . import views as v
 from .indexing import index_folder, index_listing, index_sources
 from .registry import Registry
@@ -1041,6 +1041,22 @@ def latest_stream(spark, sf):
     return st.state_latest(spark.read.parquet(f"{out}/latest"), "batch_id")
 
 
+@query
+def state_changes(spark, sf):
+    """The log as keyed state. Its entries arrive in two halves, each with entries that are older than some of the other's, and
+    the stream is started anew for the second; then the state store is read."""
+    out = work_dir(spark, "stream")
+    events = v.table(spark, sf, "events")
+    for half in (0, 1):
+        part = events.filter(F.pmod(F.xxhash64("event_id"), F.lit(2)) == half)
+        part.write.mode("append").parquet(f"{out}/events")
+        log = v.log_from_events(spark.readStream.schema(events.schema).parquet(f"{out}/events")).withColumn(
+            "seq", F.unix_micros(F.col("ts").cast("timestamp"))
+        )
+        keyed_state.changes_stream(log, f"{out}/changes", f"{out}/checkpoint").awaitTermination()
+    return keyed_state.stored_state(spark, f"{out}/checkpoint").drop("seq")
+
+
 # ---- extension points ------------------------------------------------------------------
 
 

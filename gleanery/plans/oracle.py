@@ -360,6 +360,7 @@ ORACLE = {
       UNION ALL SELECT relative_path||'/tail', sha256(unhex(substr(x, 2 * half + 1))), NULL::VARCHAR FROM h""",
     "dedup_stream": "SELECT DISTINCT 'conv://'||conv_id AS source_url FROM conversations",
     "state_stream": f"WITH {_STATE} SELECT partition_key, key, value_json, version FROM latest",
+    "state_changes": f"WITH {_STATE} SELECT partition_key, key, value_json, version FROM latest",
     "latest_stream": f"WITH {_STATE} SELECT partition_key, key, value_json, version FROM latest",
     "register_extractor": f"""WITH {_DOCS}, x AS (SELECT *, CASE WHEN mime_type = 'application/json' THEN 'json'
         ELSE {_EXTRACTOR} END AS extractor FROM docs)
