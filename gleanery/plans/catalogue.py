@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import identity, metadata, nested, paths, text as tx
@@ -10,9 +11,12 @@ from ..operators import summary as su
 from ..operators.extract import extract, extract_nested, stored_rows, to_items
 from ..operators.hierarchy import item_tree
 from ..session import work_dir
+from ..schemas import ITEMS
+from ..sources.commits import ParquetStore, new_attempt
 from ..sources.export import export_files
 from ..sources.files import discover_files, read_files
 from ..sources.pages import fetched_pages
+from ..sources.tables import read_batches
 from ..sources.union import union_sources
 from ..streaming import keyed_state, streams
 from . import views as v
@@ -906,7 +910,7 @@ def discover_stream(spark, sf):
     out = work_dir(spark, "stream")
     listed = streams.discover_stream(spark, corpus(spark, sf), [".txt", ".md"])
     streams.append_stream(listed, f"{out}/files", f"{out}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{out}/files").select(relative().alias("relative_path"), "file_size")
+    return read_batches(spark, f"{out}/files").select(relative().alias("relative_path"), "file_size")
 
 
 def _indexed(items: it.ItemsTable) -> DataFrame:
@@ -1016,7 +1020,7 @@ def dedup_stream(spark, sf):
         F.concat(F.lit("conv://"), F.col("conv_id").cast("string")).alias("source_url")
     )
     streams.append_stream(streams.dedup_stream(rows), f"{out}/rows", f"{out}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{out}/rows").select("source_url")
+    return read_batches(spark, f"{out}/rows").select("source_url")
 
 
 @query
@@ -1038,7 +1042,7 @@ def latest_stream(spark, sf):
     streams.append_stream(
         latest, f"{out}/latest", f"{out}/checkpoint", output_mode="update"
     ).awaitTermination()
-    return st.state_latest(spark.read.parquet(f"{out}/latest"), "batch_id")
+    return st.state_latest(read_batches(spark, f"{out}/latest"), "batch_id")
 
 
 @query
@@ -1157,11 +1161,27 @@ def register_store(spark, sf):
     """A second sink that gets the same rows."""
     out = work_dir(spark, "items")
     items = it.ItemsTable(spark, f"{out}/items")
-    registry = _pages_registry(sf).register_store(
-        "copy", lambda rows, batch: rows.write.mode("overwrite").parquet(f"{out}/copy/batch_id={batch}")
-    )
+    copy = ParquetStore(spark, f"{out}/copy")
+    registry = _pages_registry(sf).register_store("copy", copy)
     index_listing(registry.sources["pages"](spark), items, 1, registry)
-    return spark.read.parquet(f"{out}/copy").select("source_url", "title", "content_hash")
+    return copy.read().select("source_url", "title", "content_hash")
+
+
+@query
+def append_retry(spark, sf):
+    """Items whose batch is written three times: a part that is never committed, a part that is, and then all. One more
+    write fails on the way. What counts is all of them, once."""
+    table = it.ItemsTable(spark, work_dir(spark, "items"))
+    items = metadata.with_defaults(v.existing_items(spark, sf)).select(*ITEMS.fieldNames())
+    third = F.pmod(F.xxhash64("item_id"), F.lit(3)) == 0
+    items.filter(third).write.parquet(new_attempt(f"{table.root}/rows", 1, "main").path)
+    table.append(items.filter(third), 1)
+    table.append(items, 1)
+    try:
+        table.append(items.withColumn("title", F.raise_error(F.lit("cut off")).cast("string")), 1)
+    except PySparkException:
+        pass
+    return table.read().select("item_id", "source_url", "mime_type", "processing_state", "author")
 
 
 QUERIES = {name.rstrip("_"): fn for name, fn in QUERIES.items()}

@@ -81,9 +81,25 @@ def index_listing(
     finally:
         fresh.unpersist()
         listed.unpersist()
-    for write in registry.stores.values():
-        # From what was just written: the files are not read a second time.
-        write(items.batch(batch_id, writer), batch_id)
+    # From what was just written: the files are not read a second time.
+    write_stores(items.batch(batch_id, writer), batch_id, registry.stores)
+
+
+def write_stores(rows: DataFrame, batch_id: int, stores: dict) -> None:
+    """The rows in all stores. Those that can commit do so when all have written, or abort if one failed."""
+    written = []
+    try:
+        for store in stores.values():
+            if hasattr(store, "commit"):
+                written.append((store, store.write(rows, batch_id)))
+            else:
+                store(rows, batch_id)
+    except BaseException:
+        for store, token in written:
+            store.abort(token)
+        raise
+    for store, token in written:
+        store.commit(token)
 
 
 def index_folder(
@@ -104,7 +120,7 @@ def index_sources(spark: SparkSession, items: ItemsTable, batch_id: int, registr
             good[name] = lambda s, path=path: s.read.parquet(path)
         except Exception as e:  # noqa: BLE001  whatever a source raises is that source's failure
             condition = e.getCondition() if isinstance(e, PySparkException) else None
-            failed.append((name, "source", condition or f"{type(e).__name__}: {e}"[:500]))
+            failed.append((name, "source", condition or f"{type(e).__name__}: {e}"))
     failures = spark.createDataFrame(failed, "source_url string, stage string, message string") if failed else None
     if not good:
         listed = spark.createDataFrame([], "source_url string")

@@ -6,6 +6,7 @@ Registration order is priority. The built-in fetchers and extractors come first.
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any, Protocol
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -13,12 +14,23 @@ from ..functions import text as tx
 from ..operators.routing import EXTRACTORS, FETCHERS, STORE_FETCHER, Extractor, Fetcher
 
 
+class Store(Protocol):
+    """What `write` returns for a batch is handed to `commit` or to `abort`. A batch that is done again is written and
+    committed again, and replaces itself."""
+
+    def write(self, items: DataFrame, batch_id: int) -> Any: ...
+
+    def commit(self, written: Any) -> None: ...
+
+    def abort(self, written: Any) -> None: ...
+
+
 class Registry:
     def __init__(self, builtins: bool = True):
         self.fetchers: list[Fetcher] = [*FETCHERS, STORE_FETCHER] if builtins else []
         self.extractors: list[Extractor] = list(EXTRACTORS) if builtins else []
         self.sources: dict[str, Callable[[SparkSession], DataFrame]] = {}
-        self.stores: dict[str, Callable[[DataFrame, int], None]] = {}
+        self.stores: dict[str, Callable[[DataFrame, int], None] | Store] = {}
 
     def register_extractor(self, name, predicate, preferred=(), fn=None, find_title=None, title=None, members=None):
         """`predicate(url, mime)` and `fn(content)` are Column functions; a pandas_udf fits too.
@@ -45,10 +57,13 @@ class Registry:
         self.sources[name] = fn
         return self
 
-    def register_store(self, name, writer):
-        """`writer(items, batch_id)` has to put up with being called twice for a batch."""
+    def register_store(self, name, store):
+        """A Store, such as `sources.commits.ParquetStore`, or a function `store(items, batch_id)` that puts up with being
+        called twice for a batch. A batch's stores commit when all of them have written; if one fails, all abort."""
         self._fresh(name, self.stores)
-        self.stores[name] = writer
+        if not callable(store) and not all(hasattr(store, m) for m in ("write", "commit", "abort")):
+            raise TypeError("a store is a function or has write, commit and abort")
+        self.stores[name] = store
         return self
 
     @staticmethod

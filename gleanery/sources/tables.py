@@ -1,11 +1,11 @@
-"""Batch-keyed Parquet tables: every batch of every writer has its own folder, and writing a
-batch again replaces that folder. That makes a retried append harmless."""
+"""Batch-keyed Parquet tables: every batch of every writer is what its last committed attempt wrote.
+Writing a batch again replaces it in one step, so a retried append is harmless and one that is cut off is not seen."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from .commits import abort, commit, committed, new_attempt
 
 # Who writes when nobody says so, and who writes what a compaction leaves.
 MAIN, COMPACTED = "main", "compacted"
@@ -29,27 +29,30 @@ def append_batch(
         out = out.option("parquet.bloom.filter.adaptive.enabled", "true")
         for c in look_up_by:
             out = out.option(f"parquet.bloom.filter.enabled#{c}", "true")
-    out.mode("overwrite").parquet(batch_path(root, batch_id, writer))
-
-
-def batch_path(root: str, batch_id: int, writer: str = MAIN) -> str:
-    return f"{root}/writer=w-{writer}/batch_id={int(batch_id)}"
+    spark, attempt = df.sparkSession, new_attempt(root, batch_id, writer)
+    try:
+        out.parquet(attempt.path)
+    except BaseException:
+        abort(spark, attempt)
+        raise
+    commit(spark, attempt)
 
 
 def is_batch(batch_id: int, writer: str = MAIN) -> Column:
-    """Rows of one batch. A partition filter, so other folders are not read, nor is this one if negated."""
+    """Rows of one batch. A partition filter, so other folders are not read, nor is this one's if negated."""
     return (F.col("writer") == f"w-{writer}") & (F.col("batch_id") == int(batch_id))
 
 
-def read_batches(spark: SparkSession, root: str, schema=None) -> DataFrame:
-    """All batches; an empty table if nothing was written yet."""
+def read_batches(spark: SparkSession, root: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """All committed batches, with the columns writer and batch_id; an empty table of `schema`, without these two, if there
+    is none yet. Which attempts count is settled now, not when the rows are read."""
+    attempts = committed(spark, root)
+    if not attempts:
+        if schema is None:
+            raise ValueError(f"nothing was written to {root} yet")
+        # The constant filter lets the optimizer drop joins with the missing table.
+        return spark.createDataFrame([], schema).filter(F.lit(False))
     reader = spark.read.option("basePath", root)
     if schema is not None:
         reader = reader.schema(schema)
-    try:
-        return reader.parquet(root)
-    except AnalysisException as e:
-        if schema is None or e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        # The constant filter lets the optimizer drop joins with the missing table.
-        return spark.createDataFrame([], schema).filter(F.lit(False))
+    return reader.parquet(*(a.path for a in attempts)).drop("attempt")
