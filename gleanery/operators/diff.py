@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.nested import EMPTY
+from ..session import written
 from .joins import join_unique
 from .merge import proper_prefixes, to_leaves
 from .state import StateTable, state_latest
@@ -96,7 +97,7 @@ def diff_with_last(state: StateTable, records: DataFrame, batch_id: int, levels:
     now = state_latest(state.log(SNAPSHOTS).filter(F.col("batch_id") == int(batch_id)))
     last = state.latest(SNAPSHOTS, before=batch_id).join(now.select("key"), "key", "left_semi")
     before = leaf_table(last).filter(F.size("path") > 0)
-    return nested_diff(before.checkpoint(), leaf_table(now).checkpoint(), "key")
+    return nested_diff(written(before, "before"), written(leaf_table(now), "now"), "key")
 
 
 def _below(dotted: str):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import inspect
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from ..functions import identity, metadata, paths
 from ..session import work_dir
@@ -115,9 +115,8 @@ def extract_nested(df: DataFrame, extractors, levels_per_pass: int = 3) -> DataF
 
     A member's URL is parent/name and it inherits the parent's other metadata. A level is
     one generator that replaces a container by its members and hands all else on, so
-    `levels_per_pass` levels are one pass over the input, without a shuffle. If
-    containers are still closed then, those alone are written to the shared folder and opened in a
-    further pass. A container without members stays as an error row, and so does a member with
+    `levels_per_pass` levels are one pass over the input, without a shuffle. What a pass opens is written to the
+    shared folder, and containers that are still closed then, those alone, are opened in a further pass. A container without members stays as an error row, and so does a member with
     the same type and content as its container, which would never end.
     """
     containers = [e for e in extractors if e.members is not None]
@@ -134,17 +133,20 @@ def extract_nested(df: DataFrame, extractors, levels_per_pass: int = 3) -> DataF
     if not containers:
         return extract(rows.drop("open"), extractors)
     done = []
-    while True:
+    closed = 1
+    while closed:
         for _ in range(levels_per_pass):
             rows = _open_containers(rows, extractors, containers)
-        closed = F.coalesce(_container(rows, extractors, containers), F.lit(False))
-        done.append(rows.filter(~closed))
-        deeper = rows.filter(closed)
-        if not deeper.head(1):
-            break
-        path = work_dir(rows.sparkSession, "containers")
-        deeper.write.parquet(path)
-        rows = rows.sparkSession.read.schema(deeper.schema).parquet(path)
+        rows = rows.withColumn("__closed", F.coalesce(_container(rows, extractors, containers), F.lit(False)))
+        # Opened once: what is written is parted into what is done and what the next pass goes on with.
+        seen = Observation()
+        path = work_dir(rows.sparkSession, "opened")
+        rows.observe(seen, F.sum(F.col("__closed").cast("int")).alias("closed")).write.partitionBy("__closed").parquet(path)
+        closed = seen.get["closed"] or 0
+        kept = rows.drop("__closed")
+        read = rows.sparkSession.read.schema(rows.schema).parquet(path)
+        done.append(read.filter(~F.col("__closed")).select(*kept.columns))
+        rows = read.filter("__closed").select(*kept.columns)
     found = done[0]
     for d in done[1:]:
         found = found.unionByName(d)

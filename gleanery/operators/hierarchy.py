@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import written
 from .joins import join_unique
 
 
@@ -22,7 +23,7 @@ def item_tree(items: DataFrame) -> DataFrame:
         F.coalesce("parent_id", "item_id").alias("up"),
         F.when(F.col("parent_id").isNull(), 0).otherwise(1).cast("long").alias("depth"),
         F.col("parent_id").isNull().alias("done"),
-    ).checkpoint()
+    ).transform(written, "paths")
     finished, open_rows = rows.filter("done"), rows.filter("not done")
     # No path is longer than there are rows, so after that many doublings only cycles are left.
     for _ in range(rows.count().bit_length() + 1):
@@ -43,7 +44,7 @@ def item_tree(items: DataFrame) -> DataFrame:
                 (F.col("depth") + F.coalesce("__hops", F.lit(0))).alias("depth"),
                 F.coalesce("__done", F.lit(True)).alias("done"),
             )
-            .checkpoint()
+            .transform(written, "paths")
         )
         finished, open_rows = finished.unionByName(moved.filter("done")), moved.filter("not done")
     lost = open_rows.withColumns({"depth": F.lit(None).cast("long"), "up": F.lit(None).cast("string")})

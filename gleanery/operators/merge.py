@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.nested import EMPTY, LIST, OPEN, SCALAR, leaves, list_elements
 from ..schemas import METADATA_FIELDS
-from ..session import work_dir
+from ..session import work_dir, written
 from .joins import join_unique
 
 _INSIDE = "inside"
@@ -94,7 +94,7 @@ def _fold(entries: DataFrame, key: str, lists_concatenate: bool) -> DataFrame:
             }
         )
         # Used several times below; one row per path, so small next to the entries.
-        .checkpoint()
+        .transform(written, "merge-paths")
     )
     wiped = at_path.filter("value_at is not null and inside_at is not null").select(
         key, F.col("path").alias("above"), F.col("value_at").alias("wiped_at")
@@ -109,7 +109,7 @@ def _fold(entries: DataFrame, key: str, lists_concatenate: bool) -> DataFrame:
         .groupBy(key, "path")
         .agg(F.max("wiped_at").alias("wiped_at"))
     )
-    return at_path.join(from_above, [key, "path"], "left").checkpoint()
+    return at_path.join(from_above, [key, "path"], "left").transform(written, "merge-wiped")
 
 
 def _after(layer: str, *others: str) -> Column:

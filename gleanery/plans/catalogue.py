@@ -10,13 +10,13 @@ from ..operators import cache as ca, diff as di, items as it, merge as me, routi
 from ..operators import summary as su
 from ..operators.extract import extract, extract_nested, stored_rows, to_items
 from ..operators.hierarchy import item_tree
-from ..session import work_dir
+from ..session import work_dir, written
 from ..schemas import ITEMS
 from ..sources.commits import ParquetStore, new_attempt
 from ..sources.export import export_files
 from ..sources.files import discover_files, read_files
 from ..sources.pages import fetched_pages
-from ..sources.tables import read_batches
+from ..sources.tables import read_batches, spread
 from ..sources.union import union_sources
 from ..streaming import keyed_state, streams
 from . import views as v
@@ -36,7 +36,7 @@ def query(fn):
 
 @query
 def index_pages(spark: SparkSession, sf: str) -> DataFrame:
-    pages = fetched_pages(v.table(spark, sf, "pages"))
+    pages = fetched_pages(spread(v.table(spark, sf, "pages")))
     rows = stored_rows(extract(pages))
     return rows.select(
         F.col("insert_seq").alias("page_id"),
@@ -210,12 +210,12 @@ def text_title(spark, sf):
 
 @query
 def html_text(spark, sf):
-    return v.table(spark, sf, "pages").select("page_id", tx.html_text(F.col("html")).alias("text"))
+    return spread(v.table(spark, sf, "pages").select("page_id", "html")).select("page_id", tx.html_text(F.col("html")).alias("text"))
 
 
 @query
 def html_title(spark, sf):
-    return v.table(spark, sf, "pages").select("page_id", tx.html_title(F.col("html")).alias("title"))
+    return spread(v.table(spark, sf, "pages").select("page_id", "html")).select("page_id", tx.html_title(F.col("html")).alias("title"))
 
 
 @query
@@ -615,7 +615,7 @@ def _nested_diff(spark, sf) -> DataFrame:
         )
 
     old, new = v.snapshots(spark, sf)
-    return di.nested_diff(records(old).checkpoint(), records(new).checkpoint(), "key")
+    return di.nested_diff(written(records(old), "old"), written(records(new), "new"), "key")
 
 
 @query
@@ -892,7 +892,7 @@ def extract_nested_(spark, sf):
         )
     )
     docs = v.fetched_docs(spark, sf).withColumn("mime_type", F.lit("application/x-document"))
-    return extract_nested(docs, registry.extractors).select(
+    return extract_nested(spread(docs), registry.extractors).select(
         "source_url", "parent_url", "root_url", "depth", "title", "content_text", "author", "extractor"
     )
 

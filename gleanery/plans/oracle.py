@@ -65,10 +65,18 @@ def _latest(name: str, where: str = "true", log: str = "log") -> str:
 
 
 _STATE = f"{_LOG}, {_latest('latest')}"
-_SNAPS = (
-    f"{_LOG}, {_latest('o', chr(39).join(['ts < TIMESTAMP ', '2024-01-16', '']))}, "
-    f"{_latest('n', 'ts >= TIMESTAMP ' + repr('2024-01-16'))}"
-)
+
+
+def _snapshot(name: str, when: str) -> str:
+    """The state as it was then, of the keys with an entry in the three days before."""
+    return (
+        f"{name} AS (SELECT partition_key, key, value_json, version FROM (SELECT *, row_number() OVER "
+        f"(PARTITION BY partition_key, key ORDER BY ts DESC, event_id DESC) AS rn FROM log WHERE ts < TIMESTAMP '{when}') "
+        f"WHERE rn = 1 AND ts >= TIMESTAMP '{when}' - INTERVAL 3 DAY)"
+    )
+
+
+_SNAPS = f"{_LOG}, {_snapshot('o', '2024-01-16')}, {_snapshot('n', '2024-02-01')}"
 # What the files of the corpus hold: (doc_id, rel, ext, kind, text as read).
 _FILES = f"""files AS (SELECT doc_id, source||'/'||doc_id||{_EXT} AS relative_path, doc_id||{_EXT} AS name, {_EXT} AS ext,
   {_MIME_OF} AS mime_type, doc_id % 10 AS kind, text,

@@ -97,16 +97,25 @@ def state_log(spark, sf_dir) -> DataFrame:
     return log_from_events(table(spark, sf_dir, "events"))
 
 
-# Fixed value: what comes before is the old snapshot, and all the rest the new one.
-SNAPSHOT_CUT = "2024-01-16 00:00:00"
+# When the two snapshots were taken, and after how many days without an entry a key is dropped from one.
+SNAPSHOT_TIMES = ("2024-01-16 00:00:00", "2024-02-01 00:00:00")
+IDLE_DAYS = 3
 
 
 def snapshots(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    from ..operators.state import state_latest
-
+    """The state as it was at two times, of the keys that were in use then: each folds the log up to its time, so
+    either one has keys that the other does not have."""
     log = state_log(spark, sf_dir)
-    before = F.col("ts") < F.lit(SNAPSHOT_CUT).cast(log.schema["ts"].dataType)
-    return state_latest(log.filter(before)), state_latest(log.filter(~before))
+    kind = log.schema["ts"].dataType
+
+    def taken(when):
+        at = F.lit(when).cast(kind)
+        latest = F.max_by(F.struct("value_json", "version"), "seq").alias("__v")
+        state = log.filter(F.col("ts") < at).groupBy("partition_key", "key").agg(latest, F.max("ts").alias("__last"))
+        in_use = state.filter(F.col("__last") >= at - F.expr(f"interval {IDLE_DAYS} days"))
+        return in_use.select("partition_key", "key", "__v.value_json", "__v.version")
+
+    return taken(SNAPSHOT_TIMES[0]), taken(SNAPSHOT_TIMES[1])
 
 
 def item_parents(spark, sf_dir) -> DataFrame:

@@ -56,3 +56,10 @@ def read_batches(spark: SparkSession, root: str, schema: T.StructType | str | No
     if schema is not None:
         reader = reader.schema(schema)
     return reader.parquet(*(a.path for a in attempts)).drop("attempt")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of few splits dealt out to all cores, for what is costly per row. A file of one row group is one split and
+    keeps one core busy; tables with as many splits as there are cores stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
