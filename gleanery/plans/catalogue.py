@@ -913,6 +913,19 @@ def discover_stream(spark, sf):
     return read_batches(spark, f"{out}/files").select(relative().alias("relative_path"), "file_size")
 
 
+@query
+def listing_stream(spark, sf):
+    """Files listed as they arrive, in two halves with a restart between; some of the first half change meanwhile."""
+    out = work_dir(spark, "stream")
+    root, rows = f"{out}/corpus", corpus_rows(spark, sf)
+    for half in (0, 1):
+        changed = F.col("doc_id") % 10 == 0 if half else F.lit(False)
+        export_files(rows.filter((F.col("doc_id") % 2 == half) | changed), root)
+        listed = streams.listing_stream(spark, root, [".txt", ".md"], settle=0)
+        streams.append_stream(listed, f"{out}/files", f"{out}/checkpoint").awaitTermination()
+    return read_batches(spark, f"{out}/files").select(relative().alias("relative_path"), "file_size")
+
+
 def _indexed(items: it.ItemsTable) -> DataFrame:
     return items.read().select(
         relative("source_url").alias("relative_path"), "title", "content_hash", "content_type",
@@ -931,7 +944,7 @@ def index_folder_(spark, sf):
 def index_stream(spark, sf):
     out = work_dir(spark, "stream")
     items = it.ItemsTable(spark, f"{out}/items")
-    listed = streams.discover_stream(spark, corpus(spark, sf))
+    listed = streams.listing_stream(spark, corpus(spark, sf), once=False, settle=0)
     streams.index_stream(listed, items, f"{out}/checkpoint").awaitTermination()
     return _indexed(items)
 

@@ -141,6 +141,7 @@ ORACLE = {
     "fetched_pages": """SELECT url AS source_url, 'Content from '||url AS title, 'text/html' AS mime_type,
       html AS content_text, 'http' AS fetcher FROM pages""",
     "scan_items": f"WITH {_ITEMS} SELECT item_id, source_url, mime_type, processing_state, author FROM items",
+    "append_retry": f"WITH {_ITEMS} SELECT item_id, source_url, mime_type, processing_state, author FROM items",
     "append_items": f"""WITH {_DOCS}, x AS (SELECT doc_id AS insert_seq, source_url,
         {_EXTRACTOR} AS extractor, CASE WHEN {_EXTRACTOR} = 'html' THEN {_html_text('text')} ELSE text END AS t,
         CASE WHEN {_EXTRACTOR} = 'html' THEN coalesce(nullif({_html_title('text')}, ''), 'Untitled HTML Document')
@@ -345,6 +346,7 @@ ORACLE = {
         UNION ALL SELECT p.item_id, p.parent_id, t.depth + 1, t.root_id FROM p JOIN t ON p.parent_id = t.item_id)
       SELECT * FROM t""",
     "discover_stream": f"WITH {_FILES} SELECT relative_path, file_size FROM files WHERE ext IN ('.txt', '.md')",
+    "listing_stream": f"WITH {_FILES} SELECT relative_path, file_size FROM files WHERE ext IN ('.txt', '.md')",
     "index_folder": _INDEXED,
     "index_stream": _INDEXED,
     "resume": _INDEXED,

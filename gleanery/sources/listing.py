@@ -1,17 +1,21 @@
-"""A Spark data source that lists files inside the tasks.
+"""Spark data sources that list files inside the tasks.
 
 `spark.read.format("filelist").option("path", root).load()` lists everything a folder
 holds, empty and hidden files included, and leaves the walking to the executors: the
 driver only sees the first levels of folders. The folder has to be mounted on them.
+
+`spark.readStream.format("filelist")` lists what arrives. How far it has come is one point in time, whatever the
+number of files: a batch has the files that came or changed after the last point and up to the next one.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import os
+import time
 from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..schemas import FILES
 
@@ -20,6 +24,9 @@ from ..schemas import FILES
 class Folders(InputPartition):
     paths: tuple[str, ...]
     deep: bool
+    # Files that came after the one and not after the other point in time, in nanoseconds; None: all.
+    after: int | None = None
+    until: int | None = None
 
 
 # Folders that are listed apart are dealt out to at most this many tasks.
@@ -37,10 +44,22 @@ class FileListSource(DataSource):
     def reader(self, schema):
         return FileListReader(self.options)
 
+    def streamReader(self, schema):
+        return ArrivalReader(self.options)
+
+
+def local_path(path: str) -> str:
+    """The path of a mounted folder, also of a file: URI as Spark writes them (names are not percent-encoded)."""
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    elif "://" in path:
+        raise ValueError(f"not a mounted folder: {path}")
+    return path
+
 
 class FileListReader(DataSourceReader):
     def __init__(self, options):
-        self.root = os.path.abspath(os.path.expanduser(options["path"]))
+        self.root = os.path.abspath(os.path.expanduser(local_path(options["path"])))
         self.fanout = int(options.get("fanout", 256))
 
     def partitions(self):
@@ -68,6 +87,10 @@ class FileListReader(DataSourceReader):
                             pending.append(e.path)
                     elif e.is_file():
                         st = e.stat()
+                        # The time of the last change of any kind, renaming included: it cannot be set, so a
+                        # file that is moved here, or copied with its old times, came now.
+                        if partition.until is not None and not partition.after < st.st_ctime_ns <= partition.until:
+                            continue
                         when = dt.datetime.fromtimestamp(st.st_mtime, dt.timezone.utc)
                         yield (e.path, "file://" + e.path, st.st_size, when, "filelist")
 
@@ -77,5 +100,34 @@ def _deal(folders: list[str], deep: bool) -> list[Folders]:
     return [Folders(tuple(folders[i::n]), deep) for i in range(n)]
 
 
+class ArrivalReader(DataSourceStreamReader):
+    """Options: `path`; `settle`, seconds that a file has to be there before it is listed, for clocks that differ and
+    files that are still being written (default 5); `every`, seconds between two looks (default 10)."""
+
+    def __init__(self, options):
+        self.lister = FileListReader(options)
+        self.settle, self.every = float(options.get("settle", 5)), float(options.get("every", 10))
+        self.until, self.looked = 0, None
+
+    def initialOffset(self):
+        return {"until": 0}
+
+    def latestOffset(self):
+        now = time.monotonic()
+        if self.looked is None or now - self.looked >= self.every:
+            self.looked = now
+            self.until = max(self.until, time.time_ns() - int(self.settle * 1e9))
+        return {"until": self.until}
+
+    def partitions(self, start, end):
+        return [Folders(p.paths, p.deep, start["until"], end["until"]) for p in self.lister.partitions()]
+
+    def read(self, partition):
+        return self.lister.read(partition)
+
+    def commit(self, end):
+        pass
+
+
 def register(spark) -> None:
     spark.dataSource.register(FileListSource)

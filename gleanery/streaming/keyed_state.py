@@ -6,8 +6,6 @@ keys it brings and no others, and only what changed comes out, so neither a log
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
@@ -15,7 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from ..operators.state import KEYS
 from ..sources.tables import append_batch
-from .streams import run, writer_of
+from .streams import run, setting, writer_of
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -143,24 +141,14 @@ def _ms(seconds: float | None) -> int | None:
     return None if seconds is None else int(seconds * 1000)
 
 
-@contextmanager
-def _rocksdb(spark: SparkSession):
-    """Keyed state needs RocksDB; a query takes the setting when it starts."""
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
-    try:
-        yield
-    finally:
-        spark.conf.set(PROVIDER, before)
-
-
 def changes_stream(log: DataFrame, root: str, checkpoint: str, available_now: bool = True, name=None, **options) -> StreamingQuery:
     """Stores what changes, batch by batch. `options` are those of `keyed_changes`. With `ttl_seconds` the clock alone
     makes batches, so such a stream has no end and `available_now` has to be False."""
     if available_now and options.get("ttl_seconds") is not None:
         raise ValueError("a stream with ttl_seconds does not end: pass available_now=False")
     writer = writer_of(checkpoint)
-    with _rocksdb(log.sparkSession):
+    # Keyed state needs RocksDB.
+    with setting(log.sparkSession, PROVIDER, ROCKSDB):
         return run(
             keyed_changes(log, **options),
             lambda df, batch: append_batch(df, root, batch, writer=writer),
@@ -174,6 +162,6 @@ def changes_stream(log: DataFrame, root: str, checkpoint: str, available_now: bo
 def stored_state(spark: SparkSession, checkpoint: str) -> DataFrame:
     """partition_key, key, value_json, version, seq: the current value of every key, out of the state store of a
     checkpoint. Nothing is folded: one row per key is read."""
-    with _rocksdb(spark):
+    with setting(spark, PROVIDER, ROCKSDB):
         found = spark.read.format("statestore").option("stateVarName", "latest").load(checkpoint)
     return found.select("key.*", "value.value_json", "value.version", "value.seq")
