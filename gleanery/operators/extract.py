@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Observation, functions as F
 from ..functions import identity, metadata, paths
 from ..session import work_dir
 from ..sources.files import UNDECODABLE
+from . import arrow_extract
 from .routing import EXTRACTORS, choose_extractor, pipeline_mime, route_extract
 
 NO_MEMBERS = "container has no members"
@@ -51,20 +52,26 @@ def extract(df: DataFrame, extractors=EXTRACTORS) -> DataFrame:
     df = route_extract(df, extractors).withColumn(
         "__text", content_as_text(F.col("content_text"), F.col("content_binary"))
     )
+    of_arrow = [e for e in extractors if e.arrow is not None]
+    if of_arrow:
+        df = arrow_extract.with_extracted(df, of_arrow, "__text")
     src, raw, chosen = F.col("__text"), F.col("content_binary"), F.col("extractor")
-    of_bytes = [e.name for e in extractors if takes_bytes(e.text)]
+    of_bytes = [e.name for e in extractors if e.arrow is not None or takes_bytes(e.text)]
     readable = src.isNotNull() | (raw.isNotNull() & chosen.isin(*of_bytes)) if of_bytes else src.isNotNull()
     ok = chosen.isNotNull() & readable
     failure = (
         F.when(chosen.isNull(), F.col("message")).when(~readable, F.lit(UNDECODABLE))
     )
+    if of_arrow:
+        raised = F.col(arrow_extract.ERROR)
+        ok, failure = ok & raised.isNull(), F.coalesce(failure, raised)
     if "error" in df.columns:
         failure = F.coalesce(F.col("error"), failure)
     df = df.withColumns(
         {
             "source_url": paths.default_source_url(F.col("source_url")),
-            "content_text": _by_extractor(extractors, "text", lambda fn: call(fn, src, raw)),
-            "__found": _by_extractor(extractors, "find_title", lambda fn: call(fn, src, raw)),
+            "content_text": _extracted(extractors, "text", src, raw, arrow_extract.TEXT),
+            "__found": _extracted(extractors, "find_title", src, raw, arrow_extract.TITLE),
             "error": failure,
             "mime_type": F.when(ok, F.lit("text/plain")).otherwise(F.col("mime_type")),
             "processing_state": F.when(ok, F.lit("extracted")).otherwise(
@@ -75,7 +82,16 @@ def extract(df: DataFrame, extractors=EXTRACTORS) -> DataFrame:
     title = _by_extractor(
         extractors, "title", lambda fn: fn(F.col("title"), F.col("__found")), F.col("title")
     )
-    return df.withColumn("title", title).drop("__text", "__found", "content_binary")
+    return df.withColumn("title", title).drop(
+        "__text", "__found", "content_binary", arrow_extract.TEXT, arrow_extract.TITLE, arrow_extract.ERROR
+    )
+
+
+def _extracted(extractors, part: str, src: Column, raw: Column, by_arrow: str) -> Column:
+    """What the chosen extractor's Column function gives, or its Arrow function gave before."""
+    names = [e.name for e in extractors if e.arrow is not None]
+    case = _by_extractor(extractors, part, lambda fn: call(fn, src, raw))
+    return F.when(F.col("extractor").isin(*names), F.col(by_arrow)).otherwise(case) if names else case
 
 
 def _by_extractor(extractors, part: str, call, otherwise: Column | None = None) -> Column:

@@ -44,6 +44,8 @@ class Extractor:
 
     `text`, `find_title` and `members` get the content as text, null if it is not valid UTF-8. One that
     takes two arguments gets the bytes as well (null if the content came as text).
+
+    `arrow`, in place of `text` and `find_title`, is any Python function on Arrow arrays; see `operators.arrow_extract`.
     """
 
     name: str
@@ -53,6 +55,7 @@ class Extractor:
     find_title: Callable[[Column], Column] | None = None
     title: Callable[[Column, Column], Column] | None = None
     members: Callable[[Column], Column] | None = None
+    arrow: Callable | None = None
 
 
 def can_fetch_file(url: Column, exists: Column | None = None) -> Column:

@@ -1089,6 +1089,22 @@ def register_extractor(spark, sf):
     )
 
 
+@query
+def register_arrow_extractor(spark, sf):
+    """The extractor for JSON-typed rows as a Python function, which is for those alone and fails on short ones."""
+
+    def read(texts):
+        for t in texts.to_pylist():
+            if len(t) < 300:
+                raise ValueError(f"{len(t)} characters")
+        return [f"json: {t}" for t in texts.to_pylist()], [t[:20] for t in texts.to_pylist()]
+
+    registry = Registry().register_extractor("json", lambda u, m: m == "application/json", ("application/json",), arrow=read)
+    return extract(v.docs_with_type(spark, sf), registry.extractors).select(
+        "source_url", "title", "content_text", "extractor", "error", "processing_state"
+    )
+
+
 @query
 def register_binary_extractor(spark, sf):
     """An extractor that takes the bytes as they are; the built-in ones need valid text."""

@@ -379,6 +379,17 @@ ORACLE = {
         CASE extractor WHEN 'text' THEN text WHEN 'html' THEN {_html_text('text')} WHEN 'json' THEN 'json: '||text END
           AS content_text, extractor,
         CASE WHEN extractor IS NULL THEN 'No extractor found for content type: '||mime_type END AS error FROM x""",
+    "register_arrow_extractor": f"""WITH {_DOCS}, x AS (SELECT *, CASE WHEN mime_type = 'application/json' THEN 'json'
+        ELSE {_EXTRACTOR} END AS extractor FROM docs)
+      SELECT source_url, CASE extractor WHEN 'text' THEN {_text_title('text')} WHEN 'json' THEN CASE WHEN length(text) >= 300 THEN substr(text, 1, 20) END
+          WHEN 'html' THEN coalesce(nullif({_html_title('text')}, ''), 'Untitled HTML Document') END AS title,
+        CASE extractor WHEN 'text' THEN text WHEN 'html' THEN {_html_text('text')} WHEN 'json' THEN
+          CASE WHEN length(text) >= 300 THEN 'json: '||text END END
+          AS content_text, extractor,
+        CASE WHEN extractor IS NULL THEN 'No extractor found for content type: '||mime_type
+          WHEN extractor = 'json' AND length(text) < 300 THEN 'ValueError: '||length(text)||' characters' END AS error,
+        CASE WHEN extractor IS NULL OR (extractor = 'json' AND length(text) < 300) THEN 'pending' ELSE 'extracted' END
+          AS processing_state FROM x""",
     "register_fetcher": f"{_PAGES_STORED}, 'text/plain' AS mime_type FROM pages",
     "register_source": f"{_PAGES_STORED} FROM pages",
     "register_store": f"{_PAGES_STORED} FROM pages",
