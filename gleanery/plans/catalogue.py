@@ -10,6 +10,7 @@ from ..operators import cache as ca, diff as di, items as it, merge as me, routi
 from ..operators import summary as su
 from ..operators.extract import extract, extract_nested, stored_rows, to_items
 from ..operators.hierarchy import item_tree
+from ..operators.runs import KeyRuns
 from ..session import work_dir, written
 from ..schemas import ITEMS
 from ..sources.commits import ParquetStore, new_attempt
@@ -442,6 +443,36 @@ def state_get(spark, sf):
     return st.state_get(_latest(spark, sf), requests, "key")
 
 
+@query
+def state_lookup(spark, sf):
+    """The same out of sorted runs: the log comes in five batches, four of which are folded into one run."""
+    schema = "partition_key string, key string, value_json string, version int, seq long"
+    table = KeyRuns(spark, work_dir(spark, "runs"), schema, ["partition_key", "key"], "seq", buckets=8)
+    log = v.state_log(spark, sf).withColumn("seq", F.unix_micros(F.col("ts").cast("timestamp")))
+    for batch in range(5):
+        table.store(log.filter(F.pmod(F.xxhash64("partition_key", "key", "seq"), F.lit(5)) == batch), batch)
+    requests = v.table(spark, sf, "customer").select(
+        F.lit("click").alias("partition_key"), F.col("c_custkey").cast("string").alias("key")
+    )
+    value = F.when(F.col("found"), F.col("value_json")).otherwise('"none"')
+    return table.get(requests).select("partition_key", "key", "found", value.alias("value_json"))
+
+
+@query
+def item_lookup(spark, sf):
+    """Items by id out of sorted runs, for the ids of all documents and once more for a few of them."""
+    schema = "item_id string, insert_seq long, source_url string, mime_type string, processing_state string, author string"
+    table = KeyRuns(spark, work_dir(spark, "runs"), schema, ["item_id"], "insert_seq", buckets=8)
+    items = v.existing_items(spark, sf)
+    # Stored unfinished first, and then as it is.
+    table.store(items.withColumn("processing_state", F.lit("pending")), 0)
+    table.store(items, 1)
+    name = F.concat(F.lit("item_"), F.col("doc_id").cast("string")).alias("item_id")
+    ids = v.table(spark, sf, "documents").select(name)
+    found = table.get(ids).filter("found")
+    return found.select("item_id", "source_url", "mime_type", "processing_state", "author")
+
+
 @query
 def state_older_than(spark, sf):
     return st.state_older_than(_latest(spark, sf), "click", 50)

@@ -216,6 +216,9 @@ ORACLE = {
     "state_get": f"""WITH {_STATE} SELECT 'click' AS partition_key, c_custkey::VARCHAR AS key,
       l.key IS NOT NULL AS found, CASE WHEN l.key IS NULL THEN '"none"' ELSE value_json END AS value_json
       FROM customer LEFT JOIN latest l ON l.partition_key = 'click' AND l.key = c_custkey::VARCHAR""",
+    "state_lookup": f"""WITH {_STATE} SELECT 'click' AS partition_key, c_custkey::VARCHAR AS key,
+      l.key IS NOT NULL AS found, CASE WHEN l.key IS NULL THEN '"none"' ELSE value_json END AS value_json
+      FROM customer LEFT JOIN latest l ON l.partition_key = 'click' AND l.key = c_custkey::VARCHAR""",
     "state_older_than": f"""WITH {_STATE} SELECT key, value_json, version FROM latest
       WHERE partition_key = 'click' AND version < 50 ORDER BY version, key""",
     "state_keys_with_value": f"""WITH {_STATE} SELECT key FROM latest
@@ -224,6 +227,7 @@ ORACLE = {
     "state_delete": f"""WITH {_STATE} SELECT partition_key, key,
       CASE WHEN partition_key = 'error' THEN 'null' ELSE value_json END AS value_json,
       CASE WHEN partition_key = 'error' THEN 1 ELSE version END AS version FROM latest""",
+    "item_lookup": f"WITH {_ITEMS} SELECT item_id, source_url, mime_type, processing_state, author FROM items",
     "find_item": f"WITH {_ITEMS} SELECT item_id, source_url, mime_type, processing_state, author FROM items",
     "cache_get": f"""WITH {_DOCS} SELECT cache_id, source AS partition_key, text AS content_text, false AS is_binary
       FROM docs WHERE doc_id % 2 = 0 AND doc_id IN (SELECT doc_id FROM labels)""",
