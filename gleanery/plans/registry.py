@@ -37,12 +37,11 @@ class Registry:
     ):
         """`predicate(url, mime)` and `fn(content)` are Column functions. `arrow`, in place of `fn` and `find_title`, is any
         Python function on Arrow arrays (see `operators.arrow_extract`): it gets its own rows only, and what it
-        raises fails one row. A Python UDF is no Column function here: Spark would run it on every row.
+        raises fails one row. A Python UDF as `fn` has to accept the content of all rows: Spark runs it on those of other
+        extractors as well, and what it raises fails the job.
         `find_title(content)` looks a title up, `title(given, found)` settles on one: the
         given one first if left out. `members(content)` makes it a container. `fn`, `find_title` and `members`
         may take a second argument, the bytes of content that did not come as text."""
-        if any(hasattr(f, "evalType") for f in (predicate, fn, find_title, title, members)):
-            raise TypeError("a Python UDF runs on the rows of all extractors: pass a function on Arrow arrays as arrow=")
         if arrow is not None and (fn is not None or find_title is not None):
             raise ValueError("arrow stands in place of fn and find_title")
         if (find_title is not None or arrow is not None) and title is None:
