@@ -282,7 +282,7 @@ def test_stored_items_have_bloom_filters(spark):
     table.append(make_items(spark, THREE), 1)
     root = table.root.removeprefix("file:")
     found = duckdb.sql(
-        f"select distinct path_in_schema from parquet_metadata('{root}/rows/writer=w-main/batch_id=1/*.parquet') "
+        f"select distinct path_in_schema from parquet_metadata('{root}/rows/writer=w-main/batch_id=1/*/*.parquet') "
         "where bloom_filter_length is not null"
     ).fetchall()
     assert {c for c, in found} == set(it.LOOK_UP_BY)
