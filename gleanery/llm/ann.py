@@ -128,14 +128,19 @@ class Search:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, embedding (double) of the rows that take part: id given, vector not null, not
-    empty, not zero, and all components finite numbers."""
+    """vec_id, embedding (double) of the vectors that take part, one row per id: id given, vector not
+    null, not empty, not zero, all components finite numbers, and as many of them as most vectors
+    have (ties: the larger number). Of the usable rows with one id the smallest vector, component by
+    component, takes part."""
     v = F.col("embedding").cast("array<double>")
     finite = F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     nonzero = F.exists(v, lambda c: c != 0)
-    return vectors.filter(F.col("vec_id").isNotNull() & F.coalesce(finite & nonzero, F.lit(False))).select(
-        F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")
+    found = vectors.filter(F.col("vec_id").isNotNull() & F.coalesce(finite & nonzero, F.lit(False))).select(
+        F.col("vec_id").cast("long").alias("vec_id"), v.alias("embedding")
     )
+    sizes = found.groupBy(F.size("embedding").alias("size")).count()
+    most = sizes.agg(F.max_by("size", F.struct("count", "size"))).first()[0]
+    return found.filter(F.size("embedding") == F.lit(most)).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -146,14 +151,11 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """shard int, tree binary: one tree per shard over all usable vectors. Rows are dealt by a
-    hash of the id, so shards are about equal whatever the data; vectors of different lengths
-    are an error."""
+    """shard int, tree binary: one tree per shard over all usable vectors. Ids are dealt by a
+    hash, so shards are about equal whatever the data."""
     found = usable(vectors)
     length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, c: s + c * c))
-    n, longest, dims = found.agg(F.count(F.lit(1)), F.max(length), F.count_distinct(F.size("embedding"))).first()
-    if dims > 1:
-        raise ValueError("vectors differ in their number of components")
+    n, longest = found.agg(F.count(F.lit(1)), F.max(length)).first()
     shards = max(1, -(-n // shard_rows))
     longest = (longest or 0.0) * (1 + 1e-12)
     dealt = found.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
@@ -173,9 +175,9 @@ def search(
     its k nearest of all other ids (all, if there are fewer), best first, ties to the smaller id.
 
     `score` is the inner product in double precision. Queries go to the shards in blocks; each
-    shard gives its k best, and the best of those are the answer. Ids occur once; of repeated
-    query ids all rows are searched as one. Unusable vectors neither ask nor answer. With
-    factor 1 the answer is exact.
+    shard gives its k best, and the best of those are the answer. An id asks once and is found
+    once, however often it is repeated (see `usable`). Unusable vectors neither ask nor answer, nor do
+    those with fewer or more components than most. With factor 1 the answer is exact.
     """
     found = usable(vectors).filter(F.col("vec_id") % every == 0)
     blocks = max(1, -(-found.count() // block_queries))

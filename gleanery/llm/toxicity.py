@@ -3,11 +3,12 @@
 Many weak voters look at a document: lexicons, and patterns of its characters. A
 generative label model takes the true class as hidden and estimates how often each voter speaks
 up in either class (its accuracy), and how strongly voters repeat one another beyond what the
-class explains (their correlations), by which their say is cut. The given label is one more
-voter, of fixed trust (TRUST) that is not estimated; the estimate starts there, and only labelled
-rows are voted on, so the posterior is mostly the given label, close to supervised training. The
-posterior is the label a linear classifier is trained on; the classifier then scores every
-document. Labels also draw up the lexicons.
+class explains (their correlations), by which their say is cut. The posterior of a document
+comes from its votes alone, so two documents with the same votes have the same one, whatever
+their labels; it is what a linear classifier is trained on, and the classifier then scores every
+document. Labels draw up the lexicons, give the share of class 1 and the estimate's start, which
+stays with it as a prior of the voters' rates (PRIOR_WEIGHT): without one, the hidden class wanders
+off to whatever parts the votes best, such as long texts.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ SINGLE = 28
 LEXICON_ENTRIES = 1500
 # Twice the log-likelihood ratio at which a feature is not taken for chance.
 EVIDENCE = 20.0
-# How often label 1 is given in class 1 and in class 0.
-TRUST = (0.95, 0.01)
+# A feature belongs in a lexicon if label 1 holds at least this share of its documents.
+PURITY = 0.85
+# The prior of the voters' rates counts as so many rows for each row voted on.
+PRIOR_WEIGHT = 4.0
 _LETTERS = re.compile(r"[^\W\d_]+")
 # Patterns of the characters: runs of marks, shouting, masked and stretched words.
 _PATTERNS = (
@@ -68,12 +71,12 @@ class Votes:
         n1, n0 = y.sum(), len(y) - y.sum()
         df1 = np.bincount(ids[toxic], minlength=size).astype(float)
         df0 = np.bincount(ids[~toxic], minlength=size).astype(float)
-        # How surprising a feature's share of label 1 is, for those where it is mostly 1.
+        # How surprising a feature's share of label 1 is, for those where it is nearly always 1.
         n, rate = df1 + df0, n1 / (n1 + n0)
         with np.errstate(divide="ignore", invalid="ignore"):
             p = df1 / n
             gain = df1 * np.log(p / rate) + np.where(df0 > 0, df0 * np.log((1 - p) / (1 - rate)), 0.0)
-        gain = np.where((n > 0) & (p > 0.5), 2 * gain, 0.0)
+        gain = np.where((n > 0) & (p > PURITY), 2 * gain, 0.0)
         gain[:N_PATTERNS] = 0.0
         bad = np.argsort(-gain, kind="stable")[:LEXICON_ENTRIES]
         bad = bad[gain[bad] > EVIDENCE]
@@ -95,27 +98,31 @@ class Votes:
         return fired
 
 
-def label_model(fired: np.ndarray, given: np.ndarray, rounds: int = 30) -> np.ndarray:
+def label_model(fired: np.ndarray, start: np.ndarray, rounds: int = 30) -> np.ndarray:
     """Posterior probability of class 1 for each row of votes, by expectation maximisation.
 
-    The person who gave the labels is one more voter, of fixed trust; the estimate starts there.
+    `start` (0 or 1 per row) gives the share of class 1 and the rates the voters begin with. These rates
+    stay as a prior worth PRIOR_WEIGHT rows a row; no row's own start enters its posterior otherwise.
     """
-    f, given = fired.astype(float), given.astype(float)
-    q, prior = given, np.clip(given.mean(), 1e-3, 1 - 1e-3)
-    says = np.where(given == 1, np.log(TRUST[0] / TRUST[1]), np.log((1 - TRUST[0]) / (1 - TRUST[1])))
+    f, q = fired.astype(float), start.astype(float)
+    share = np.clip(q.mean(), 1e-3, 1 - 1e-3)
+    worth1, worth0 = PRIOR_WEIGHT * len(f) * share, PRIOR_WEIGHT * len(f) * (1 - share)
+    first1 = (f.T @ q + 0.5) / (q.sum() + 1)
+    first0 = (f.T @ (1 - q) + 0.5) / ((1 - q).sum() + 1)
     for _ in range(rounds):
-        rate1 = (f.T @ q + 0.5) / (q.sum() + 1)
-        rate0 = (f.T @ (1 - q) + 0.5) / ((1 - q).sum() + 1)
-        # Correlations within the classes, as far as the hidden class does not explain them.
+        rate1 = (f.T @ q + 0.5 + worth1 * first1) / (q.sum() + 1 + worth1)
+        rate0 = (f.T @ (1 - q) + 0.5 + worth0 * first0) / ((1 - q).sum() + 1 + worth0)
+        # Correlations within the classes, as far as the hidden class does not explain them. A voter's
+        # say is divided by what it shares with the others, in squares, itself included.
         rest = f - q[:, None] * rate1 - (1 - q)[:, None] * rate0
         cov = rest.T @ rest / len(f)
         sd = np.sqrt(np.diag(cov)) + 1e-9
-        corr = np.abs(cov / sd / sd[:, None])
+        corr = cov / sd / sd[:, None]
         np.fill_diagonal(corr, 1.0)
-        corr[corr < 0.1] = 0.0
-        say = 1 / corr.sum(axis=0)
+        corr[np.abs(corr) < 0.1] = 0.0
+        say = 1 / (corr**2).sum(axis=0)
         yes, no = np.log(rate1 / rate0) * say, np.log((1 - rate1) / (1 - rate0)) * say
-        odds = np.log(prior / (1 - prior)) + says + f @ yes + (1 - f) @ no
+        odds = np.log(share / (1 - share)) + f @ yes + (1 - f) @ no
         q = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
     return q
 

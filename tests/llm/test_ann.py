@@ -72,8 +72,19 @@ def test_odd_vectors(spark):
 def test_empty_and_uneven(spark):
     assert ann.nearest(table(spark, [])).count() == 0
     assert ann.nearest(table(spark, [(1, [1.0])])).count() == 0
-    with pytest.raises(ValueError):
-        ann.nearest(table(spark, [(1, [1.0]), (2, [1.0, 2.0])]))
+    # As many vectors of either length: the longer ones take part. With more short ones, those do.
+    assert found(ann.nearest(table(spark, [(0, [1.0]), (20, [1.0, 2.0])]))) == {}
+    rows = [(0, [1.0]), (20, [3.0, 2.0]), (1, [2.0]), (2, [0.5, 1.0]), (3, [-1.0])]
+    assert found(ann.nearest(table(spark, rows))) == {0: [(1, 1, 2.0), (2, 3, -1.0)]}
+
+
+def test_repeated_ids(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=4).astype(np.float32).tolist()) for i in range(200)]
+    again = rows[::3] + rows[::20] + [(20, [9.0, 9.0, 9.0, 9.0]), (7, [None, 1.0, 1.0, 1.0])]
+    got = found(ann.nearest(table(spark, rows + again), 20, 20, 1.0, 64))
+    same(got, brute(rows, 20, 20))
+    assert all(len({x[1] for x in v}) == 20 for v in got.values())
 
 
 def test_factor_trades_recall(spark):

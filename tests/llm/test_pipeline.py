@@ -3,6 +3,7 @@
 import math
 import zlib
 
+import numpy as np
 import pytest
 from test_jaccard import brute as near
 from test_tokens import check_packing
@@ -160,6 +161,70 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), given).count() == 0
 
 
+def plain_label_model(fired, start, rounds):
+    """The same estimate, one row and one pair of voters at a time."""
+    n, voters = len(fired), range(len(fired[0]))
+    q = [float(y) for y in start]
+    share = min(max(sum(q) / n, 1e-3), 1 - 1e-3)
+
+    def rates(q):
+        return [(sum(q[i] for i in range(n) if fired[i][j]) + 0.5) / (sum(q) + 1) for j in voters]
+
+    def mixed(q, first, worth):
+        return [(r * (sum(q) + 1) + worth * f) / (sum(q) + 1 + worth) for r, f in zip(rates(q), first)]
+
+    others = [1 - x for x in q]
+    first1, first0 = rates(q), rates(others)
+    for _ in range(rounds):
+        others = [1 - x for x in q]
+        r1 = mixed(q, first1, toxicity.PRIOR_WEIGHT * n * share)
+        r0 = mixed(others, first0, toxicity.PRIOR_WEIGHT * n * (1 - share))
+        rest = [[fired[i][j] - q[i] * r1[j] - others[i] * r0[j] for j in voters] for i in range(n)]
+        cov = [[sum(r[a] * r[b] for r in rest) / n for b in voters] for a in voters]
+        say = []
+        for a in voters:
+            total = 1.0
+            for b in voters:
+                c = cov[a][b] / ((cov[a][a] ** 0.5 + 1e-9) * (cov[b][b] ** 0.5 + 1e-9))
+                if a != b and abs(c) >= 0.1:
+                    total += c * c
+            say.append(1 / total)
+        for i in range(n):
+            odds = math.log(share / (1 - share))
+            for j in voters:
+                odds += say[j] * (math.log(r1[j] / r0[j]) if fired[i][j] else math.log((1 - r1[j]) / (1 - r0[j])))
+            q[i] = 1 / (1 + math.exp(-min(max(odds, -30), 30)))
+    return q
+
+
+def random_votes(seed):
+    """Voters of different accuracy, one of which repeats another."""
+    rng = np.random.default_rng(seed)
+    truth = rng.random(300) < 0.3
+    speaks = np.array([(0.8, 0.05), (0.6, 0.1), (0.5, 0.02), (0.3, 0.25), (0.1, 0.6)])
+    fired = rng.random((300, 5)) < np.where(truth[:, None], speaks[:, 0], speaks[:, 1])
+    return truth, np.column_stack((fired, fired[:, 0] | (rng.random(300) < 0.02)))
+
+
+def test_label_model():
+    for seed in range(3):
+        truth, fired = random_votes(seed)
+        want = plain_label_model(fired.tolist(), truth.tolist(), 5)
+        assert np.allclose(toxicity.label_model(fired, truth, 5), want, atol=1e-9)
+
+
+def test_posteriors_come_from_votes():
+    truth, fired = random_votes(9)
+    wrong = truth ^ (np.random.default_rng(1).random(300) < 0.1)
+    q = toxicity.label_model(fired, wrong)
+    by_votes = {}
+    for votes, x in zip(fired.tolist(), q.tolist()):
+        by_votes.setdefault(tuple(votes), set()).add(round(x, 12))
+    assert all(len(x) == 1 for x in by_votes.values())
+    # Wrong labels do not come back out of the model.
+    assert ((q >= 0.5) == truth).mean() > (wrong == truth).mean()
+
+
 def test_training_rows_are_bounded(spark):
     ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
     rows = [(ids[0], f"copy {chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(300)] + [(i, f"text {chr(97 + i % 26)}") for i in ids[1:]]
