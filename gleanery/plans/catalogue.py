@@ -11,6 +11,7 @@ from ..operators import summary as su
 from ..operators.extract import extract, extract_nested, stored_rows, to_items
 from ..operators.hierarchy import item_tree
 from ..operators.runs import KeyRuns
+from ..operators.snapshots import Snapshots
 from ..session import work_dir, written
 from ..schemas import ITEMS
 from ..sources.commits import ParquetStore, new_attempt
@@ -636,6 +637,40 @@ def snapshot_diff(spark, sf):
     return di.snapshot_diff(old, new, ["partition_key", "key"])
 
 
+def _stored_snapshots(spark, sf) -> Snapshots:
+    old, new = v.snapshots(spark, sf)
+    on = ["partition_key", "key"]
+    stored = Snapshots(spark, work_dir(spark, "snapshots"), "partition_key string, key string, value_json string", on)
+    stored.store(old, 0)
+    stored.store(new, 1)
+    return stored
+
+
+@query
+def snapshot_stored_diff(spark, sf):
+    """The same from stored snapshots, which are compared by digests first."""
+    return _stored_snapshots(spark, sf).diff(0, 1)
+
+
+@query
+def snapshot_changes(spark, sf):
+    return _stored_snapshots(spark, sf).diff(0, 1, unchanged=False)
+
+
+@query
+def snapshot_small_change(spark, sf):
+    """A snapshot of all documents, and one in which toxic ones are blocked: what has changed?"""
+    docs = v.table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("key"), F.to_json(F.struct("source", "lang", "n_chars")).alias("value_json")
+    )
+    toxic = v.table(spark, sf, "labels").filter("toxic = 1").select(F.col("doc_id").cast("string").alias("key")).distinct()
+    stored = Snapshots(spark, work_dir(spark, "snapshots"), "key string, value_json string", ["key"])
+    stored.store(docs, 0)
+    blocked = docs.join(toxic, "key", "left_semi").withColumn("value_json", F.lit('"blocked"'))
+    stored.store(docs.join(toxic, "key", "left_anti").unionByName(blocked), 1)
+    return stored.diff(0, 1, unchanged=False)
+
+
 def _nested_diff(spark, sf) -> DataFrame:
     """One record per user: event type -> its properties."""
 

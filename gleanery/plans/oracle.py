@@ -268,6 +268,13 @@ ORACLE = {
     "cache_orphans": f"""WITH {_ITEMS} SELECT cache_id, source AS partition_key FROM docs
       WHERE cache_id NOT IN (SELECT location FROM items WHERE location IS NOT NULL)""",
     "snapshot_diff": f"WITH {_SNAPS} {_FLAT_DIFF}",
+    "snapshot_stored_diff": f"WITH {_SNAPS} {_FLAT_DIFF}",
+    "snapshot_changes": f"WITH {_SNAPS}, d AS ({_FLAT_DIFF}) SELECT * FROM d WHERE kind <> 'unchanged'",
+    "snapshot_small_change": """WITH d AS (SELECT * FROM documents
+        WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1))
+      SELECT doc_id::VARCHAR AS key, 'added' AS kind, '"blocked"' AS value_json FROM d
+      UNION ALL SELECT doc_id::VARCHAR, 'removed',
+        '{"source":"'||source||'","lang":"'||lang||'","n_chars":'||n_chars||'}' FROM d""",
     "nested_diff": f"WITH {_SNAPS} {_NESTED_DIFF}",
     "diff_has_changed": f"""WITH {_SNAPS}, d AS ({_NESTED_DIFF})
       SELECT key, bool_or(kind <> 'unchanged' AND path = 'click.k') AS changed FROM d GROUP BY key""",
