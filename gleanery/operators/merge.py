@@ -14,7 +14,7 @@ from __future__ import annotations
 import json
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.nested import EMPTY, LIST, OPEN, SCALAR, leaves, list_elements
 from ..schemas import METADATA_FIELDS
@@ -247,14 +247,16 @@ def merged_metadata(patches: DataFrame, seq: str = "seq") -> DataFrame:
 def layer_order(layers: DataFrame, rank: str = "rank", name: str = "name") -> DataFrame:
     """(rank, name) pairs with their layer number: by rank, then by name.
 
-    Repeats are folded first; names are numbered inside their rank and shifted by the
-    number of layers in the ranks before it.
+    Repeats are folded first. The sorted pairs are cut into ranges, so that a rank with most of the names is many
+    ranges; pairs are numbered inside their range and shifted by the number of pairs before it. A missing
+    rank comes after all others, a missing name before the others of its rank.
     """
-    pairs = layers.select(rank, name).distinct()
-    sizes = pairs.groupBy(rank).agg(F.count(F.lit(1)).alias("__n"))
-    offsets = sizes.selectExpr(rank, f"sum(__n) over (order by {rank}) - __n as __offset")
-    return pairs.join(offsets, rank).selectExpr(
-        rank,
-        name,
-        f"__offset + row_number() over (partition by {rank} order by {name}) as layer",
-    )
+    order = [F.col(rank).asc_nulls_last(), F.col(name).asc_nulls_first()]
+    pairs = layers.select(rank, name).distinct().repartitionByRange(*order)
+    # Written, so that every pair stays in the range it was counted in.
+    ranges = pairs.withColumn("__range", F.spark_partition_id()).transform(written, "layers")
+    # One row for each shuffle partition.
+    sizes = ranges.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    offsets = sizes.selectExpr("__range", "sum(__n) over (order by __range) - __n as __offset")
+    nth = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return ranges.join(F.broadcast(offsets), "__range").select(rank, name, (F.col("__offset") + nth).alias("layer"))

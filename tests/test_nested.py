@@ -261,3 +261,12 @@ def test_merged_metadata(spark):
     df = spark.createDataFrame(rows, "source_url string, seq long, title string, tags array<string>, extra_json string")
     got = {r.source_url: (r.title, r.tags, r.extra_json) for r in me.merged_metadata(df).collect()}
     assert got == {"u": ("t", ["a", "b", "a"], '{"x":{"y":1,"z":2}}'), "v": (None, [], "{}")}
+
+
+def test_layer_order_of_one_large_rank(spark):
+    names = [(5, f"n{i:04}") for i in range(3000)] + [(1, "b"), (1, "a"), (9, "z"), (5, "n0007"), (5, None), (None, "late")]
+    df = spark.createDataFrame(names, "rank int, name string").repartition(7)
+    got = {(r["rank"], r["name"]): r["layer"] for r in me.layer_order(df).collect()}
+    want = sorted(set(names), key=lambda p: (p[0] is None, p[0] or 0, p[1] is not None, p[1] or ""))
+    assert got == {p: i + 1 for i, p in enumerate(want)}
+    assert me.layer_order(df.limit(0)).collect() == []
