@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import cut
+
 # At most so many labelled rows train the model, those with the smallest hash of their id.
 TRAINING_ROWS = 20_000
 HASH_BITS = 20
@@ -63,14 +65,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 class Votes:
-    """Voters drawn up from labelled documents: which feature belongs to which lexicon."""
-
-    def __init__(self, rows: np.ndarray, ids: np.ndarray, y: np.ndarray):
-        size = N_PATTERNS + (1 << HASH_BITS)
-        toxic = y[rows] == 1
-        n1, n0 = y.sum(), len(y) - y.sum()
-        df1 = np.bincount(ids[toxic], minlength=size).astype(float)
-        df0 = np.bincount(ids[~toxic], minlength=size).astype(float)
+    """Voters drawn up from counts over labelled documents: which feature belongs to which lexicon."""
+
+    def __init__(self, df1: np.ndarray, df0: np.ndarray, n1: float, n0: float):
+        """`df1`, `df0`: documents of label 1 and 0 by feature, of n1 and n0. Features that `evident` leaves out may be 0."""
+        size = len(df1)
         # How surprising a feature's share of label 1 is, for those where it is nearly always 1.
         n, rate = df1 + df0, n1 / (n1 + n0)
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -141,31 +140,72 @@ def linear_classifier(rows, columns, n, width, target, rounds=400, l2=2e-4):
     return w, b
 
 
-def train(found: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, float]:
-    """Weights over all features and a bias, from (label, features) of documents."""
+def evident(counts: DataFrame, n1: float, n0: float) -> DataFrame:
+    """The rows of `counts` (feature, df1, df0) that may enter a lexicon, and a few at the limit, which `Votes` judges."""
+    p, rate = F.col("df1") / (F.col("df1") + F.col("df0")), n1 / (n1 + n0)
+    rest = F.when(F.col("df0") > 0, F.col("df0") * F.ln((1 - p) / (1 - rate))).otherwise(0.0)
+    gain = F.col("df1") * F.ln(p / rate) + rest
+    return counts.filter((F.col("df1") > 0) & (p > PURITY) & (2 * gain > EVIDENCE - 0.001))
+
+
+def train(table: DataFrame) -> tuple[np.ndarray, float]:
+    """Weights over all features and a bias, from (doc_id, toxic, features) of documents, one row per doc_id.
+
+    Features are counted by Spark. What reaches the driver are the counts of features that may be lexicon entries, and of
+    each document the entries that it has.
+    """
     size = N_PATTERNS + (1 << HASH_BITS)
     # Copies say nothing new: one document for each set of features.
-    found = list({x.tobytes(): (label, x) for label, x in reversed(found)}.values())
-    y = np.array([label for label, _ in found], float)
-    rate = (y.sum() + 0.5) / (len(y) + 1)
+    once = cut(
+        table.groupBy("features").agg(F.min_by("toxic", "doc_id").alias("toxic"), F.max("doc_id").alias("last")),
+        "training-sets",
+    )
+    n, n1 = once.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    n0 = n - n1
+    rate = (n1 + 0.5) / (n + 1)
     weights, bias = np.zeros(size, np.float32), float(np.log(rate / (1 - rate)))
-    if len(y) == 0 or y.min() == y.max():
+    if not n1 or not n0:
         return weights, bias
-    rows = np.repeat(np.arange(len(found)), [len(x) for _, x in found])
-    ids = np.concatenate([x for _, x in found])
-    votes = Votes(rows, ids, y)
+    counts = once.select("toxic", F.explode("features").alias("feature")).groupBy("feature")
+    counts = counts.agg(F.sum("toxic").alias("df1"), F.sum(1 - F.col("toxic")).alias("df0"))
+    found = evident(counts, float(n1), float(n0)).toArrow()
+    at, (df1, df0) = found.column("feature").to_numpy(), np.zeros((2, size))
+    df1[at], df0[at] = found.column("df1").to_numpy(), found.column("df0").to_numpy()
+    votes = Votes(df1, df0, float(n1), float(n0))
+    y, rows, ids = _chosen(once, votes.chosen)
     posterior = label_model(votes.of(rows, ids, len(y)), y)
     place = np.full(size, -1)
     place[votes.chosen] = np.arange(len(votes.chosen))
-    used = place[ids] >= 0
-    w, bias = linear_classifier(rows[used], place[ids[used]], len(y), len(votes.chosen), posterior)
+    w, bias = linear_classifier(rows, place[ids], len(y), len(votes.chosen), posterior)
     weights[votes.chosen] = w
     return weights, float(bias)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> list[tuple[int, np.ndarray]]:
-    """Features of at most `most` labelled documents that are not held out. Of rows with one doc_id, that with
-    the smallest hash of its text is taken before anything is collected."""
+def _chosen(once: DataFrame, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Labels of the documents, and the features among `chosen` with the places of their documents."""
+    chosen = np.sort(chosen).astype(np.int32)
+
+    def task(batches):
+        for batch in batches:
+            lists = batch.column(2)
+            features = lists.flatten().to_numpy()
+            keep = np.isin(features, chosen)
+            # Where each document's end among those that are kept.
+            ends = np.append(0, np.cumsum(keep))[np.append(0, np.cumsum(lists.value_lengths().to_numpy()))]
+            column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(features[keep], pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), column], ["last", "toxic", "features"])
+
+    few = once.select("last", "toxic", "features").mapInArrow(task, "last long, toxic int, features array<int>").toArrow()
+    few = few.sort_by([("last", "descending")]).combine_chunks()
+    column = few.column("features").combine_chunks()
+    ends = column.offsets.to_numpy()
+    rows = np.repeat(np.arange(few.num_rows), np.diff(ends))
+    return few.column("toxic").to_numpy().astype(float), rows, column.values.to_numpy()[ends[0] : ends[-1]]
+
+
+def training_table(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> DataFrame:
+    """doc_id, toxic, features of at most `most` labelled documents that are not held out. Of rows with one doc_id, that
+    with the smallest hash of its text is taken."""
     sample = (
         labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
         .groupBy("doc_id")
@@ -183,19 +223,18 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS)
 
     joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     first = F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
-    table = joined.groupBy("doc_id", "toxic").agg(first).mapInArrow(task, "doc_id long, toxic int, features array<int>").toArrow()
-    if not table.num_rows:
-        return []
-    table = table.sort_by("doc_id").combine_chunks()
-    flat = table.column(2).combine_chunks()
-    ends = flat.offsets.to_numpy()
-    values = flat.values.to_numpy()
-    return [(y, values[a:b]) for y, a, b in zip(table.column(1).to_pylist(), ends, ends[1:])]
+    return joined.groupBy("doc_id", "toxic").agg(first).mapInArrow(task, "doc_id long, toxic int, features array<int>")
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> list[tuple[int, np.ndarray]]:
+    """The rows of `training_table` on the driver, by doc_id."""
+    found = training_table(docs, labels, most).orderBy("doc_id").collect()
+    return [(r.toxic, np.array(r.features, np.int32)) for r in found]
 
 
 def _scorer(docs: DataFrame, labels: DataFrame, most: int):
     """A function that a task calls for a function from texts to scores."""
-    weights, bias = train(training_rows(docs, labels, most))
+    weights, bias = train(training_table(docs, labels, most))
     used = np.flatnonzero(weights)
     values = weights[used]
 

@@ -236,6 +236,44 @@ def test_training_rows_are_bounded(spark):
     assert [x.tolist() for _, x in found] == [x.tolist() for _, x in toxicity.training_rows(docs, labels)]
 
 
+def plain_train(found):
+    """The model from (label, features) of documents by doc_id, all of them on the driver."""
+    found = list({x.tobytes(): (label, x) for label, x in reversed(found)}.values())
+    y = np.array([label for label, _ in found], float)
+    size = toxicity.N_PATTERNS + (1 << toxicity.HASH_BITS)
+    rows = np.repeat(np.arange(len(found)), [len(x) for _, x in found])
+    ids = np.concatenate([x for _, x in found])
+    df1, df0 = (np.bincount(ids[y[rows] == label], minlength=size).astype(float) for label in (1, 0))
+    votes = toxicity.Votes(df1, df0, y.sum(), len(y) - y.sum())
+    q = toxicity.label_model(votes.of(rows, ids, len(y)), y)
+    place = np.full(size, -1)
+    place[votes.chosen] = np.arange(len(votes.chosen))
+    used = place[ids] >= 0
+    w, bias = toxicity.linear_classifier(rows[used], place[ids[used]], len(y), len(votes.chosen), q)
+    weights = np.zeros(size, np.float32)
+    weights[votes.chosen] = w
+    return weights, bias
+
+
+def test_training_sends_the_driver_lexicon_entries_alone(spark, monkeypatch):
+    rows, labels = [], []
+    for i in range(1, 500):
+        toxic = i % 4 == 0
+        odd = " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + i % 26)}{chr(97 + i // 26)}" for k in range(200 if i % 50 else 0))
+        rows.append((i, f"{odd} {('vile', 'foul', 'rotten')[i % 3] if toxic or i % 90 == 1 else 'kind'}{'!!' if i % 7 == 0 else ''}"))
+        rows += [(1000 + i, rows[-1][1])] * (i % 20 == 0)
+        labels += [(i, int(toxic)), (1000 + i, int(i % 40 == 0))]
+    docs = spark.createDataFrame([*rows, (5000, None)], "doc_id long, text string").repartition(5)
+    table = toxicity.training_table(docs, spark.createDataFrame([*labels, (5000, 0)], "doc_id long, toxic int"))
+    found = toxicity.training_rows(docs, spark.createDataFrame([*labels, (5000, 0)], "doc_id long, toxic int"))
+    sent, to_arrow = [], type(docs).toArrow
+    monkeypatch.setattr(type(docs), "toArrow", lambda self: sent.append(to_arrow(self)) or sent[-1])
+    weights, bias = toxicity.train(table)
+    assert 0 < sum(t.nbytes for t in sent) < sum(x.nbytes for _, x in found) / 10
+    want, want_bias = plain_train(found)
+    assert np.count_nonzero(want) > 3 and np.array_equal(weights, want) and bias == want_bias
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
