@@ -9,7 +9,7 @@ from ..operators.extract import extract, extract_nested, to_items
 from ..operators.items import ItemsTable, skip_existing
 from ..operators.routing import route_fetch
 from ..session import work_dir
-from ..sources.files import balance_by_size, discover_files, read_listed
+from ..sources.files import balance_by_size, list_files, read_listed
 from ..sources.tables import MAIN
 from ..sources.union import union_sources
 from .registry import Registry
@@ -105,7 +105,7 @@ def write_stores(rows: DataFrame, batch_id: int, stores: dict) -> None:
 def index_folder(
     spark: SparkSession, root: str, items: ItemsTable, batch_id: int, extensions=None, registry=None, writer: str = MAIN
 ):
-    index_listing(discover_files(spark, root, extensions), items, batch_id, registry, writer)
+    index_listing(list_files(spark, root, extensions), items, batch_id, registry, writer)
 
 
 def index_sources(spark: SparkSession, items: ItemsTable, batch_id: int, registry: Registry, writer: str = MAIN):

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..functions import paths, text as tx
 from ..schemas import FILES
+from .listing import is_mounted, register
 
 PLUGIN = "directory"
 UNDECODABLE = "content is not valid UTF-8"
@@ -69,6 +70,27 @@ def discover_files(spark: SparkSession, root: str, extensions=None) -> DataFrame
     return pack(listing(df))
 
 
+def from_tasks(files: DataFrame) -> DataFrame:
+    """Rows of the data source `filelist`, `by` names, as a listing like that of Spark's file sources."""
+    as_spark = files.select(
+        F.concat(F.lit("file:"), "path").alias("path"),
+        F.date_trunc("millisecond", "file_modified").alias("modificationTime"),
+        F.col("file_size").alias("length"),
+    )
+    return listing(as_spark)
+
+
+def list_files(spark: SparkSession, root: str, extensions=None) -> DataFrame:
+    """The rows of `discover_files`, for jobs on many files: a mounted folder is listed by the tasks, whenever the rows are
+    computed, and the driver holds no paths. Anything else is left to Spark's file source, which lists on the driver once.
+    """
+    if not is_mounted(spark, root):
+        return discover_files(spark, root, extensions)
+    register(spark)
+    files = spark.read.format("filelist").option("path", root).option("by", "names").load()
+    return pack(from_tasks(files.filter(paths.has_suffix(F.col("path"), extensions))))
+
+
 def decode(df: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """Raw bytes -> fetched columns: text or binary, name as title, type from the suffix."""
     p, raw, binary, valid = F.col(path), F.col(content), F.col("__binary"), F.col("__valid")

@@ -8,7 +8,6 @@ seen files or a table; nothing grows in executor memory unless said so.
 from __future__ import annotations
 
 import hashlib
-import os
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -21,20 +20,10 @@ from ..plans.registry import Registry
 from ..schemas import BINARY_FILE
 from ..functions import paths
 from ..sources import listing
-from ..sources.files import glob_for, listing as as_listing, pack
+from ..sources.files import from_tasks, glob_for, listing as as_listing, pack
 from ..sources.tables import append_batch
 
 
-def _is_mounted(spark: SparkSession, root: str) -> bool:
-    """Whether `root` is one folder of a local file system: Spark's tasks read those from a mount as well."""
-    if any(c in root for c in "*?[]{}\\"):
-        return False
-    at = spark._jvm.org.apache.hadoop.fs.Path(root)
-    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme() != "file":
-        return False
-    return os.path.isabs(listing.local_path(root)) and os.path.isdir(listing.local_path(root))
-
-
 def discover_stream(
     spark: SparkSession, root: str, extensions=None, max_files_per_batch: int | None = None
 ) -> DataFrame:
@@ -44,16 +33,10 @@ def discover_stream(
     other file systems, patterns and batches of a number of files Spark's own file stream is used: it lists on the driver,
     remembers every path there and looks up each file of a batch once more, which took 2 to 3 ms a file.
     """
-    if not max_files_per_batch and _is_mounted(spark, root):
+    if not max_files_per_batch and listing.is_mounted(spark, root):
         listing.register(spark)
         files = spark.readStream.format("filelist").option("path", root).option("by", "names").option("every", 1).load()
-        files = files.filter(paths.has_suffix(F.col("path"), extensions)).dropDuplicates(["path"])
-        as_spark = files.select(
-            F.concat(F.lit("file:"), "path").alias("path"),
-            F.date_trunc("millisecond", "file_modified").alias("modificationTime"),
-            F.col("file_size").alias("length"),
-        )
-        return as_listing(as_spark)
+        return from_tasks(files.filter(paths.has_suffix(F.col("path"), extensions)).dropDuplicates(["path"]))
     reader = (
         spark.readStream.format("binaryFile").schema(BINARY_FILE).option("recursiveFileLookup", "true")
     )

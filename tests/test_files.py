@@ -51,6 +51,48 @@ def test_discover(spark, folder):
     assert missing.count() == 0 and missing.columns == got.columns
 
 
+def test_list_files_lists_in_tasks_what_discover_files_lists(spark, tmp_path):
+    root = str(tmp_path / "in")
+    put(root, **{f"{i % 3}/deep er/%20 {i}.txt": "x" * (i + 1) for i in range(30)})
+    put(root, **{"a.md": "a", ".hidden": "h", "_hidden/a.txt": "x", "_a=1/b.txt": "x", "empty.txt": "", "c._COPYING_": "c"})
+    put(tmp_path, **{"linked/d.txt": "d"})
+    os.symlink(str(tmp_path / "linked"), f"{root}/link")
+    os.symlink(str(tmp_path / "none"), f"{root}/broken.txt")
+    # A time that is no whole millisecond is cut and not rounded.
+    os.utime(f"{root}/a.md", ns=(1_700_000_000_123_999_600,) * 2)
+    for extensions, n in ((None, 33), ([".txt"], 32), ([".none"], 0)):
+        for at in (root, f"file://{root}", f"{root}/"):
+            got, want = fi.list_files(spark, at, extensions), fi.discover_files(spark, at, extensions)
+            assert got.schema.simpleString() == want.schema.simpleString()
+            assert rows(got) == rows(want) and got.count() == n
+    plan = fi.list_files(spark, root)._jdf.queryExecution().executedPlan().toString()
+    assert "BatchScan filelist" in plan and "FileScan" not in plan
+    # What is not one mounted folder is left to Spark's file source.
+    for at in (f"{root}/[12]", f"{root}/a.md", f"{root}/none"):
+        assert rows(fi.list_files(spark, at)) == rows(fi.discover_files(spark, at))
+
+
+def test_index_folder_holds_no_paths_on_the_driver(spark, folder, monkeypatch):
+    from gleanery.plans import indexing
+
+    listed = []
+    monkeypatch.setattr(indexing, "index_listing", lambda df, *a: listed.append(df))
+    index_folder(spark, folder, it.ItemsTable(spark, work_dir(spark, "items")), 1, [".txt"])
+    plan = listed[0]._jdf.queryExecution().optimizedPlan()
+    assert "filelist" in plan.toString() and "binaryFile" not in plan.toString()
+    assert names(listed[0]) == names(fi.discover_files(spark, folder, [".txt"]))
+
+
+def test_a_folder_that_an_executor_does_not_have_is_not_empty(tmp_path):
+    put(tmp_path, **{"in/a.txt": "a"})
+    reader = listing.FileListSource({"path": str(tmp_path / "in"), "by": "names"}).reader(None)
+    (part,) = reader.partitions()
+    assert [r[0] for r in reader.read(part)] == [str(tmp_path / "in" / "a.txt")]
+    os.rename(tmp_path / "in", tmp_path / "elsewhere")
+    with pytest.raises(FileNotFoundError):
+        list(reader.read(part))
+
+
 def test_listing_does_not_read_content(spark, folder):
     plan = fi.discover_files(spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan.split("ReadSchema")[1]
